@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .near_dedup import near_duplicates
 from .packing import pack
 from .token_count import count_tokens
 
@@ -21,13 +22,38 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_near_duplicates": r"""
+with recursive
+w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents
+),
+s as (
+  select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as sh
+  from w
+),
+n as (select doc_id, len(sh) as n_shingles from s),
+e as (select doc_id, unnest(sh) as h from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from e a join e b on a.h = b.h and a.doc_id <> b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n_shingles + b.n_shingles - c)),
+r as (select doc_id, doc_id as c from n union select r.doc_id, l.y from r join l on l.x = r.c)
+select n.doc_id, n_shingles, min(c) as component_id, n.doc_id = min(c) as kept
+from n join r on r.doc_id = n.doc_id group by n.doc_id, n_shingles
+""",
+}

@@ -13,6 +13,7 @@ from .mixing import Mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality_scores
+from .secrets import find_secrets
 from .token_count import count_tokens
 from .toxicity import toxicity_scores
 
@@ -43,6 +44,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_secrets": op6_secrets,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,

@@ -171,24 +171,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     return fit([t or "" for t in rows["text"]], rows["_label"].to_numpy(np.float32))
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep, with score and predicted (1 if score >= threshold, else 0)."""
+def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted (1 if score >= threshold, else 0) of each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, featurizer = shared.value, Featurizer()
-        for b in slices(batches, "_text"):
-            z = m.margin(featurizer.rows([t or "" for t in b.column("_text").to_pylist()], m.scales, m.edges))
+        for b in slices(batches, "text"):
+            z = m.margin(featurizer.rows([t or "" for t in b.column("text").to_pylist()], m.scales, m.edges))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p, pa.float64()), pa.array(p >= threshold).cast(pa.int32())], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p, pa.float64()), pa.array(p >= threshold).cast(pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double", "predicted int"])
-    return docs.select(F.col("text").cast("string").alias("_text"), *(F.col(c) for c in keep)).mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("held_out", F.coalesce(~is_training_row(), F.lit(False)))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_rejected(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, all columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, featurizer = shared.value, Featurizer()
+        for b in slices(batches, "text"):
+            yield b.filter(pa.array(m.margin(featurizer.rows([t or "" for t in b.column("text").to_pylist()], m.scales, m.edges)) >= np.log(threshold / (1 - threshold))))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = 6_000) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held_out = F.coalesce(~is_training_row(), F.lit(False)).alias("held_out")
-    return score(ids, train(docs, labels, sample_rows=sample_rows), threshold).select("doc_id", held_out, "score", "predicted")
+    return score(docs, train(docs, labels, sample_rows=sample_rows), threshold)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .graph_search import nearest
 from .kd_search import exact_top_k
+from .licenses import scan_licenses
 from .mixing import Mix
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -48,6 +50,14 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: the source is the repository, the language a directory in it."""
+    docs = table(spark, sf_dir, "documents")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    files = docs.select("doc_id", "text", F.concat_ws("/", part("source"), part("lang"), F.concat(part("doc_id"), F.lit(".txt"))).alias("path"))
+    return scan_licenses(files)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -67,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secrets": op6_secrets,
+    "op7_licenses": op7_licenses,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,

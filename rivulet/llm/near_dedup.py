@@ -16,9 +16,9 @@ Steps, each a Spark job over all documents:
 4. pairs whose sketches differ far too much, or whose sizes do, go; the rest is
    confirmed on full sets, made again from the texts of the documents concerned;
 5. links become components by star contraction;
-6. buckets whose members aren't all in one component get the pairs across
-   components: all of them in small buckets, while large buckets are split by
-   further bands, level by level, so no group emits all its pairs at once;
+6. buckets whose members aren't all in one component give the pairs across
+   components: small buckets all of them; large ones are split by further bands
+   first, so that texts which only share a passage part ways;
 7. the new links join the components.
 
 The odd sketch of a document sets the parity of 512 bits by its MinHash samples;
@@ -43,12 +43,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, slices
 
 SAMPLES, BANDS, BAND_ROWS, SKETCH_WORDS = 128, 48, 6, 8
-#: Buckets up to this size give all pairs across components; larger ones are split by further bands, at most so often.
-SMALL_BUCKET, LEVELS = 48, 3
+#: Buckets up to this size give all pairs across components. A larger one is split by so many further bands of its own;
+#: parts that are still larger are split again, and the parts of the last split give all pairs.
+SMALL_BUCKET, SPLITS = 16, (4, 2)
 CACHE_ROWS = 400_000
 #: Up to so many ids, those whose sets are wanted are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
@@ -176,15 +178,31 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return materialize(wanted.mapInArrow(run, "id long, shingles binary"), "sets")
 
 
-def band_keys(level: int) -> F.Column:
-    """An array of one key for each band: hashes of fixed, pseudorandom choices of samples."""
-    rng = np.random.default_rng(1000 + level)
-    picks = [rng.choice(SAMPLES, BAND_ROWS, replace=False).tolist() for _ in range(BANDS)]
-    return F.array(*(F.xxhash64(F.lit(level * BANDS + k), *(F.col("samples")[i] for i in own)) for k, own in enumerate(picks)))
+def picks(seed: int, n: int) -> list[list[int]]:
+    """n fixed, pseudorandom choices of BAND_ROWS samples."""
+    rng = np.random.default_rng(seed)
+    return [rng.choice(SAMPLES, BAND_ROWS, replace=False).tolist() for _ in range(n)]
+
+
+def band_keys() -> F.Column:
+    """An array of one key for each band."""
+    return F.array(*(F.xxhash64(F.lit(k), *(F.col("samples")[i] for i in own)) for k, own in enumerate(picks(1000, BANDS))))
+
+
+def split_keys(level: int) -> F.Column:
+    """An array of the keys of a bucket's parts: each bucket (column band) has further bands of its own.
+
+    Were they the same for all buckets, a pair that misses in one would miss in all.
+    """
+    n = SPLITS[level]
+    all_bands = BANDS * int(np.prod(SPLITS[:level]))
+    own = picks(2000 + level, all_bands * n)
+    table = F.array(*(F.array(*(F.array(*map(F.lit, p)) for p in own[k * n : k * n + n])) for k in range(all_bands)))
+    return F.transform(F.get(table, F.col("band")), lambda p: F.xxhash64("key", p, F.transform(p, lambda i: F.get("samples", i))))
 
 
 def in_buckets(members: DataFrame) -> DataFrame:
-    """Rows of (key, id) whose key has several ids, with the key's least id."""
+    """The rows (key, id, band) whose key has several ids, with the key's least id."""
     hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("_last")).where("hub < _last").drop("_last")
     return members.join(hubs, "key")
 
@@ -247,25 +265,27 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, id, component) that share a key but no component.
+    """Pairs (a, b) of members (key, id, band, component) that share a key but no component.
 
-    Small buckets give their pairs. Large ones are split by further bands of
-    their members, which a true pair shares with near certainty; what is large
-    still after the last level is joined whole.
+    Small buckets give their pairs. Large ones are split by further bands of their
+    members: a bucket has few of them, but as a linked pair meets in many buckets,
+    it meets in some part with near certainty. What is large still after the last
+    split gives its pairs as a whole.
     """
     found = None
-    for level in range(1, LEVELS + 1):
+    for level in range(len(SPLITS) + 1):
         sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c < _d").select("key", "n")
         members = materialize(members.join(sizes, "key"), "members")
-        ready = members if level == LEVELS else members.where(F.col("n") <= SMALL_BUCKET)
+        last = level == len(SPLITS)
+        ready = members if last else members.where(F.col("n") <= SMALL_BUCKET)
         left = ready.select("key", F.col("id").alias("a"), F.col("component").alias("_c"))
         pairs = left.join(ready.select("key", F.col("id").alias("b"), F.col("component").alias("_d")), "key").where("a < b and _c <> _d").select("a", "b").distinct()
         found = pairs if found is None else found.union(pairs)
         rest = members.where(F.col("n") > SMALL_BUCKET)
-        if level == LEVELS or rest.isEmpty():
+        if last or rest.isEmpty():
             break
-        keys = nodes.select("id", band_keys(level).alias("keys"))
-        members = rest.select("key", "id", "component").join(keys, "id").select(F.explode("keys").alias("sub"), "key", "id", "component").select(F.xxhash64("key", "sub").alias("key"), "id", "component")
+        parts = rest.drop("n").join(nodes.select("id", "samples"), "id").select("id", "component", "band", F.posexplode(split_keys(level)).alias("part", "key"))
+        members = parts.select("key", "id", "component", (F.col("band") * SPLITS[level] + F.col("part")).alias("band"))
     return found.distinct()
 
 
@@ -280,14 +300,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     nodes = filled.withColumnRenamed("doc_id", "id").join(classes, ["id", *keys]).dropDuplicates(["id", *keys])
     nodes = materialize(nodes.select("id", "n_shingles", "samples", "sketch"), "nodes")
     confirm = lambda pairs: confirmed(pairs, nodes, docs, shingle_words, percent, screen)
-    buckets = materialize(in_buckets(nodes.select("id", F.explode(band_keys(0)).alias("key"))), "buckets")
+    buckets = materialize(in_buckets(nodes.select("id", F.posexplode(band_keys()).alias("band", "key"))), "buckets")
     links = confirm(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     # Rows with one id and different sets are versions of one document.
     several = filled.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x < y").select("doc_id")
     versions = filled.select("doc_id", *keys).join(several, "doc_id", "left_semi").join(classes, keys).where("doc_id <> id")
     links = materialize(links.union(versions.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()), "links")
     found = components(links)
-    grouped = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    grouped = buckets.join(found, "id", "left").select("key", "id", "band", F.coalesce("component", "id").alias("component"))
     more = confirm(across(grouped, nodes))
     if not more.isEmpty():
         found = components(links.union(more))
@@ -296,3 +316,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group of near duplicates: that of the least id. All columns stay as they were.
+
+    Rows that repeat an id count as one group, too; documents without words and
+    rows without an id all stay.
+    """
+    found = materialize(near_duplicates(docs, shingle_words, percent), "decisions").where("doc_id is not null and n_shingles > 0")
+    ids = lambda rows: rows.select(F.col("doc_id").alias("__id")).distinct()
+    dropped, repeated = ids(found.where("not kept")), ids(found.groupBy("doc_id").count().where("count > 1"))
+
+    def joined(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+        return rows.join(keys, F.col("doc_id").cast("long") == F.col("__id"), how)
+
+    kept = joined(docs, dropped, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    ones = joined(kept, repeated, "left_semi").where(F.col("text").isNotNull()).withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
+    return joined(kept, repeated, "left_anti").unionByName(ones)

@@ -85,7 +85,7 @@ def all_dates(rows: DataFrame) -> DataFrame:
 @query("f8_recommendation")
 def _(p: Plan, t: Tables) -> DataFrame:
     """The record's main fields, flat, so that engines compare them alike."""
-    r = recommendation.recommendation(p.parts())
+    r = recommend(t.spark, t.folder)
     return r.select(
         "zone_id", "valid_date", "action", "gate", F.col("record.situation.expected_affected").alias("expected_affected"), F.col("record.confidence.lo").alias("lo"), F.col("record.confidence.hi").alias("hi"),
         F.size("record.limitations").alias("n_limitations"), F.col("record.verify.needs_human").alias("needs_human"), F.col("record.context.district_name").alias("district"),

@@ -12,11 +12,16 @@ from ..sources.tables import CUT, Tables
 class Plan:
     """Everything that the entry points share, each part declared once. Nothing runs until a result is asked for."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, keep: bool = False):
+        """keep: holds the members and features, a few rows for each zone and day, for plans that use them many times."""
         t = self.tables = Tables(spark, folder)
+        if keep:
+            t.forecast_member = t.forecast_member.persist()
         self.cell = uncertainty.ensemble_summary(t.forecast_member)
         self.interval = uncertainty.ensemble_interval(t.forecast_member)
         self.features = uncertainty.zone_features(t.observation)
+        if keep:
+            self.cell, self.features = self.cell.persist(), self.features.persist()
 
     @property
     def fused(self) -> DataFrame:
@@ -68,7 +73,7 @@ class Plan:
 
 def recommend(spark: SparkSession, folder: str) -> DataFrame:
     """One recommendation for each zone and day."""
-    return recommendation.recommendation(Plan(spark, folder).parts())
+    return recommendation.recommendation(Plan(spark, folder, keep=True).parts())
 
 
 def evaluate(spark: SparkSession, folder: str) -> DataFrame:

@@ -110,7 +110,8 @@ def fuse_sources(summary: DataFrame, zone_fraction: DataFrame, floor: float = 1e
     """
     seg = zone_fraction.select("zone_id", exact(F.col("fraction")).alias("p2"), exact(F.col("se")).alias("se2"))
     both = summary.select(*CELL, F.col("p").alias("p1"), F.col("sd").alias("sd1")).join(seg, "zone_id", "full_outer")
-    v1, v2 = (F.greatest(F.col(s) * F.col(s), F.lit(floor)) for s in ("sd1", "se2"))
+    # greatest() skips nulls, but a missing source has no variance.
+    v1, v2 = (F.when(F.col(s).isNotNull(), F.greatest(F.col(s) * F.col(s), F.lit(floor))) for s in ("sd1", "se2"))
     w = 1 / v1 + 1 / v2
     return both.select(
         *CELL,

@@ -96,7 +96,7 @@ def test_fusion(spark):
     got = by_zone(uncertainty.fuse_sources(cells, seg))
     assert got[1].fused == pytest.approx(0.4) and got[1].fused_sd == pytest.approx(0.1 / math.sqrt(2)) and got[1].disagreement == pytest.approx(0.4 / math.sqrt(0.02)) and got[1].sources == "both"
     assert (got[2].fused, got[2].sources, got[2].disagreement) == (0.7, "forecast", None)
-    assert (got[3].fused, got[3].sources) == (0.3, "segmentation")
+    assert (got[3].fused, got[3].sources, got[3].fused_sd) == (0.3, "segmentation", 0.2)
 
 
 def test_reliability(spark, zone):

@@ -12,18 +12,20 @@ Steps, each a Spark job over all documents:
    the odd sketch, written once;
 2. documents with equal sets are one class; only its smallest id goes on;
 3. every band of MinHash samples is a bucket; each member is paired with the
-   bucket's smallest id (a star, so a bucket of m gives m - 1 pairs);
+   bucket's hub (a star, so a bucket of m gives m - 1 pairs);
 4. pairs whose sketches differ far too much, or whose sizes do, go; the rest is
    confirmed on full sets, made again from the texts of the documents concerned;
 5. links become components by star contraction;
-6. buckets whose members aren't all in one component give the pairs across
-   components: small buckets all of them; large ones are split by further bands
-   first, so that texts which only share a passage part ways;
-7. the new links join the components.
+6. members of the hub's component that can't be linked to any other member of the
+   bucket, by what both share with the hub, leave it; buckets whose members still
+   are in several components get another round of stars with other hubs;
+7. what remains gives the pairs across components: small buckets all of them; large
+   ones are split by further bands first, so that texts which only share a passage
+   part ways; the new links join the components.
 
 The odd sketch of a document sets the parity of 512 bits by its MinHash samples;
 the number of differing bits of two sketches estimates how many samples differ.
-It drops pairs only below `screen` (by default 0.2 less than the threshold, over
+It drops pairs only below `screen` (by default 0.2 less than the threshold, about
 five standard deviations), as step 4 decides on full sets.
 
 With 48 bands of 6 out of 128 samples, a pair at similarity 0.8 meets in no band
@@ -51,6 +53,9 @@ SAMPLES, BANDS, BAND_ROWS, SKETCH_WORDS = 128, 48, 6, 8
 #: Buckets up to this size give all pairs across components. A larger one is split by so many further bands of its own;
 #: parts that are still larger are split again, and the parts of the last split give all pairs.
 SMALL_BUCKET, SPLITS = 16, (4, 2)
+#: Rounds of stars, each with other hubs. Their pairs are compared on full sets from this estimated similarity on,
+#: as what a text shares with the hub tells which other texts it can't be linked with.
+ROUNDS, STAR_SCREEN = 2, 0.25
 CACHE_ROWS = 400_000
 #: Up to so many ids, those whose sets are wanted are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
@@ -201,41 +206,79 @@ def split_keys(level: int) -> F.Column:
     return F.transform(F.get(table, F.col("band")), lambda p: F.xxhash64("key", p, F.transform(p, lambda i: F.get("samples", i))))
 
 
-def in_buckets(members: DataFrame) -> DataFrame:
-    """The rows (key, id, band) whose key has several ids, with the key's least id."""
-    hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("_last")).where("hub < _last").drop("_last")
-    return members.join(hubs, "key")
+def with_hubs(members: DataFrame, turn: int) -> DataFrame:
+    """The rows whose key has several ids, with the key's hub: its least id, later the least id of the component of least id.
+
+    That component is most likely the largest one of the bucket. As the order of ids is
+    the same in all buckets, a document meets few different hubs.
+    """
+    order = F.struct("component", "id") if turn else F.struct("id")
+    hubs = members.groupBy("key").agg(F.min(order).alias("h"), F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b")
+    return members.select("key", "id", "band").join(hubs.select("key", F.col("h.id").alias("hub")), "key")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, screen: float) -> DataFrame:
-    """The pairs (a, b) that are links: screened by size and odd sketch, then compared on full sets."""
+def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, screen: float) -> DataFrame:
+    """The pairs (a, b) with both sizes, an upper bound `most` of the shingles that they share, and whether they are linked.
+
+    Pairs whose sizes or odd sketches differ too much aren't compared; their bound is the
+    sketch's estimate of their similarity with a wide margin. For the others the bound is
+    exact, from the full sets.
+    """
     light = nodes.select("id", "n_shingles", "sketch")
     side = lambda x: light.select(F.col("id").alias(x), F.col("n_shingles").alias("n_" + x), F.col("sketch").alias("s_" + x))
     differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x.cast("int"))
-    near = (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .where(differ <= bits_expected(screen))
-        .select("a", "b")
-        .distinct()
-    )
-    near = materialize(near, "pairs")
+    size = 64 * SKETCH_WORDS
+    # The inverse of bits_expected.
+    changed = F.ln(1 - F.least(2 * F.col("bits") / size, F.lit(0.999))) / np.log(1 - 2 / size)
+    similar = F.least(F.greatest(1 - changed / (2 * SAMPLES), F.lit(0.0)) + 0.3, F.lit(1.0))
+    sizes_fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("bits", differ).groupBy("a", "b", "n_a", "n_b").agg(F.min("bits").alias("bits"))
+    bound = F.least(F.ceil(similar / (1 + similar) * (F.col("n_a") + F.col("n_b"))), "n_a", "n_b")
+    rows = materialize(rows.select("a", "b", "n_a", "n_b", (sizes_fit & (F.col("bits") <= bits_expected(screen))).alias("near"), bound.alias("most")), "pairs")
+    near, rest = rows.where("near"), rows.where("not near").drop("near").withColumn("linked", F.lit(False)).withColumn("exact", F.lit(False))
     if near.isEmpty():
-        return near
+        return rest
     sets = full_sets(docs, near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))), n)
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = near.select("a", "b").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "x"):
-            ok = []
+            counts, ok = [], []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 p, q = unpacked(x.as_py()), unpacked(y.as_py())
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
+                counts.append((len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
+                ok.append(100 * counts[-1][2] >= percent * (counts[-1][0] + counts[-1][1] - counts[-1][2]))
+            n_a, n_b, common = zip(*counts, strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(v, pa.int64()) for v in (n_a, n_b, common)), pa.array(ok), pa.array([True] * len(ok))], ["a", "b", "n_a", "n_b", "most", "linked", "exact"])
+
+    exact = both.mapInArrow(run, "a long, b long, n_a long, n_b long, most long, linked boolean, exact boolean")
+    return materialize(exact.union(rest.select("a", "b", "n_a", "n_b", "most", "linked", "exact")), "compared")
 
-    return materialize(both.mapInArrow(run, "a long, b long").distinct(), "links")
+
+def linked(pairs: DataFrame) -> DataFrame:
+    return pairs.where("linked").select("a", "b").distinct()
+
+
+def unproven(members: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Members (key, id, band, component) of buckets in several components, without those that need no comparison.
+
+    A member m of the hub's component shares with an outsider o at most what o shares
+    with the hub and what m has beyond the hub. Where that is too little for a link with
+    any outsider of the bucket, m leaves it.
+    """
+    t = percent / (100 + percent)
+    versions = stars.groupBy(F.col("a").alias("hub"), F.col("b").alias("id")).agg(
+        # With several versions of a document the bounds are those of the worst.
+        F.max(F.col("most") - t * F.col("n_b")).alias("shared"), F.max(F.col("n_b") - F.when(F.col("exact"), F.col("most")).otherwise(0) - t * F.col("n_b")).alias("beyond")
+    )
+    rows = members.join(versions, ["hub", "id"], "left")
+    hub_component = F.max(F.when(F.col("id") == F.col("hub"), F.col("component")))
+    of_key = members.groupBy("key").agg(hub_component.alias("hub_component"), F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c < _d").select("key", "hub_component")
+    rows = materialize(rows.join(of_key, "key").withColumn("outside", F.col("component") != F.col("hub_component")), "bounds")
+    closest = rows.where("outside").groupBy("key").agg(F.max(F.coalesce("shared", F.lit(float("inf")))).alias("closest"))
+    # The hub itself has nothing beyond the hub, and has been compared to all.
+    can = F.col("outside") | ((F.col("id") != F.col("hub")) & (F.coalesce("beyond", F.lit(float("inf"))) + F.col("closest") >= -1e-6))
+    return materialize(rows.join(closest, "key").where(can).select("key", "id", "band", "component"), "members")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -299,18 +342,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     # One row a class; the join is on the ids, which are spread evenly however many copies a class has.
     nodes = filled.withColumnRenamed("doc_id", "id").join(classes, ["id", *keys]).dropDuplicates(["id", *keys])
     nodes = materialize(nodes.select("id", "n_shingles", "samples", "sketch"), "nodes")
-    confirm = lambda pairs: confirmed(pairs, nodes, docs, shingle_words, percent, screen)
-    buckets = materialize(in_buckets(nodes.select("id", F.posexplode(band_keys()).alias("band", "key"))), "buckets")
-    links = confirm(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    compare = lambda pairs, screen: compared(pairs, nodes, docs, shingle_words, percent, screen)
     # Rows with one id and different sets are versions of one document.
     several = filled.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x < y").select("doc_id")
     versions = filled.select("doc_id", *keys).join(several, "doc_id", "left_semi").join(classes, keys).where("doc_id <> id")
-    links = materialize(links.union(versions.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()), "links")
-    found = components(links)
-    grouped = buckets.join(found, "id", "left").select("key", "id", "band", F.coalesce("component", "id").alias("component"))
-    more = confirm(across(grouped, nodes))
-    if not more.isEmpty():
-        found = components(links.union(more))
+    links = materialize(versions.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct(), "links")
+    members = nodes.select("id", F.posexplode(band_keys()).alias("band", "key"))
+    for turn in range(ROUNDS):
+        buckets = materialize(with_hubs(members, turn), "buckets")
+        stars = compare(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), STAR_SCREEN)
+        links = materialize(links.union(linked(stars)).distinct(), "links")
+        found = components(links)
+        members = unproven(buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), stars, percent)
+        if members.isEmpty():
+            break
+    else:
+        more = linked(compare(across(members, nodes), screen))
+        if not more.isEmpty():
+            found = components(links.union(more))
     of_class = classes.join(found, "id", "left").select(*keys, F.coalesce("component", "id").alias("component_id"))
     out = table.select("doc_id", *keys).join(of_class, keys, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))

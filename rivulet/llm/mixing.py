@@ -20,6 +20,7 @@ other. Extra columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize
+from .common import WORD, materialize, slices
 
 #: Up to so many sources, the table of sources (a few numbers each) is broadcast.
 BROADCAST_SOURCES = 50_000
@@ -111,7 +112,7 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 class Mix:
     """The plan of a mixture: documents placed in their sources, and the slots of the output."""
 
-    def __init__(self, docs: DataFrame, weights=(3, 1, 2), total_share=1.5, most_passes=2, block_words=64, shard_slots=1 << 16, seed=7, rows_per_chunk=20_000):
+    def __init__(self, docs: DataFrame, weights=(3, 1, 2), total_share=1.5, most_passes=2, block_words=64, shard_slots=1 << 16, seed=7, rows_per_chunk=4_000):
         self.spark, self.block, self.shard_slots, self.seed = docs.sparkSession, block_words, shard_slots, seed
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
@@ -164,7 +165,8 @@ class Mix:
         parts = self.placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((stop - 1) / b))))
         from_word = F.greatest(F.col("start"), F.col("block") * b)
         parts = parts.withColumn("first_word", from_word - F.col("start")).withColumn("n_words", F.least(stop, (F.col("block") + 1) * b) - from_word)
-        return parts.join(self.slot_blocks(), ["source_index", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+        # Spark takes a generated table for tiny and would broadcast it; it grows with the input.
+        return parts.join(self.slot_blocks().hint("merge"), ["source_index", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken of every document."""
@@ -178,25 +180,22 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mixture as documents with the columns of docs: one row for each document and pass, holding the words taken in it.
 
     Words that follow each other in the text keep the white space between them;
-    parts that don't are joined by a line feed. n_chars, if there, is made anew.
+    parts that don't are joined by a line feed. n_chars, if there, is made anew. Rows
+    that repeat id and text each get what their copies take together.
     """
     mix = Mix(docs, **settings)
     parts = mix.document_blocks().where("times > 0")
-    spans = parts.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("first_word", "n_words", "times"))).alias("spans"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_id", F.col("doc_id").cast("long"))
-    joined = keyed.join(spans.withColumnRenamed("doc_id", "_doc"), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("text_hash")))
+    spans = parts.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("first_word", "n_words", "times"))).alias("__spans"))
+    spans = spans.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__spans")
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")))
     names, schema = docs.columns, docs.schema
     cols = [F.col(c) for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        from .common import slices
-
         word = re.compile(WORD)
         for b in slices(batches, "text"):
             rows, texts = [], []
-            for row, (text, spans) in enumerate(zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)):
+            for row, (text, spans) in enumerate(zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)):
                 words = [m.span() for m in word.finditer(text)]
                 for turn in range(1, max(s["times"] for s in spans) + 1):
                     runs: list[list[int]] = []
@@ -214,4 +213,4 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
             made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([made[c].cast(picked.schema.field(c).type) if c in made else picked.column(c) for c in names], names)
 
-    return joined.select(*cols, "spans").mapInArrow(run, schema)
+    return joined.select(*cols, "__spans").mapInArrow(run, schema)

@@ -19,9 +19,10 @@ Steps, each a Spark job over all documents:
 6. members of the hub's component that can't be linked to any other member of the
    bucket, by what both share with the hub, leave it; buckets whose members still
    are in several components get another round of stars with other hubs;
-7. what remains gives the pairs across components: small buckets all of them; large
-   ones are split by further bands first, so that texts which only share a passage
-   part ways; the new links join the components.
+7. what remains gives the pairs across components: small buckets all of them; the
+   members of large ones those that share a rare shingle, by a prefix filter which loses
+   no linked pair, so that texts which only share a passage part ways; the new links
+   join the components.
 
 The odd sketch of a document sets the parity of 512 bits by its MinHash samples;
 the number of differing bits of two sketches estimates how many samples differ.
@@ -50,9 +51,9 @@ from pyspark.sql.window import Window
 from .common import materialize, slices
 
 SAMPLES, BANDS, BAND_ROWS, SKETCH_WORDS = 128, 48, 6, 8
-#: Buckets up to this size give all pairs across components. A larger one is split by so many further bands of its own;
-#: parts that are still larger are split again, and the parts of the last split give all pairs.
-SMALL_BUCKET, SPLITS = 16, (4, 2)
+#: Buckets up to this size give all pairs across components. The members of larger ones go through a prefix filter, whose
+#: order of shingles comes from counts in so many cells.
+SMALL_BUCKET, RARITY_CELLS = 16, 1 << 18
 #: Rounds of stars, each with other hubs. Their pairs are compared on full sets from this estimated similarity on,
 #: as what a text shares with the hub tells which other texts it can't be linked with.
 ROUNDS, STAR_SCREEN = 2, 0.25
@@ -194,18 +195,6 @@ def band_keys() -> F.Column:
     return F.array(*(F.xxhash64(F.lit(k), *(F.col("samples")[i] for i in own)) for k, own in enumerate(picks(1000, BANDS))))
 
 
-def split_keys(level: int) -> F.Column:
-    """An array of the keys of a bucket's parts: each bucket (column band) has further bands of its own.
-
-    Were they the same for all buckets, a pair that misses in one would miss in all.
-    """
-    n = SPLITS[level]
-    all_bands = BANDS * int(np.prod(SPLITS[:level]))
-    own = picks(2000 + level, all_bands * n)
-    table = F.array(*(F.array(*(F.array(*map(F.lit, p)) for p in own[k * n : k * n + n])) for k in range(all_bands)))
-    return F.transform(F.get(table, F.col("band")), lambda p: F.xxhash64("key", p, F.transform(p, lambda i: F.get("samples", i))))
-
-
 def with_hubs(members: DataFrame, turn: int) -> DataFrame:
     """The rows whose key has several ids, with the key's hub: its least id, later the least id of the component of least id.
 
@@ -307,29 +296,72 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", F.col("v").alias("component")).distinct()), "components")
 
 
-def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many of the sets hold a shingle of each cell; a shingle's cell is its hash modulo RARITY_CELLS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(RARITY_CELLS, np.int64)
+        for b in slices(batches, "shingles"):
+            for x in b.column("shingles"):
+                counts += np.bincount((unpacked(x.as_py()) % np.uint64(RARITY_CELLS)).astype(np.int64), minlength=RARITY_CELLS)
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY_CELLS, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefix_pairs(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (id, component) of several components, with all that are linked: an exact prefix filter.
+
+    Shingles have one order, rare ones first (any order is exact; this one keeps a
+    common passage out of the prefixes). A set of s shingles shares at least percent of
+    them with any set that it's linked with, so two linked sets share a shingle among the
+    first s - percent * s + 1 of each. At the first that they share, at places i and j,
+    they have at most the smaller of s_a - i and s_b - j in common, which must do for a link.
+    """
+    sets = materialize(full_sets(docs, members.select("id"), n).join(members, "id"), "sets")
+    shared = docs.sparkSession.sparkContext.broadcast(rarity(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for b in slices(batches, "shingles"):
+            for i, c, x in zip(b.column("id").to_pylist(), b.column("component").to_pylist(), b.column("shingles"), strict=True):
+                s = unpacked(x.as_py())
+                often = counts[(s % np.uint64(RARITY_CELLS)).astype(np.int64)]
+                first = np.lexsort((s, often))[: len(s) + percent * len(s) // -100 + 1]
+                # A cell that one set has a shingle in holds nothing that two sets share.
+                places = np.flatnonzero(often[first] > 1)
+                m = len(places)
+                if m:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(m, v, np.int64)) for v in (i, c, len(s))] + [pa.array(len(s) - places), pa.array(s[first[places]].astype(np.int64))],
+                        ["id", "component", "size", "most", "shingle"],
+                    )
+
+    rows = materialize(sets.mapInArrow(run, "id long, component long, size long, most long, shingle long").distinct(), "prefixes")
+    side = lambda x: rows.select("shingle", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "size", "most")))
+    enough = F.expr(f"{100 + percent} * least(most_a, most_b) >= {percent} * (size_a + size_b)")
+    return side("a").join(side("b"), "shingle").where(F.expr("a < b and component_a <> component_b") & enough).select("a", "b").distinct()
+
+
+def across(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) of members (key, id, band, component) that share a key but no component.
 
-    Small buckets give their pairs. Large ones are split by further bands of their
-    members: a bucket has few of them, but as a linked pair meets in many buckets,
-    it meets in some part with near certainty. What is large still after the last
-    split gives its pairs as a whole.
+    Small buckets give all their pairs. The members of large ones give those that an
+    exact prefix filter leaves, so that no linked pair is lost at any size of bucket.
     """
-    found = None
-    for level in range(len(SPLITS) + 1):
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c < _d").select("key", "n")
-        members = materialize(members.join(sizes, "key"), "members")
-        last = level == len(SPLITS)
-        ready = members if last else members.where(F.col("n") <= SMALL_BUCKET)
-        left = ready.select("key", F.col("id").alias("a"), F.col("component").alias("_c"))
-        pairs = left.join(ready.select("key", F.col("id").alias("b"), F.col("component").alias("_d")), "key").where("a < b and _c <> _d").select("a", "b").distinct()
-        found = pairs if found is None else found.union(pairs)
-        rest = members.where(F.col("n") > SMALL_BUCKET)
-        if last or rest.isEmpty():
-            break
-        parts = rest.drop("n").join(nodes.select("id", "samples"), "id").select("id", "component", "band", F.posexplode(split_keys(level)).alias("part", "key"))
-        members = parts.select("key", "id", "component", (F.col("band") * SPLITS[level] + F.col("part")).alias("band"))
-    return found.distinct()
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c < _d").select("key", "n")
+    members = materialize(members.join(sizes, "key"), "members")
+    small = members.where(F.col("n") <= SMALL_BUCKET)
+    left = small.select("key", F.col("id").alias("a"), F.col("component").alias("_c"))
+    found = left.join(small.select("key", F.col("id").alias("b"), F.col("component").alias("_d")), "key").where("a < b and _c <> _d").select("a", "b").distinct()
+    large = materialize(members.where(F.col("n") > SMALL_BUCKET).select("id", "component").distinct(), "large")
+    if large.isEmpty():
+        return found
+    return found.union(prefix_pairs(large, docs, n, percent)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, screen: float | None = None) -> DataFrame:
@@ -357,7 +389,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         if members.isEmpty():
             break
     else:
-        more = linked(compare(across(members, nodes), screen))
+        more = linked(compare(across(members, docs, shingle_words, percent), screen))
         if not more.isEmpty():
             found = components(links.union(more))
     of_class = classes.join(found, "id", "left").select(*keys, F.coalesce("component", "id").alias("component_id"))

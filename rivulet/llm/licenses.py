@@ -1,11 +1,15 @@
 """License scans: sparse TF-IDF cosine of headers to templates, and inheritance from the nearest ancestor directory.
 
-A file's headers are its lines (long lines are cut at the ends of sentences). Words
+A file's headers are its lines (long lines are cut at the ends of sentences) and runs of
+up to RUN consecutive lines, without the marks of comments; a blank line ends a run. Words
 are weighted by their document frequency over all files, counted in a first scan for
 the words of the templates; words outside the templates weigh as much as a word that no
 file has. A header matches the template of the highest cosine if it's at least
-`threshold`; the file's own licence is its best match. A file is a licence file if its
-name says so (LICENSE, LICENCE, COPYING) or if half of its words stand in matching headers;
+`threshold`; the GNU licence and its version are those that the header or the two lines
+after it name ("GPL" without a version). The whole file is compared to full licence texts,
+too, and matches from FULL_TEXT on. The file's own licence is the full text that it
+matches, or else its best header. A file is a licence file if its
+name says so (LICENSE, LICENCE, COPYING), if it matches a full text, or if half of its words stand in matching headers;
 its licence holds for its directory and all below. A file without a licence of its own
 takes that of the nearest ancestor directory that has one; of several licence files of
 a directory the first by path counts.
@@ -24,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -51,24 +56,40 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0"),
     ("Proprietary", "All rights reserved."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
 ]
-LONG_LINE = 400
+#: Full texts, a file for each licence; read on the driver only.
+TEXTS = Path(__file__).resolve().parent / "license_texts"
+LONG_LINE, RUN, BLOCK, FULL_TEXT = 400, 12, 2048, 0.9
+COMMENT = re.compile(r"^(?:[^a-z0-9(\"]|(?:rem|dnl)\s)+")
+GNU_VERSION = re.compile(r"\bv(?:ersion)?[ .]*([123](?:\.1)?)")
 SENTENCE_END = re.compile(r"(?<=[.!?]) +")
 WORD = re.compile(r"[a-z0-9]+")
 LICENCE_NAME = r"(?i)(^|/)(licen[sc]e|copying)([._-][^/]*)?$"
 
 
 class Templates:
-    """The templates as rows of a small dense matrix over their own words."""
+    """The templates and the full texts as rows of small dense matrices; the templates' own words come first."""
 
     def __init__(self):
         words = [WORD.findall(t.lower()) for _, t in TEMPLATES]
-        self.names = [name for name, _ in TEMPLATES]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for own in words for w in own}))}
-        self.counts = np.zeros((len(words), len(self.vocabulary)))
-        for row, own in enumerate(words):
-            for w in own:
-                self.counts[row, self.vocabulary[w]] += 1
+        texts = {p.stem: WORD.findall(p.read_text().lower()) for p in sorted(TEXTS.glob("*.txt"))}
+        self.names, self.text_names = [name for name, _ in TEMPLATES], list(texts)
+        own = sorted({w for ws in words for w in ws})
+        more = sorted({w for ws in texts.values() for w in ws} - set(own))
+        self.vocabulary, self.own = {w: i for i, w in enumerate(own + more)}, len(own)
+        self.counts, self.text_counts = self.matrix(words)[:, : self.own], self.matrix(list(texts.values()))
+
+    def matrix(self, rows: list[list[str]]) -> np.ndarray:
+        out = np.zeros((len(rows), len(self.vocabulary)))
+        for row, words in enumerate(rows):
+            for w in words:
+                out[row, self.vocabulary[w]] += 1
+        return out
 
 
 class Matcher:
@@ -78,42 +99,97 @@ class Matcher:
         self.t, self.threshold = Templates(), threshold
         self.idf = np.log((files + 1) / (frequency + 1)) + 1
         self.other = float(np.log(files + 1) + 1)
-        weighted = self.t.counts * self.idf
-        self.rows = weighted / np.linalg.norm(weighted, axis=1, keepdims=True)
-        self.squares = (self.idf**2).tolist()
+        unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+        self.rows, self.texts = unit(self.t.counts * self.idf[: self.t.own]), unit(self.t.text_counts * self.idf)
+
+    def cosines(self, words: list[str], rows: np.ndarray) -> np.ndarray:
+        """Cosines of a bag of words to the rows, whose columns are the first words of the vocabulary."""
+        ids, tf, outside = [], [], 0
+        for w, n in Counter(words).items():
+            i = self.t.vocabulary.get(w)
+            if i is None or i >= rows.shape[1]:
+                outside += n * n
+            else:
+                ids.append(i)
+                tf.append(n)
+        weighted = np.array(tf) * self.idf[ids]
+        norm = np.sqrt((weighted**2).sum() + outside * self.other**2)
+        return rows[:, ids] @ weighted / norm if ids else np.zeros(len(rows))
 
     def match(self, text: str) -> tuple[str | None, float, float]:
-        """Licence and cosine of the best header, and the share of the text's words in matching headers."""
-        best, best_score, matched, total = None, 0.0, 0, 0
-        vocabulary = self.t.vocabulary
-        for header in headers(text):
-            words = WORD.findall(header)
-            total += len(words)
-            hits = [vocabulary[w] for w in words if w in vocabulary]
-            if not hits:
-                continue
-            # The cosine can't exceed the share of the header's length that lies within the vocabulary.
-            own, others = Counter(hits), Counter(w for w in words if w not in vocabulary)
-            inside = sum(n * n * self.squares[i] for i, n in own.items())
-            outside = sum(n * n for n in others.values()) * self.other**2
-            if inside < self.threshold**2 * (inside + outside):
-                continue
-            ids, tf, norm = list(own), np.array(list(own.values())), np.sqrt(inside + outside)
-            cosines = self.rows[:, ids] @ (tf * self.idf[ids]) / norm
+        """Licence and cosine of the full text or the best header, and the share of the text's words in matches."""
+        lines = list(headers(text))
+        words = [WORD.findall(line) for line, _ in lines]
+        total = sum(map(len, words))
+        if not total:
+            return None, 0.0, 0.0
+        full = self.cosines([w for ws in words for w in ws], self.texts)
+        if full.max() >= FULL_TEXT:
+            return self.t.text_names[int(full.argmax())], float(full.max()), 1.0
+        best, best_score, matched = None, 0.0, set()
+        for start, k in self.candidates(words, [ends for _, ends in lines]):
+            cosines = self.cosines([w for ws in words[start : start + k] for w in ws], self.rows)
             top = int(cosines.argmax())
             if cosines[top] >= self.threshold:
-                matched += len(words)
+                matched.update(range(start, start + k))
                 if cosines[top] > best_score:
-                    best, best_score = self.t.names[top], float(cosines[top])
-        return best, best_score, matched / total if total else 0.0
-
-
-def headers(text: str) -> Iterator[str]:
-    for line in text.lower().split("\n"):
+                    best_score = float(cosines[top])
+                    best = named(self.t.names[top], lines, start, k)
+        return best, best_score, sum(len(words[i]) for i in matched) / total
+
+    def candidates(self, words: list[list[str]], ends: list[bool]) -> Iterator[tuple[int, int]]:
+        """(first line, number of lines) of the runs that may reach the threshold, by a bound.
+
+        Products with the templates add up over the lines of a run, and its length is at least the root of the lines' squares.
+        """
+        own, vocabulary = self.t.own, self.t.vocabulary
+        last = len(words)
+        # A run may not go beyond the next end of a paragraph.
+        limit = np.zeros(last, np.int64)
+        stop = last
+        for i in range(last - 1, -1, -1):
+            stop = i + 1 if ends[i] else stop
+            limit[i] = stop
+        for first in range(0, last, BLOCK):
+            block = words[first : first + BLOCK + RUN - 1]
+            hits = [[j for w in ws if (j := vocabulary.get(w, own)) < own] for ws in block]
+            sizes = np.array([len(h) for h in hits])
+            flat = np.repeat(np.arange(len(block)) * own, sizes) + np.array([j for h in hits for j in h], np.int64)
+            x = np.bincount(flat, minlength=len(block) * own).reshape(len(block), own) * self.idf[:own]
+            squares = (x**2).sum(axis=1) + (np.array([len(ws) for ws in block]) - sizes) * self.other**2
+            dots = np.vstack([np.zeros(len(self.rows)), np.cumsum(x @ self.rows.T, axis=0)])
+            lengths = np.concatenate([[0.0], np.cumsum(squares)])
+            starts = np.arange(min(BLOCK, len(block)))
+            for k in range(1, RUN + 1):
+                s = starts[(starts + k <= len(block))]
+                s = s[(first + s + k <= limit[first + s]) & (sizes[s] > 0) & (sizes[s + k - 1] > 0)]
+                if not len(s):
+                    continue
+                most = (dots[s + k] - dots[s]).max(axis=1)
+                for i in s[most + 1e-6 >= self.threshold * np.sqrt(lengths[s + k] - lengths[s])].tolist():
+                    yield first + i, k
+
+
+def named(template: str, lines: list[tuple[str, bool]], start: int, k: int) -> str:
+    """The template's licence; of the GNU licences the one and the version that the header names."""
+    if not template.startswith("GPL"):
+        return template
+    header = " ".join(line for line, _ in lines[start : start + k])
+    family = "LGPL" if re.search(r"\b(lesser|library) general", header) else "AGPL" if "affero" in header else "GPL"
+    version = GNU_VERSION.search(header) or GNU_VERSION.search(" ".join(line for line, _ in lines[start + k : start + k + 2]))
+    if not version:
+        return family
+    return f"{family}-{version[1]}" if "." in version[1] else f"{family}-{version[1]}.0"
+
+
+def headers(text: str) -> Iterator[tuple[str, bool]]:
+    """Lines without the marks of comments, or sentences of a long line, and whether a run ends with them."""
+    lines = [line if len(line) > LONG_LINE else COMMENT.sub("", line) for line in text.lower().split("\n")]
+    for line, after in zip(lines, [*lines[1:], ""], strict=True):
         if len(line) > LONG_LINE:
-            yield from SENTENCE_END.split(line)
+            yield from ((sentence, True) for sentence in SENTENCE_END.split(line))
         elif line:
-            yield line
+            yield line, not after or len(after) > LONG_LINE
 
 
 def word_frequency(files: DataFrame) -> tuple[np.ndarray, int]:

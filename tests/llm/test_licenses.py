@@ -31,3 +31,33 @@ def test_inheritance(spark):
     assert got[4] == [(None, "none", None)] and got[5] == [("Proprietary", "own", "a/other.py")] and got[6] == [(None, "none", None)] and got[7] == [("GPL-3.0", "own", None)]
     assert got[8] == 2 * [("GPL-3.0", "inherited", "a/b/COPYING.txt")] and got[None] == [("MIT", "inherited", "a/LICENSE")] and got[9] == [("MIT", "inherited", "a/LICENSE")] and got[10] == [(None, "none", None)]
     assert scan_licenses(files.limit(0)).count() == 0
+
+
+GPL3 = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+
+
+def test_wrapped_notices_and_full_texts():
+    from rivulet.llm.licenses import TEXTS
+
+    m = Matcher(np.zeros(len(Templates().vocabulary)), 100, 0.7)
+    assert m.match("#!/bin/sh\n#\n" + GPL3 + "\necho done\n")[0] == "GPL-3.0"
+    assert m.match(GPL3.replace("version 3", "version 2"))[0] == "GPL-2.0"
+    assert m.match("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007")[0] == "GPL-3.0"
+    assert m.match("GNU General Public License")[0] in (None, "GPL")
+    apache = "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in\n * compliance with the License.\n */\nint x;"
+    assert m.match(apache)[0] == "Apache-2.0"
+    assert m.match(" " * 20 + "Apache License\n" + " " * 10 + "Version 2.0, January 2004")[0] == "Apache-2.0"
+    for p in TEXTS.glob("*.txt"):
+        name, score, share = m.match("Copyright 2020 Some Body\n\n" + p.read_text())
+        assert name == p.stem and score > 0.95 and share == 1.0
+
+
+def test_full_text_holds_for_what_is_below(spark):
+    from rivulet.llm.licenses import TEXTS
+
+    files = spark.createDataFrame([(1, "r/TERMS", (TEXTS / "MPL-2.0.txt").read_text()), (2, "r/a/x.py", "code"), (3, "s/x.py", "code")], "doc_id long, path string, text string")
+    assert {r.doc_id: (r.license, r.scope) for r in scan_licenses(files).collect()} == {1: ("MPL-2.0", "own"), 2: ("MPL-2.0", "inherited"), 3: (None, "none")}

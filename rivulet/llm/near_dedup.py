@@ -29,8 +29,8 @@ the number of differing bits of two sketches estimates how many samples differ.
 It drops pairs only below `screen` (by default 0.2 less than the threshold, about
 five standard deviations), as step 4 decides on full sets.
 
-With 48 bands of 6 out of 128 samples, a pair at similarity 0.8 meets in no band
-with a probability of about 1e-6 or less; pairs above are safer still.
+With 48 bands of 6 out of 128 samples, which all bands share, a pair at similarity 0.8
+meets in no band with a probability of about 6e-5, one at 0.85 with about 1e-6 to 4e-6.
 
 Null texts, and texts without words, have an empty set and are linked with
 nothing. A null id is returned with itself as component (null) and kept. Rows

@@ -39,6 +39,18 @@ def conformal_set(summary: DataFrame, outcome: DataFrame, cut: str, alpha: float
     return late.select(*CELL, "p", (F.col("q") / 10000.0).alias("qhat"), label.alias("labels"))
 
 
+def conformal_coverage(conformal: DataFrame, outcome: DataFrame) -> DataFrame:
+    """For each label set and all of them (ALL): cells, how many flooded, and the share whose outcome the set holds.
+
+    The promised coverage is that of all cells together; a set by itself may mislead.
+    """
+    wet = F.col("y") == 1
+    held = (F.col("labels") == "both") | (F.col("labels") == F.when(wet, "wet").otherwise("dry"))
+    rows = conformal.join(outcome.select(*CELL, F.col("flooded").alias("y")), CELL)
+    rolled = rows.rollup("labels").agg(F.grouping("labels").alias("g"), F.count("*").alias("cells"), F.sum("y").cast("long").alias("flooded"), F.avg(held.cast("double")).alias("coverage"))
+    return rolled.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("labels")).alias("labels"), "cells", "flooded", "coverage")
+
+
 def risk_coverage_curve(summary: DataFrame, outcome: DataFrame) -> DataFrame:
     """Coverage and error of p >= 0.5 when only cells whose confidence bin is at least b are kept; at most 101 bins are ordered."""
     wrong = ((F.col("p") >= 0.5) != (F.col("y") == 1)).cast("long")

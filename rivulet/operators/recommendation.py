@@ -41,28 +41,31 @@ def alternatives(summary: DataFrame, actions: DataFrame, k: int = 2) -> DataFram
 
 
 # The flags in the order in which they are listed.
-FLAGS = ("few_members", "few_observations", "no_segmentation", "sources_disagree", "poorly_calibrated")
+FLAGS = ("few_members", "few_observations", "no_segmentation", "sources_disagree", "poorly_calibrated", "probabilities_removed")
 
 
-def limitations(summary: DataFrame, fused: DataFrame, reliability: DataFrame, all_members: int = 5, least_obs: int = 10, disagreement: float = 2.0, gap: float = 0.1, bins: int = 10) -> DataFrame:
+def limitations(summary: DataFrame, fused: DataFrame, reliability: DataFrame, removed: DataFrame | None = None, all_members: int = 5, least_obs: int = 10, disagreement: float = 2.0, gap: float = 0.1, bins: int = 10) -> DataFrame:
     """Every cell with the array of its flags.
 
-    fused may lack cells (no second source); reliability has a row for each bin at most.
+    fused may lack cells (no second source); reliability has a row for each bin at most;
+    removed has the number of unusable probabilities of the cells that had any.
     """
     bad = reliability.where(F.abs(F.col("mean_p") - F.col("rate")) > gap).select(F.col("bin").alias("_bin"), F.lit(True).alias("bad_bin"))
     rows = summary.withColumn("_bin", bin_of(F.col("p"), bins)).join(F.broadcast(bad), "_bin", "left").join(fused.select(*CELL, "sources", "disagreement"), CELL, "left")
+    rows = rows.withColumn("_removed", F.lit(0)) if removed is None else rows.join(removed.select(*CELL, F.col("removed").alias("_removed")), CELL, "left")
     tests = [
         F.col("members") < all_members,
         F.col("n_obs") < least_obs,
         F.coalesce(F.col("sources") != "both", F.lit(True)),
         F.col("disagreement") > disagreement,
         F.coalesce("bad_bin", F.lit(False)),
+        F.coalesce(F.col("_removed") > 0, F.lit(False)),
     ]
     return rows.select(*CELL, F.array_compact(F.array(*(F.when(t, name) for t, name in zip(tests, FLAGS, strict=True)))).alias("flags"))
 
 
 def needs_human(gated: DataFrame, limits: DataFrame, conformal: DataFrame) -> DataFrame:
-    """Whether a person must check a cell, and the first reason that applies."""
+    """Whether a person must check a cell, and the first reason that applies; a cell without a conformal set (before the cut) passes that test."""
     rows = gated.select(*CELL, "action", "gate").join(limits, CELL, "left").join(conformal.select(*CELL, "labels"), CELL, "left")
     reason = (
         F.when(F.col("gate") != "act", F.concat(F.lit("gate is "), "gate"))

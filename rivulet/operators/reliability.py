@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import exact, ratio
+from .uncertainty import tile_sums
 
 CELL = ["zone_id", "valid_date"]
 CLIP = 1e-6
@@ -80,12 +81,14 @@ def crps_ensemble(members: DataFrame, outcome: DataFrame) -> DataFrame:
 
 def segmentation_scores(pixels: DataFrame) -> DataFrame:
     """Counts at 0.5, IoU, Dice, precision and recall of each tile and of all (tile_id -1); null where a denominator is 0."""
-    hit, wet = F.col("prob") >= 0.5, F.col("wet") == 1
-    count = lambda x: F.count(F.when(x, 1))
-    rolled = pixels.rollup("tile_id").agg(F.grouping("tile_id").alias("g"), count(hit & wet).alias("tp"), count(hit & ~wet).alias("fp"), count(~hit & wet).alias("fn"), count(~hit & ~wet).alias("tn"))
+    cell = lambda hit, wet: lambda p, w: (((p >= 0.5) == F.lit(hit)) & ((w == 1) == F.lit(wet))).cast("long")
+    names = {"tp": cell(True, True), "fp": cell(True, False), "fn": cell(False, True), "tn": cell(False, False)}
+    tiles = tile_sums(pixels, **names).select("tile_id", *(F.col(c).cast("long").alias(c) for c in names))
+    # One row, if there are tiles.
+    total = tiles.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in names)).where("n > 0").select(F.lit(-1).cast("long").alias("tile_id"), *names)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return rolled.select(
-        F.when(F.col("g") == 1, -1).otherwise(F.col("tile_id")).alias("tile_id"), "tp", "fp", "fn", "tn",
+    return tiles.unionByName(total).select(
+        "tile_id", "tp", "fp", "fn", "tn",
         ratio(tp, tp + fp + fn).alias("iou"), ratio(2 * tp, 2 * tp + fp + fn).alias("dice"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
     )
 
@@ -103,5 +106,7 @@ def recalibrate(summary: DataFrame, outcome: DataFrame, cut: str, method: str =
     from pyspark.ml.regression import IsotonicRegression
 
     as_vector = VectorAssembler(inputCols=["p"], outputCol="features")
-    model = IsotonicRegression(labelCol="y", predictionCol="recalibrated").fit(as_vector.transform(with_outcome(early, outcome)))
+    # Cells of one p count as one weighted point.
+    points = with_outcome(early, outcome).groupBy("p").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("weight"))
+    model = IsotonicRegression(labelCol="y", predictionCol="recalibrated", weightCol="weight").fit(as_vector.transform(points))
     return model.transform(as_vector.transform(late.select(*CELL, "p"))).select(*CELL, "p", "recalibrated")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -87,20 +88,32 @@ def exceedance(obs: DataFrame, levels: tuple[float, ...] = (60.0, 90.0, 120.0))
     return cells.select(*CELL, "n", F.explode(levels_of).alias("x")).select(*CELL, "x.level", "n", "x.above").select(*CELL, "level", "n", share.alias("share"), F.sqrt(share * (1 - share) / F.col("n")).alias("se"))
 
 
-def _fraction(pixels: DataFrame, key: list) -> DataFrame:
-    p = F.col("prob")
-    return pixels.groupBy(*key).agg(F.count("*").alias("n"), F.avg(p).alias("fraction"), (F.sqrt(F.sum(p * (1 - p))) / F.count("*")).alias("se"))
+def tile_sums(pixels: DataFrame, **terms: Callable[[Column, Column], Column]) -> DataFrame:
+    """tile_id, n and the sum of each term, a function of prob and wet, over a tile's pixels.
+
+    pixels: a row for each pixel, or one for each tile with an array `pixels`, which is
+    summed up in its row without a shuffle. Tiles without pixels are left out.
+    """
+    if "pixels" not in pixels.columns:
+        return pixels.groupBy("tile_id").agg(F.count("*").alias("n"), *(F.sum(f(F.col("prob"), F.col("wet"))).alias(name) for name, f in terms.items()))
+    zero = F.struct(*(F.lit(0.0).alias(name) for name in terms))
+    sums = F.aggregate("pixels", zero, lambda t, x: F.struct(*((t[name] + f(x["prob"], x["wet"]).cast("double")).alias(name) for name, f in terms.items())))
+    rows = pixels.where(F.size("pixels") > 0).select("tile_id", F.size("pixels").cast("long").alias("n"), sums.alias("t"))
+    return rows.select("tile_id", "n", "t.*")
 
 
 def segmentation_fraction(pixels: DataFrame, zones: int = 25, by_zone: bool = False) -> DataFrame:
     """Fraction of water with its standard error, of each tile or, by tile_id modulo `zones`, of each zone."""
-    return _fraction(pixels, [(F.col("tile_id") % zones).cast("int").alias("zone_id")] if by_zone else ["tile_id"])
+    rows = tile_sums(pixels, p=lambda p, _: p, v=lambda p, _: p * (1 - p))
+    if by_zone:
+        rows = rows.groupBy((F.col("tile_id") % zones).cast("int").alias("zone_id")).agg(*(F.sum(c).alias(c) for c in ("n", "p", "v")))
+    return rows.select("zone_id" if by_zone else "tile_id", "n", (F.col("p") / F.col("n")).alias("fraction"), (F.sqrt("v") / F.col("n")).alias("se"))
 
 
 def segmentation_ambiguity(pixels: DataFrame, band: float = 0.1) -> DataFrame:
     """Share of each tile's pixels within `band` of 0.5, and their mean entropy."""
-    near = F.avg(F.when(F.abs(F.col("prob") - 0.5) < band, 1.0).otherwise(0.0))
-    return pixels.groupBy("tile_id").agg(near.alias("ambiguous"), F.avg(entropy(F.col("prob"))).alias("mean_entropy"))
+    rows = tile_sums(pixels, near=lambda p, _: F.when(F.abs(p - 0.5) < band, 1.0).otherwise(0.0), entropy=lambda p, _: entropy(p))
+    return rows.select("tile_id", (F.col("near") / F.col("n")).alias("ambiguous"), (F.col("entropy") / F.col("n")).alias("mean_entropy"))
 
 
 def fuse_sources(summary: DataFrame, zone_fraction: DataFrame, floor: float = 1e-6) -> DataFrame:

@@ -43,15 +43,16 @@ EXPRESSIONS: dict[str, str] = {
     "observation": "select event_id, ts, cast(user_id % 25 as int) as zone_id, event_type as sensor, value from events",
     "forecast_member": """select * from (select zone_id, cast(ts as date) as valid_date, sensor as member, round(avg(value) / (avg(value) + 50.0), 6) as prob, count(*) as n_obs
       from observation group by all) where prob between 0 and 1""",
-    "outcome": "select zone_id, cast(ts as date) as valid_date, case when max(value) >= 120 then 1 else 0 end as flooded, round(max(value), 6) as peak from observation group by all",
+    "outcome": """select zone_id, cast(ts as date) as valid_date, case when max(value) >= 120 then 1 else 0 end as flooded, round(max(value), 6) as peak from observation
+      where value is not null and not isnan(value) group by all""",
     "zone": "select cast(n_nationkey as int) as zone_id, n_name as zone_name, cast(r_regionkey as int) as district_id, r_name as district_name from nation join region on n_regionkey = r_regionkey",
     "exposure": "select cast(c_nationkey as int) as zone_id, c_custkey as asset_id, greatest(c_acctbal, 0.0::double) as population from customer",
     "resource": "select cast(s_nationkey as int) as zone_id, s_suppkey as resource_id, greatest(s_acctbal, 0.0::double) as capacity from supplier",
     "trial": """select o_orderkey as trial_id, o_custkey as participant_id, case when o_custkey % 2 = 0 then 'point' else 'uncertainty' end as arm,
       case when o_orderstatus <> 'F' then 1 else 0 end as ai_correct, case when o_totalprice >= 200000 then 1 else 0 end as accepted, round(o_totalprice / 10000.0, 6) as decision_seconds from orders""",
-    "pixel": """select vec_id as tile_id, pos - 1 as pixel_id, round(1 / (1 + exp(-12 * cast(embedding[pos] as double))), 6) as prob,
+    "pixel": """select * from (select vec_id as tile_id, pos - 1 as pixel_id, round(1 / (1 + exp(-12 * cast(embedding[pos] as double))), 6) as prob,
       case when cast(embedding[pos] as double) + (((vec_id * 31 + (pos - 1) * 17) % 101) / 101.0::double - 0.5) * 0.2 > 0 then 1 else 0 end as wet
-      from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as pos from embeddings)""",
+      from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as pos from embeddings)) where prob between 0 and 1""",
     "daily": "select zone_id, sensor, cast(ts as date) as valid_date, round(avg(value), 9) as mean_value, datediff('day', date '1970-01-01', cast(ts as date)) as day_no from observation group by all",
     "features": """select zone_id, valid_date, sensor, mean_value, max(mean_value) over (w range between 1 preceding and 1 preceding) as lag_value,
       round(avg(mean_value) over (w range between 7 preceding and 1 preceding), 9) as week_mean from daily window w as (partition by zone_id, sensor order by day_no)""",
@@ -70,6 +71,11 @@ EXPRESSIONS: dict[str, str] = {
     "hard_cell": "select zone_id, valid_date, case when p >= 0.5 then 1.0::double else 0.0::double end as p from cell",
     "hard": choose("hard_cell", "zone_id, valid_date"),
     "policies": "select 'aware' as policy, zone_id, valid_date, action from aware union all select 'deterministic', zone_id, valid_date, action from hard",
+    "rates": f"select bin, round(avg(y), 9) as rate from binned where valid_date < {CUT} group by all",
+    "late": f"select zone_id, valid_date, p, coalesce(rate, p) as fixed from (select zone_id, valid_date, p, least(cast(floor(p * 10) as int), 9) as bin from cell where valid_date >= {CUT}) left join rates using (bin)",
+    "late_p": """select 'aware' as policy, zone_id, valid_date, p from late union all select 'deterministic', zone_id, valid_date, cast(p >= 0.5 as int)::double from late
+      union all select 'aware_recalibrated', zone_id, valid_date, fixed from late union all select 'deterministic_recalibrated', zone_id, valid_date, cast(fixed >= 0.5 as int)::double from late""",
+    "late_choice": choose("late_p", "policy, zone_id, valid_date"),
     "realised": """select policy, zone_id, valid_date, realised, realised - (select min(fixed_cost + case when flooded = 1 then loss_if_flood else loss_if_dry end) from action_cost) as regret, miss, false_alarm
       from (select policy, zone_id, valid_date, flooded, fixed_cost + case when flooded = 1 then loss_if_flood else loss_if_dry end as realised,
         cast(flooded = 1 and action = 'none' as int) as miss, cast(flooded = 0 and action = 'evacuate' as int) as false_alarm
@@ -154,6 +160,10 @@ STATEMENTS: dict[str, str] = {
     "d3_decide_deterministic": f"select zone_id, {D}, action, {r4('loss')} as loss from hard",
     "d4_policy_comparison": f"""select policy, coalesce(cast(valid_date as varchar), 'ALL') as valid_date, count(*) as cells, {r4('sum(realised)')} as realised_loss, sum(miss)::bigint as misses, sum(false_alarm)::bigint as false_alarms, {r4('sum(regret)')} as regret
       from realised group by grouping sets ((policy, valid_date), (policy))""",
+    "d4_recalibrated_policies": f"""select policy, coalesce(cast(valid_date as varchar), 'ALL') as valid_date, count(*) as cells, {r4('sum(realised)')} as realised_loss, sum(miss)::bigint as misses, sum(false_alarm)::bigint as false_alarms, {r4('sum(regret)')} as regret
+      from (select policy, valid_date, realised, realised - case when flooded = 1 then 45.0::double else 0.0::double end as regret, cast(flooded = 1 and action = 'none' as int) as miss, cast(flooded = 0 and action = 'evacuate' as int) as false_alarm
+        from (select policy, valid_date, flooded, action, fixed_cost + case when flooded = 1 then loss_if_flood else loss_if_dry end as realised from late_choice join outcome using (zone_id, valid_date) join action_cost using (action)))
+      group by grouping sets ((policy, valid_date), (policy))""",
     "d5_policy_difference_ci": f"""select count(m) as draws, {r4('avg(m)')} as mean_difference, {r4('quantile_cont(m, 0.025)')} as lo, {r4('quantile_cont(m, 0.975)')} as hi from (
         select draw, round(sum(w * difference) / nullif(sum(w * cells), 0), 9) as m from (
           select valid_date, difference, cells, draw, {poisson_one(uniform('valid_date', 'draw'))} as w from (
@@ -170,6 +180,8 @@ STATEMENTS: dict[str, str] = {
     "d9_decision_stability": f"select zone_id, {D}, action, {r4('stability')} as stability from stability",
     "e1_confidence_gate": f"select zone_id, {D}, {r4('p')} as p, {r4('sd')} as sd, members, action, {r4('stability')} as stability, gate from gated",
     "e2_conformal_set": f"select zone_id, {D}, {r4('p')} as p, {r4('qhat')} as qhat, labels from conformal",
+    "e2_conformal_coverage": f"""select case when grouping(labels) = 1 then 'ALL' else labels end as labels, count(*) as cells, sum(flooded)::bigint as flooded,
+      {r4("avg(cast(labels = 'both' or labels = case when flooded = 1 then 'wet' else 'dry' end as int))")} as coverage from conformal join outcome using (zone_id, valid_date) group by rollup (labels)""",
     "e3_risk_coverage": f"select bin, {r4('coverage')} as coverage, {r4('risk')} as risk from curve",
     "e4_pick_threshold": "select min(bin) filter (risk <= 0.2) as bin from curve",
     "e5_abstention_audit": f"""select case when grouping(district_name) = 1 then 'ALL' else district_name end as district, case when grouping(gate) = 1 then 'ALL' else gate end as gate, count(*) as cells,

@@ -40,9 +40,9 @@ query("b1_ensemble_summary")(lambda p, t: p.cell)
 query("b2_ensemble_interval")(lambda p, t: p.interval)
 query("b3_entropy_split")(lambda p, t: uncertainty.entropy_split(t.forecast_member))
 query("b4_exceedance")(lambda p, t: uncertainty.exceedance(t.observation))
-query("b5_tile_fraction")(lambda p, t: uncertainty.segmentation_fraction(t.pixel))
-query("b5_zone_fraction")(lambda p, t: uncertainty.segmentation_fraction(t.pixel, by_zone=True))
-query("b6_segmentation_ambiguity")(lambda p, t: uncertainty.segmentation_ambiguity(t.pixel))
+query("b5_tile_fraction")(lambda p, t: uncertainty.segmentation_fraction(t.tile))
+query("b5_zone_fraction")(lambda p, t: uncertainty.segmentation_fraction(t.tile, by_zone=True))
+query("b6_segmentation_ambiguity")(lambda p, t: uncertainty.segmentation_ambiguity(t.tile))
 query("b7_fuse_sources")(lambda p, t: p.fused)
 query("c1_score_probabilities")(lambda p, t: reliability.score_probabilities(p.cell, t.outcome, t.zone))
 query("c2_reliability_table")(lambda p, t: p.reliability)
@@ -50,13 +50,14 @@ query("c3_calibration_error")(lambda p, t: reliability.calibration_error(p.relia
 query("c4_brier_decomposition")(lambda p, t: reliability.brier_decomposition(p.reliability))
 query("c5_interval_coverage")(lambda p, t: reliability.interval_coverage(t.outcome, CUT))
 query("c6_crps_ensemble")(lambda p, t: reliability.crps_ensemble(t.forecast_member, t.outcome))
-query("c7_segmentation_scores")(lambda p, t: reliability.segmentation_scores(t.pixel))
+query("c7_segmentation_scores")(lambda p, t: reliability.segmentation_scores(t.tile))
 query("c8_recalibrate_histogram")(lambda p, t: reliability.recalibrate(p.cell, t.outcome, CUT))
 query("c8_recalibrate_isotonic")(lambda p, t: reliability.recalibrate(p.cell, t.outcome, CUT, "isotonic"))
 query("d1_expected_loss")(lambda p, t: decisions.expected_loss(p.cell.select("zone_id", "valid_date", "p"), t.action_cost).drop("p"))
 query("d2_decide_uncertainty_aware")(lambda p, t: decisions.decide_uncertainty_aware(p.cell, t.action_cost))
 query("d3_decide_deterministic")(lambda p, t: decisions.decide_deterministic(p.cell, t.action_cost))
 query("d4_policy_comparison")(lambda p, t: all_dates(decisions.policy_comparison(p.policies, t.outcome, t.action_cost)))
+query("d4_recalibrated_policies")(lambda p, t: all_dates(decisions.policy_comparison(p.late_policies, t.outcome, t.action_cost)))
 query("d5_policy_difference_ci")(lambda p, t: decisions.policy_difference_ci(p.policies, t.outcome, t.action_cost, "aware", "deterministic"))
 query("d6_propagate_linear")(lambda p, t: decisions.propagate_linear(p.cell, t.exposure, t.zone))
 query("d7_propagate_monte_carlo")(lambda p, t: decisions.propagate_monte_carlo(p.drawn))
@@ -64,6 +65,7 @@ query("d8_capacity_shortfall")(lambda p, t: decisions.capacity_shortfall(p.drawn
 query("d9_decision_stability")(lambda p, t: p.stability)
 query("e1_confidence_gate")(lambda p, t: p.gated)
 query("e2_conformal_set")(lambda p, t: p.conformal)
+query("e2_conformal_coverage")(lambda p, t: gating.conformal_coverage(p.conformal, t.outcome))
 query("e3_risk_coverage")(lambda p, t: gating.risk_coverage_curve(p.cell, t.outcome))
 query("e4_pick_threshold")(lambda p, t: gating.pick_threshold(gating.risk_coverage_curve(p.cell, t.outcome)))
 query("e5_abstention_audit")(lambda p, t: gating.abstention_audit(p.gated, t.outcome, t.zone))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ class Plan:
 
     @property
     def fused(self) -> DataFrame:
-        return uncertainty.fuse_sources(self.cell, uncertainty.segmentation_fraction(self.tables.pixel, by_zone=True))
+        return uncertainty.fuse_sources(self.cell, uncertainty.segmentation_fraction(self.tables.tile, by_zone=True))
 
     @property
     def policies(self) -> DataFrame:
@@ -33,6 +35,20 @@ class Plan:
         actions = self.tables.action_cost
         return named(decisions.decide_uncertainty_aware(self.cell, actions), "aware").unionByName(named(decisions.decide_deterministic(self.cell, actions), "deterministic"))
 
+    @property
+    def late_policies(self) -> DataFrame:
+        """Both choices on the cells from the cut on, and both on recalibrated p: what of a policy's gain is the forecast's bias."""
+        actions, t = self.tables.action_cost, self.tables
+        fixed = reliability.recalibrate(self.cell, t.outcome, CUT)
+        late, better = fixed.select("zone_id", "valid_date", "p"), fixed.select("zone_id", "valid_date", F.col("recalibrated").alias("p"))
+        chosen = {
+            "aware": decisions.decide_uncertainty_aware(late, actions),
+            "deterministic": decisions.decide_deterministic(late, actions),
+            "aware_recalibrated": decisions.decide_uncertainty_aware(better, actions),
+            "deterministic_recalibrated": decisions.decide_deterministic(better, actions),
+        }
+        return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("policy"), "zone_id", "valid_date", "action") for name, rows in chosen.items()])
+
     @property
     def reliability(self) -> DataFrame:
         return reliability.reliability_table(self.cell, self.tables.outcome)
@@ -55,7 +71,7 @@ class Plan:
 
     @property
     def limits(self) -> DataFrame:
-        return recommendation.limitations(self.cell, self.fused, self.reliability)
+        return recommendation.limitations(self.cell, self.fused, self.reliability, self.tables.removed_members)
 
     def parts(self) -> dict[str, DataFrame]:
         t, gated, limits = self.tables, self.gated, self.limits

@@ -1,7 +1,9 @@
 """Input tables: the given Parquet tables and the flood tables derived from them.
 
 Every derived table is declared once, as a DataFrame; probabilities that are null,
-NaN or outside [0, 1] are removed and can be counted (`bad_probabilities`).
+NaN or outside [0, 1] are removed, of members and of pixels, and can be counted
+(`bad_probabilities`, `removed_members`). Observations without a finite value say nothing
+of an outcome.
 """
 
 from __future__ import annotations
@@ -61,9 +63,16 @@ class Tables:
     def bad_probabilities(self) -> DataFrame:
         return self.raw_members.agg(F.count(F.when(~F.coalesce(is_probability(), F.lit(False)), 1)).alias("removed"))
 
+    @cached_property
+    def removed_members(self) -> DataFrame:
+        """zone_id, valid_date and how many members of the cell were removed."""
+        return self.raw_members.where(~F.coalesce(is_probability(), F.lit(False))).groupBy("zone_id", "valid_date").agg(F.count("*").alias("removed"))
+
     @cached_property
     def outcome(self) -> DataFrame:
-        daily = self.observation.groupBy("zone_id", F.to_date("ts").alias("valid_date"))
+        # NaN would be the largest value.
+        known = self.observation.where(F.col("value").isNotNull() & ~F.isnan("value"))
+        daily = known.groupBy("zone_id", F.to_date("ts").alias("valid_date"))
         return daily.agg(F.max(F.when(F.col("value") >= FLOOD_LEVEL, 1).otherwise(0)).alias("flooded"), F.round(F.max("value"), 6).alias("peak"))
 
     @cached_property
@@ -93,13 +102,22 @@ class Tables:
             F.round(F.col("o_totalprice") / 10000.0, 6).alias("decision_seconds"),
         )
 
+    @cached_property
+    def tile(self) -> DataFrame:
+        """Tiles of 8 x 8 pixels, each with the array of its pixels: probability of water, and whether there was water."""
+
+        def pixel(x, i):
+            logit = x.cast("double")
+            noise = (((F.col("vec_id") * 31 + i * 17) % 101) / F.lit(101.0) - 0.5) * 0.2
+            return F.struct(i.alias("pixel_id"), F.round(1 / (1 + F.exp(-12 * logit)), 6).alias("prob"), F.when(logit + noise > 0, 1).otherwise(0).alias("wet"))
+
+        valid = lambda x: F.coalesce(x["prob"].between(0.0, 1.0) & ~F.isnan(x["prob"]), F.lit(False))
+        return self.read("embeddings").select(F.col("vec_id").alias("tile_id"), F.filter(F.transform("embedding", pixel), valid).alias("pixels"))
+
     @cached_property
     def pixel(self) -> DataFrame:
-        """Tiles of 8 x 8 pixels: probability of water, and whether there was water."""
-        pixels = self.read("embeddings").select(F.col("vec_id").alias("tile_id"), F.posexplode("embedding").alias("pixel_id", "logit"))
-        noise = (((F.col("tile_id") * 31 + F.col("pixel_id") * 17) % 101) / F.lit(101.0) - 0.5) * 0.2
-        logit = F.col("logit").cast("double")
-        return pixels.select("tile_id", "pixel_id", F.round(1 / (1 + F.exp(-12 * logit)), 6).alias("prob"), F.when(logit + noise > 0, 1).otherwise(0).alias("wet"))
+        """The pixels of the tiles, a row each."""
+        return self.tile.select("tile_id", F.explode("pixels").alias("x")).select("tile_id", "x.*")
 
     @cached_property
     def action_cost(self) -> DataFrame:

@@ -1,12 +1,17 @@
 """Hand-made inputs with worked answers, and properties that hold for any input."""
 
 import datetime as dt
+import hashlib
 import math
+import random
+import statistics
 
+import numpy as np
 import pytest
 
+from rivulet.functions.numbers import POISSON_ONE
 from rivulet.operators import communication, decisions, gating, recommendation, reliability, uncertainty
-from rivulet.sources.tables import ACTIONS
+from rivulet.sources.tables import ACTIONS, Tables
 
 DAY = dt.date(2024, 1, 10)
 MEMBER = "zone_id int, valid_date date, member string, prob double, n_obs long"
@@ -236,3 +241,94 @@ def test_pushdown(spark, sf_dir):
     plan = Plan(spark, sf_dir).tables.outcome._jdf.queryExecution().executedPlan().toString()
     schema = plan[plan.index("ReadSchema") :]
     assert "props" not in schema and "event_type" not in schema
+
+
+def test_unusable_values_go(spark, tmp_path):
+    """Null, NaN and out-of-range probabilities of members and pixels are removed and counted; NaN observations flood nothing."""
+    nan = float("nan")
+    spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 1), 1, "a", 30.0), (2, dt.datetime(2024, 1, 1), 1, "b", -80.0), (3, dt.datetime(2024, 1, 1), 1, "c", nan), (4, dt.datetime(2024, 1, 1), 1, "d", None), (5, dt.datetime(2024, 1, 1), 2, "a", nan)],
+        "event_id long, ts timestamp, user_id long, event_type string, value double",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, [0.5, nan, None, -0.5]), (2, None), (3, [None]), (4, [])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    t = Tables(spark, str(tmp_path))
+    assert [r.member for r in t.forecast_member.collect()] == ["a"]
+    assert t.bad_probabilities.first().removed == 4 and {r.zone_id: r.removed for r in t.removed_members.collect()} == {1: 3, 2: 1}
+    assert [(r.zone_id, r.flooded, r.peak) for r in t.outcome.collect()] == [(1, 0, 30.0)]
+    assert t.pixel.count() == 2
+    for pixels in (t.tile, t.pixel):
+        rows = uncertainty.segmentation_fraction(pixels).collect()
+        assert [(r.tile_id, r.n) for r in rows] == [(1, 2)] and 0 < rows[0].fraction < 1
+        assert [(r.tile_id, r.tp, r.tn) for r in reliability.segmentation_scores(pixels).collect()] == [(1, 1, 1), (-1, 1, 1)]
+        assert len(uncertainty.segmentation_ambiguity(pixels).collect()) == 1
+
+
+def test_removed_probabilities_are_a_limitation(spark, members, outcome):
+    summary = uncertainty.ensemble_summary(members)
+    fused = uncertainty.fuse_sources(summary, spark.createDataFrame([(1, 5, 0.5, 0.1)], "zone_id int, n long, fraction double, se double"))
+    first = summary.orderBy("zone_id", "valid_date").first()
+    removed = spark.createDataFrame([(first.zone_id, first.valid_date, 2)], "zone_id int, valid_date date, removed long")
+    limits = recommendation.limitations(summary, fused, reliability.reliability_table(summary, outcome), removed)
+    assert [(r.zone_id, r.valid_date) for r in limits.where("array_contains(flags, 'probabilities_removed')").collect()] == [(first.zone_id, first.valid_date)]
+
+
+def test_isotonic_by_hand(spark):
+    """Pools 0.4 (rate 1) and 0.6 (rate 0.5), as rates must not fall: (2 * 1 + 2 * 0.5) / 4."""
+    days = [dt.date(2024, 1, d) for d in range(1, 8)]
+    p = [0.2, 0.4, 0.4, 0.6, 0.6, 0.2, 0.6]
+    y = [0, 1, 1, 1, 0]
+    cells = spark.createDataFrame([(1, d, x) for d, x in zip(days, p, strict=True)], "zone_id int, valid_date date, p double")
+    outcome = spark.createDataFrame([(1, d, x) for d, x in zip(days, y, strict=False)], "zone_id int, valid_date date, flooded int")
+    got = {r.valid_date: r.recalibrated for r in reliability.recalibrate(cells, outcome, "2024-01-06", "isotonic").collect()}
+    assert got == {days[5]: pytest.approx(0.0), days[6]: pytest.approx(0.75)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 2001])
+def test_exact_median(spark, n):
+    rng = random.Random(n)
+    rows = [(k, round(rng.choice([rng.random(), 0.5]), 3)) for k in ("a", "b") for _ in range(n)] + [("b", None)]
+    got = {r.k: r.median for r in communication.exact_median(spark.createDataFrame(rows, "k string, v double"), "k", "v", accuracy=1000).collect()}
+    assert got == {k: pytest.approx(statistics.median(v for x, v in rows if x == k and v is not None)) for k in ("a", "b")}
+
+
+def test_conformal_coverage(spark):
+    rows = [("both", 1), ("both", 0), ("wet", 1), ("wet", 0), ("none", 1)]
+    cells = spark.createDataFrame([(i, dt.date(2024, 2, 1), s) for i, (s, _) in enumerate(rows)], "zone_id int, valid_date date, labels string")
+    outcome = spark.createDataFrame([(i, dt.date(2024, 2, 1), y) for i, (_, y) in enumerate(rows)], "zone_id int, valid_date date, flooded int")
+    got = {r.labels: (r.cells, r.flooded, r.coverage) for r in gating.conformal_coverage(cells, outcome).collect()}
+    assert got == {"both": (2, 1, 1.0), "wet": (2, 1, 0.5), "none": (1, 1, 0.0), "ALL": (5, 3, pytest.approx(0.6))}
+
+
+def test_bagged_forecast_equals_newton_steps(spark):
+    """Each member is a ridge-regularised logistic regression on its bootstrap, fitted here by Newton's method."""
+    rng = np.random.default_rng(3)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=d) for d in range(24)]
+    rows = [(z, d, s, 1.0, float(rng.normal(50, 10)), float(rng.normal(40, 5))) for z in range(4) for d in days for s in ("a", "b")]
+    features = spark.createDataFrame(rows, "zone_id int, valid_date date, sensor string, mean_value double, lag_value double, week_mean double")
+    x = {}
+    for z, d, _, _, lag, week in rows:
+        x.setdefault((z, d), []).append((lag, week))
+    x = {k: np.array([np.mean([a for a, _ in v]), max(a for a, _ in v), np.mean([b for _, b in v])]) for k, v in x.items()}
+    y = {k: int(v[0] + rng.normal(0, 8) > 50) for k, v in x.items()}
+    outcome = spark.createDataFrame([(*k, v) for k, v in y.items()], "zone_id int, valid_date date, flooded int")
+    got = {(r.zone_id, r.valid_date, r.member): r.prob for r in uncertainty.bagged_forecast(features, outcome, 2, "2024-01-16", max_iter=100).collect()}
+    cut = dt.date(2024, 1, 16)
+    early, late = [k for k in x if k[1] < cut], [k for k in x if k[1] >= cut]
+    assert set(got) == {(*k, f"bag{m}") for k in late for m in range(2)}
+    for m in range(2):
+        u = [int(hashlib.md5(f"{m}|{z}|{d}".encode()).hexdigest()[:8], 16) / 2**32 for z, d in early]
+        w = np.array([sum(v >= b for b in POISSON_ONE) for v in u], float)
+        a, t = np.array([x[k] for k in early])[w > 0], np.array([y[k] for k in early])[w > 0]
+        w = w[w > 0]
+        mean = (w @ a) / w.sum()
+        sd = np.sqrt((w @ (a - mean) ** 2) / w.sum() * w.sum() / (w.sum() - 1))
+        q, beta = np.c_[a / sd, np.ones(len(a))], np.zeros(4)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-q @ beta))
+            ridge = 0.01 * np.array([1, 1, 1, 0])
+            g = q.T @ (w * (p - t)) / w.sum() + ridge * beta
+            h = (q * (w * p * (1 - p))[:, None]).T @ q / w.sum() + np.diag(ridge)
+            beta -= np.linalg.solve(h, g)
+        for k in late:
+            want = 1 / (1 + np.exp(-(np.append(x[k] / sd, 1) @ beta)))
+            assert got[(*k, f"bag{m}")] == pytest.approx(want, abs=2e-3)

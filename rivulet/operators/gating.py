@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,10 +12,14 @@ from .reliability import with_outcome
 CELL = ["zone_id", "valid_date"]
 
 
+def gate_of(stability: Column, sd: Column, members: Column, least_members: int = 3, abstain_below: float = 0.2, act_from: float = 0.6, act_sd: float = 0.15) -> Column:
+    """act, verify or abstain."""
+    return F.when((stability < abstain_below) | (members < least_members), "abstain").when((stability >= act_from) & (sd <= act_sd), "act").otherwise("verify")
+
+
 def confidence_gate(summary: DataFrame, stability: DataFrame, least_members: int = 3, abstain_below: float = 0.2, act_from: float = 0.6, act_sd: float = 0.15) -> DataFrame:
     """act, verify or abstain for each cell, by stability, spread and number of members."""
-    s, n, sd = F.col("stability"), F.col("members"), F.col("sd")
-    gate = F.when((s < abstain_below) | (n < least_members), "abstain").when((s >= act_from) & (sd <= act_sd), "act").otherwise("verify")
+    gate = gate_of(F.col("stability"), F.col("sd"), F.col("members"), least_members, abstain_below, act_from, act_sd)
     return summary.select(*CELL, "p", "sd", "members").join(stability.select(*CELL, "action", "stability"), CELL).withColumn("gate", gate)
 
 

@@ -113,6 +113,17 @@ EXPRESSIONS: dict[str, str] = {
     "situation": """select zone_id, valid_date, p, p * coalesce(population, 0.0) as expected_affected,
         p - max(p) over (partition by zone_id order by datediff('day', date '1970-01-01', valid_date) range between 1 preceding and 1 preceding) as change
       from cell left join context using (zone_id)""",
+    "belief": """select zone_id, n, newest, (wet + 1) / (n + 2) as exact_p, (wet + 1) * (n - wet + 1) / ((n + 2) * (n + 2) * (n + 3)) as variance
+      from (select zone_id, count(*)::double as n, count(*) filter (value >= 120)::double as wet, max(ts) as newest from observation group by all)""",
+    "belief_cell": "select zone_id, round(exact_p, 9) as p from belief",
+    "belief_choice": choose("belief_cell", "zone_id"),
+    "belief_place": """select zone_id, place, round(least(greatest(round(exact_p, 9) + place * sqrt(variance), 0.0::double), 1.0::double), 9) as p
+      from belief cross join (select unnest([-1.5, -0.75, 0.0, 0.75, 1.5])::double as place)""",
+    "place_choice": choose("belief_place", "zone_id, place"),
+    "followed": """select b.zone_id, b.n::bigint as n, newest, exact_p, variance, c.action, c.loss, case when stability < 0.2 then 'abstain' when stability >= 0.6 and sqrt(variance) <= 0.15 then 'act' else 'verify' end as gate
+      from belief b join belief_choice c using (zone_id) join (select zone_id, round(avg(cast(p.action = c.action as int)), 9) as stability from place_choice p join belief_choice c using (zone_id) group by all) using (zone_id)""",
+    "followed_by": """select f.event_id as forecast_id, f.value as forecast_value, o.event_id as outcome_id, o.ts as outcome_ts, o.value as outcome_value, f.zone_id from observation f join observation o
+      on f.zone_id = o.zone_id and f.sensor = 'view' and o.sensor = 'error' and o.ts > f.ts and o.ts <= f.ts + interval 1 hour""",
     "people": "select arm, participant_id, avg(cast(ai_correct = accepted as int)) as mean from trial group by all",
     "arms": """select avg(mean) filter (arm = 'uncertainty') as ma, avg(mean) filter (arm = 'point') as mb, var_samp(mean) filter (arm = 'uncertainty') as va, var_samp(mean) filter (arm = 'point') as vb,
       count(*) filter (arm = 'uncertainty') as na, count(*) filter (arm = 'point') as nb from people""",
@@ -212,6 +223,13 @@ STATEMENTS: dict[str, str] = {
           select zone_id, ts, value, coalesce(ts - lag(ts) over (partition by zone_id order by ts) >= interval 6 hours, true) as gap from observation)) group by zone_id, session""",
     "h3_stream_belief": f"""select zone_id, n, {r4('(wet + 1) / (n + 2)')} as p, round((wet + 1) * (n - wet + 1) / ((n + 2) * (n + 2) * (n + 3)) + 1e-12, 8) as variance
       from (select zone_id, count(*)::double as n, count(*) filter (value >= 120)::double as wet from observation group by all)""".replace("select zone_id, n,", "select zone_id, n::bigint as n,"),
+    "h4_stream_decide": f"select zone_id, n, {r4('exact_p')} as p, round(variance + 1e-12, 8) as variance, action, {r4('loss')} as loss, gate from followed",
+    "h5_outcome_status": """select event_id as forecast_id, coalesce(outcome_id, -1) as outcome_id, f.zone_id, case when outcome_id is null then 'missing' else 'matched' end as status
+      from observation f left join followed_by on forecast_id = event_id where sensor = 'view'""",
+    "h6_stream_drift": f"""select cast(cast(outcome_ts as date) as varchar) as start, count(*) as n, {r4('avg(e)')} as brier, avg(e) > 1.5 * max(batch) as alarm from (
+        select outcome_ts, (forecast_value / (forecast_value + 50.0) - cast(outcome_value >= 120 as int)) * (forecast_value / (forecast_value + 50.0) - cast(outcome_value >= 120 as int)) as e from followed_by)
+      cross join (select avg((p - y) * (p - y)) as batch from scored) group by cast(outcome_ts as date)""",
+    "h7_publish_latest": "select gate, count(*) as zones, strftime(max(newest), '%Y-%m-%d %H:%M:%S.%f') as newest from followed group by gate",
     "h5_outcome_join": """select f.event_id as forecast_id, o.event_id as outcome_id, f.zone_id from observation f join observation o on f.zone_id = o.zone_id and f.sensor = 'view' and o.sensor = 'error'
       and o.ts > f.ts and o.ts <= f.ts + interval 1 hour""",
 }

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.numbers import out
 from ..operators import communication, decisions, gating, recommendation, reliability, uncertainty
-from ..sources.tables import CUT, Tables
+from ..sources.tables import ACTIONS, CUT, Tables
 from ..streaming import follow
 from .oracle import oracle_sql
 from .recommend import Plan, evaluate, recommend
@@ -106,74 +109,127 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def live_observations(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table as a stream of observations."""
-    events = spark.readStream.schema(spark.read.parquet(f"{folder}/events.parquet").schema).parquet(f"{folder}/events*.parquet")
-    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 25).cast("int").alias("zone_id"), F.col("event_type").alias("sensor"), "value")
+#: Spans of time that the events are fed in, and files of each.
+SPANS, FILES = 3, 4
+HEARTBEAT = "heartbeat"
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs the stream over what is there and returns its output: all rows appended or updated, or the last complete table."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", follow.STATE_STORE)
+def feed(spark: SparkSession, folder: str) -> str:
+    """A folder of the events as they would arrive: one span of time after another, with replays, and a heartbeat at the end.
+
+    Every seventh observation comes twice, and each span repeats the last half hour of the
+    one before. The heartbeat, two days later, lets the watermark pass all windows.
+    """
+    events = Tables(spark, folder).observation
     path = scratch(spark)
-    how = "overwrite" if mode == "complete" else "append"
-    writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode(how).parquet(f"{path}/out"))
-    writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        events.write.parquet(f"{path}/in")
+        return f"{path}/in"
+    cuts = [first + (last - first) * k / SPANS for k in range(SPANS)] + [last + dt.timedelta(microseconds=1)]
+    for k in range(SPANS):
+        span = lambda lo, hi: events.where((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi)))
+        own = span(cuts[k], cuts[k + 1])
+        rows = own.unionByName(own.where("event_id % 7 = 0"))
+        if k:
+            rows = rows.unionByName(span(max(cuts[k] - dt.timedelta(minutes=30), cuts[k - 1]), cuts[k]))
+        rows.repartition(FILES).write.mode("append").parquet(f"{path}/in")
+    beat = events.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(last + dt.timedelta(days=2)).alias("ts"), F.lit(-1).alias("zone_id"), F.lit(HEARTBEAT).alias("sensor"), F.lit(0.0).alias("value"))
+    beat.write.mode("append").parquet(f"{path}/in")
+    return f"{path}/in"
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """Runs the stream over what is there and returns the rows that it appended; none may have come too late."""
+    path = scratch(stream.sparkSession)
+    ended(stream.writeStream.outputMode("append").foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def ended(query: StreamingQuery) -> None:
+    query.awaitTermination()
+    late = sum(state["numRowsDroppedByWatermark"] for p in query.recentProgress for state in json.loads(p.json)["stateOperators"])
+    if late:
+        raise RuntimeError(f"{late} rows came after the watermark")
+
+
+def streamed(f: Callable[[SparkSession, DataFrame], DataFrame]) -> Query:
+    """A query over the events as a stream of several batches."""
 
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", follow.STATE_STORE)
+        return f(spark, follow.read_observations(spark, feed(spark, folder), FILES))
 
-def h1(spark: SparkSession, folder: str) -> DataFrame:
-    return drained(follow.stream_dedup(live_observations(spark, folder))).groupBy("zone_id", "sensor").agg(F.count("*").alias("events"))
+    return run
 
 
-def windows(kind: str, pattern: str) -> Query:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        rows = drained(follow.stream_windows(live_observations(spark, folder), kind), "complete")
-        return presented(rows.withColumn("start", F.date_format("start", pattern)).drop("end"))
+def once(obs: DataFrame) -> DataFrame:
+    return follow.stream_dedup(obs)
 
-    return run
 
+def h1(spark: SparkSession, obs: DataFrame) -> DataFrame:
+    return drained(once(obs)).where("zone_id >= 0").groupBy("zone_id", "sensor").agg(F.count("*").alias("events"))
 
-def h3(spark: SparkSession, folder: str) -> DataFrame:
-    rows = drained(follow.stream_belief(live_observations(spark, folder)), "update")
+
+def windows(kind: str, pattern: str) -> Query:
+    # The watermark is set with the dedup, so the windows set none.
+    return streamed(lambda spark, obs: presented(drained(follow.stream_windows(once(obs), kind, None)).withColumn("start", F.date_format("start", pattern)).drop("end")))
+
+
+def h3(spark: SparkSession, obs: DataFrame) -> DataFrame:
+    rows = drained(follow.stream_belief(once(obs), mode="append")).where("zone_id >= 0")
     last = rows.groupBy("zone_id").agg(F.max(F.struct("n", "p", "variance")).alias("b")).select("zone_id", "b.*")
-    return last.select("zone_id", "n", out(F.col("p")).alias("p"), F.round(F.col("variance") + 1e-12, 8).alias("variance"))
+    return last.select("zone_id", "n", out(F.col("p")).alias("p"), small(F.col("variance")).alias("variance"))
 
 
-def h4(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", follow.STATE_STORE)
+def small(x: Column) -> Column:
+    return F.round(x + 1e-12, 8)
+
+
+def h4(spark: SparkSession, obs: DataFrame) -> DataFrame:
     path = scratch(spark)
-    follow.stream_decide(live_observations(spark, folder), Tables(spark, folder).action_cost, follow.publish_latest(f"{path}/latest"), f"{path}/checkpoint").awaitTermination()
-    return follow.latest(spark, f"{path}/latest")
+    actions = spark.createDataFrame(ACTIONS, "action string, fixed_cost double, loss_if_flood double, loss_if_dry double")
+    ended(follow.follow(obs, actions, path))
+    rows = follow.latest(spark, f"{path}/latest").where("zone_id >= 0")
+    return rows.withColumns({"p": out(F.col("p")), "variance": small(F.col("variance")), "loss": out(F.col("loss"))})
+
 
+def view_and_error(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Forecasts and outcomes of one stream, each once and with the heartbeat; their watermarks are set."""
+    return tuple(once(obs.where(F.col("sensor").isin(sensor, HEARTBEAT))) for sensor in ("view", "error"))
 
-def h5_stream(spark: SparkSession, folder: str) -> DataFrame:
-    obs = live_observations(spark, folder)
-    return follow.stream_outcome_join(obs.where("sensor = 'view'"), live_observations(spark, folder).where("sensor = 'error'"))
 
+def h5(spark: SparkSession, obs: DataFrame) -> DataFrame:
+    return drained(follow.stream_outcome_join(*view_and_error(obs), delay=None)).select("forecast_id", "outcome_id", "zone_id")
 
-def h5(spark: SparkSession, folder: str) -> DataFrame:
-    return drained(h5_stream(spark, folder)).select("forecast_id", "outcome_id", "zone_id")
+
+def h5_status(spark: SparkSession, obs: DataFrame) -> DataFrame:
+    rows = drained(follow.stream_outcome_status(*view_and_error(obs), delay=None)).where("zone_id >= 0")
+    # -1: no outcome.
+    return rows.select("forecast_id", F.coalesce("outcome_id", F.lit(-1)).cast("long").alias("outcome_id"), "zone_id", "status")
 
 
 def h6(spark: SparkSession, folder: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", follow.STATE_STORE)
     plan = Plan(spark, folder)
     # One row: the batch score that the stream is held against.
     batch = reliability.score_probabilities(plan.cell, plan.tables.outcome, plan.tables.zone).where("district = 'ALL'").first()["brier"]
-    return drained(follow.stream_drift(h5_stream(spark, folder), batch))
+    obs = follow.read_observations(spark, feed(spark, folder), FILES)
+    joined = follow.stream_outcome_join(*view_and_error(obs), delay=None)
+    return presented(drained(follow.stream_drift(joined, batch)).withColumn("start", F.date_format("start", "yyyy-MM-dd")))
 
 
 QUERIES |= {
-    "h1_stream_dedup": h1,
+    "h1_stream_dedup": streamed(h1),
     "h2_tumbling_windows": windows("tumbling", "yyyy-MM-dd"),
     "h2_sliding_windows": windows("sliding", "yyyy-MM-dd HH:mm:ss"),
     "h2_session_windows": windows("session", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
-    "h3_stream_belief": h3,
-    "h4_stream_decide": lambda spark, folder: h4(spark, folder).drop("ts"),
-    "h5_outcome_join": h5,
+    "h3_stream_belief": streamed(h3),
+    "h4_stream_decide": streamed(lambda spark, obs: h4(spark, obs).drop("ts")),
+    "h5_outcome_join": streamed(h5),
+    "h5_outcome_status": streamed(h5_status),
     "h6_stream_drift": h6,
-    "h7_publish_latest": lambda spark, folder: h4(spark, folder).groupBy("gate").agg(F.count("*").alias("zones"), F.max("ts").alias("newest")),
+    "h7_publish_latest": streamed(lambda spark, obs: h4(spark, obs).groupBy("gate").agg(F.count("*").alias("zones"), F.max(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("newest"))),
 }
 
 __all__ = ["QUERIES", "evaluate", "oracle_sql", "recommend"]

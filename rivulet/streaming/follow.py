@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ..operators.decisions import decide_uncertainty_aware
+from ..operators.gating import gate_of
 
 OBSERVATION = "event_id long, ts timestamp, zone_id int, sensor string, value double"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -74,27 +75,53 @@ def belief_processor(level: float) -> StatefulProcessor:
 BELIEF = "zone_id int, ts timestamp, n long, p double, variance double"
 
 
-def stream_belief(obs: DataFrame, level: float = 120.0) -> DataFrame:
-    """Each zone's Beta(1, 1) belief after every batch that has rows of it: mean and variance. State is two counts a zone."""
-    return obs.select("zone_id", "ts", "value").groupBy("zone_id").transformWithStateInPandas(belief_processor(level), BELIEF, "update", "none")
+def stream_belief(obs: DataFrame, level: float = 120.0, mode: str = "update") -> DataFrame:
+    """Each zone's Beta(1, 1) belief after every batch that has rows of it: mean and variance. State is two counts a zone.
+
+    mode: that of the query; after another stateful operator it has to be append.
+    """
+    return obs.select("zone_id", "ts", "value").groupBy("zone_id").transformWithStateInPandas(belief_processor(level), BELIEF, mode, "none")
+
+
+#: Places in a belief's distribution whose decisions are compared: standard deviations from its mean.
+PLACES = (-1.5, -0.75, 0.0, 0.75, 1.5)
 
 
-def decide_on(beliefs: DataFrame, actions: DataFrame, act_sd: float = 0.05) -> DataFrame:
-    """Best action by zone for a batch of beliefs, and whether the belief is sure enough to act on."""
+def decide_on(beliefs: DataFrame, actions: DataFrame, act_sd: float = 0.15) -> DataFrame:
+    """Best action by zone for a batch of beliefs, and the gate of E1: act, verify or abstain.
+
+    A belief's members are five places of its distribution, so its stability is the share
+    of them with the same best action; a belief without observations has no members.
+    """
     w = Window.partitionBy("zone_id").orderBy(F.desc("ts"), F.desc("n"))
     newest = beliefs.withColumn("r", F.row_number().over(w)).where("r = 1").withColumn("p", F.round("p", 9)).drop("r")
     chosen = decide_uncertainty_aware(newest, actions, ["zone_id"])
-    gate = F.when(F.sqrt("variance") <= act_sd, "act").otherwise("verify")
-    return newest.select("zone_id", "ts", "n", "p", "variance").join(chosen, "zone_id").withColumn("gate", gate)
+    places = F.explode(F.array(*(F.lit(x) for x in PLACES))).alias("place")
+    members = newest.where("n > 0").select("zone_id", "p", "variance", places)
+    at = F.round(F.least(F.greatest(F.col("p") + F.col("place") * F.sqrt("variance"), F.lit(0.0)), F.lit(1.0)), 9)
+    own = decide_uncertainty_aware(members.select("zone_id", "place", at.alias("p")), actions, ["zone_id", "place"]).select("zone_id", F.col("action").alias("own"))
+    agreed = own.join(chosen, "zone_id").groupBy("zone_id").agg(F.count("*").alias("members"), F.round(F.avg((F.col("own") == F.col("action")).cast("double")), 9).alias("stability"))
+    rows = newest.select("zone_id", "ts", "n", "p", "variance").join(chosen, "zone_id").join(agreed, "zone_id", "left")
+    gate = gate_of(F.coalesce("stability", F.lit(0.0)), F.sqrt("variance"), F.coalesce("members", F.lit(0)), act_sd=act_sd)
+    return rows.withColumn("gate", gate).drop("members", "stability")
 
 
-def stream_decide(obs: DataFrame, actions: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts belief -> decision -> sink. Ranking isn't allowed on streams, so it happens for each batch."""
+def stream_decide(obs: DataFrame, actions: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, delay: str | None = "1 hour"):
+    """Starts dedup -> belief -> decision -> sink. Ranking isn't allowed on streams, so it happens for each batch.
+
+    A replayed observation counts once within the watermark's delay; None leaves duplicates in.
+    """
+    beliefs, mode = (stream_belief(stream_dedup(obs, delay), mode="append"), "append") if delay else (stream_belief(obs), "update")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         sink(decide_on(batch, actions), batch_id)
 
-    return stream_belief(obs).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return beliefs.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow(stream: DataFrame, actions: DataFrame, folder: str, delay: str = "1 hour"):
+    """The closed loop: observations, each once, to beliefs, decisions and the newest recommendation of each zone in `folder`."""
+    return stream_decide(stream, actions, publish_latest(f"{folder}/latest"), f"{folder}/checkpoint", delay)
 
 
 def stream_outcome_join(forecasts: DataFrame, outcomes: DataFrame, delay: str | None = "1 hour", within: str = "1 hour") -> DataFrame:
@@ -107,6 +134,19 @@ def stream_outcome_join(forecasts: DataFrame, outcomes: DataFrame, delay: str |
     return f.join(o, near).drop("outcome_zone")
 
 
+def stream_outcome_status(forecasts: DataFrame, outcomes: DataFrame, delay: str | None = "1 hour", within: str = "1 hour") -> DataFrame:
+    """As stream_outcome_join, with the forecasts that no outcome followed: status is matched or missing.
+
+    A missing one is told once the watermark has passed the time in which an outcome could come.
+    """
+    f = forecasts.select(F.col("event_id").alias("forecast_id"), F.col("zone_id"), F.col("ts").alias("forecast_ts"), F.col("value").alias("forecast_value"))
+    o = outcomes.select(F.col("event_id").alias("outcome_id"), F.col("zone_id").alias("outcome_zone"), F.col("ts").alias("outcome_ts"), F.col("value").alias("outcome_value"))
+    if delay:
+        f, o = f.withWatermark("forecast_ts", delay), o.withWatermark("outcome_ts", delay)
+    near = F.expr(f"zone_id = outcome_zone and outcome_ts > forecast_ts and outcome_ts <= forecast_ts + interval {within}")
+    return f.join(o, near, "left_outer").drop("outcome_zone").withColumn("status", F.when(F.col("outcome_id").isNull(), "missing").otherwise("matched"))
+
+
 def stream_drift(joined: DataFrame, batch_brier: float, alarm_ratio: float = 1.5, level: float = 120.0, window: str = "1 day") -> DataFrame:
     """Brier score of each window of joined events against the batch score; an alarm above the ratio.
 
@@ -118,29 +158,44 @@ def stream_drift(joined: DataFrame, batch_brier: float, alarm_ratio: float = 1.5
     return by.select(F.col("w.start").alias("start"), "n", "brier", (F.col("brier") > alarm_ratio * batch_brier).alias("alarm"))
 
 
-def publish_latest(folder: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the newest row of each zone.
+def merge_latest(folder: str, key: list[str], order: list[str], kept_batches: int = 2) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the newest row of each key, the largest by `order`.
 
     Every batch writes the merged table to a folder named by its batch id: a replay
-    overwrites its own folder from the same predecessor, so the result stays.
+    overwrites its own folder from the same predecessor, so the result stays. Of older
+    tables only the last `kept_batches` remain.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = [i for i in published(spark, folder) if i < batch_id]
         rows = batch if not before else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/batch={max(before)}"))
-        w = Window.partitionBy("zone_id").orderBy(F.desc("ts"), F.desc("n"))
-        rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r").coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        value = F.struct(*order, *(c for c in batch.columns if c not in [*key, *order]))
+        merged = rows.groupBy(key).agg(F.max(value).alias("v")).select(*key, "v.*").select(batch.columns)
+        merged.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        remove(spark, [f"{folder}/batch={i}" for i in before[: len(before) + 1 - kept_batches]])
 
     return publish
 
 
+def publish_latest(folder: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the newest row of each zone."""
+    return merge_latest(folder, ["zone_id"], ["ts", "n"])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def published(spark: SparkSession, folder: str) -> list[int]:
     """Ids of the batches whose table is complete."""
     jvm, path = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
+    # A few folders, as older ones are removed.
     done = [s.getPath() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
     return sorted(int(p.getName().split("=")[1]) for p in done)
 

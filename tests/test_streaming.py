@@ -94,3 +94,24 @@ def test_interval_join_and_drift(spark, tmp_path):
     row = follow.stream_drift(joined, 0.1).first()
     assert row.n == 2 and row.brier == pytest.approx((0.25**2 + 0.75**2) / 2) and row.alarm
     assert follow.stream_drift(joined, 10.0).where(F.col("alarm")).count() == 0
+
+
+def test_missing_outcomes_are_told(spark, tmp_path):
+    """A forecast without an outcome comes as missing once the watermark has passed its hour."""
+    write(spark, str(tmp_path / "f"), [[(1, at(0), 1, "f", 150.0), (2, at(0), 2, "f", 150.0)], [(3, at(50), 1, "f", 1.0)]])
+    write(spark, str(tmp_path / "o"), [[(11, at(0.5), 1, "o", 130.0)], [(12, at(50), 3, "o", 1.0)]])
+    streams = [follow.read_observations(spark, str(tmp_path / x)) for x in "fo"]
+    out, dropped = drain(follow.stream_outcome_status(*streams), str(tmp_path / "c"))
+    assert dropped == 0 and sorted((r.forecast_id, r.status) for _, rows in out for r in rows) == [(1, "matched"), (2, "missing")]
+
+
+def test_following_counts_replays_once_and_abstains(spark, tmp_path):
+    rows = [(i, at(i / 100), 1, "a", 130.0 if i % 2 else 10.0) for i in range(40)] + [(100, at(0.5), 2, "a", 130.0)]
+    write(spark, str(tmp_path / "in"), [rows[:20] + rows[:20], rows[10:], rows[30:]])
+    actions = spark.createDataFrame(ACTIONS, "action string, fixed_cost double, loss_if_flood double, loss_if_dry double")
+    follow.follow(follow.read_observations(spark, str(tmp_path / "in")), actions, str(tmp_path / "out")).awaitTermination()
+    got = {r.zone_id: r for r in follow.latest(spark, str(tmp_path / "out/latest")).collect()}
+    assert (got[1].n, got[1].p) == (40, 0.5) and got[2].n == 1 and got[2].gate == "verify"
+    assert len(follow.published(spark, str(tmp_path / "out/latest"))) <= 2
+    unsure = spark.createDataFrame([(5, at(0), 0, 0.5, 1 / 12)], follow.BELIEF)
+    assert follow.decide_on(unsure, actions).first().gate == "abstain"

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words of a text are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,7 +50,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+#: Rows and bytes of the Arrow batches between Spark and Python. Spark's own bounds (10,000 rows, 64 MB) times the
+#: buffers on either side, and what Python makes of the rows, would be most of a small executor's memory.
+BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 20
+
+
+def arrow_map(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow(run, schema) with batches of bounded size; smaller bounds of the session stay."""
+    conf = rows.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return rows.mapInArrow(run, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that `column` holds about max_bytes in each; a longer row comes alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -69,10 +85,12 @@ def is_training_row(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """At most `rows` labelled training documents (text, lang if there, label), picked by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """At most `rows` labelled training documents (doc_id, text, lang if there, _label), and `max_bytes` of texts.
 
-    The sample of ids is bounded by `rows`, so it's broadcast to the scan of the texts.
+    Ids are picked by a hash. An id that several rows hold counts once, with the text of
+    the least hash. The sample of ids is bounded by `rows`, so it's broadcast to the scan of the texts;
+    the texts of the least hashes that together stay within `max_bytes` are the sample.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & is_training_row())
@@ -81,5 +99,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    keep = [F.col(c) for c in ("doc_id", "text", "lang") if c in docs.columns]
-    return docs.select(*keep).join(F.broadcast(ids), "doc_id")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    picked = docs.select("doc_id", text.alias("text"), lang.alias("lang")).join(F.broadcast(ids), "doc_id")
+    picked = picked.groupBy("doc_id", "_label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("t"))
+    picked = materialize(picked.select("doc_id", "_label", "t.text", "t.lang"), "sample")
+    # One task, but of `rows` numbers at most.
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = picked.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= max_bytes).select("doc_id")
+    return picked.join(F.broadcast(within), "doc_id")

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_training_row, labelled_sample, slices
-from .words import Vocabulary, bare, bucket, shape
+from .common import arrow_map, is_training_row, labelled_sample, slices
+from .words import MOST_WORDS, Vocabulary, bare, bucket, shape
 
 WORD_BUCKETS, SHAPE_BUCKETS, FACTORS = 1 << 16, 1 << 12, 8
 STATISTICS, BINS = 14, 10
@@ -42,7 +42,10 @@ def describe(words: list[str]) -> tuple[np.ndarray, ...]:
     buckets = np.array([(bucket(bare(w), WORD_BUCKETS), WORD_BUCKETS + bucket(shape(w), SHAPE_BUCKETS, 1)) for w in words], np.int64).reshape(-1, 2)
     kinds = []
     for w in words:
-        upper, alpha, digit = sum(map(str.isupper, w)), sum(map(str.isalpha, w)), sum(map(str.isdigit, w))
+        if w.isalpha():
+            upper, alpha, digit = 0 if w.islower() else sum(map(str.isupper, w)), len(w), 0
+        else:
+            upper, alpha, digit = sum(map(str.isupper, w)), sum(map(str.isalpha, w)), sum(map(str.isdigit, w))
         other = len(w) - alpha - digit
         kinds.append((len(w), upper, alpha, digit, other, alpha > 1 and upper == alpha, not w[-1].isalnum() and w[-1] not in ".,", other == len(w)))
     return buckets, np.array(kinds, np.float32).reshape(-1, 8)
@@ -50,8 +53,11 @@ def describe(words: list[str]) -> tuple[np.ndarray, ...]:
 
 def by_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums over the words of each text; ends: number of words up to each text's end."""
-    sums = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return sums[ends] - sums[np.r_[0, ends[:-1]]]
+    starts = np.r_[0, ends[:-1]]
+    out, some = np.zeros((len(ends), *values.shape[1:])), np.flatnonzero(ends > starts)
+    if len(some):
+        out[some] = np.add.reduceat(values, starts[some], axis=0, dtype=np.float64)
+    return out
 
 
 @dataclass
@@ -64,8 +70,8 @@ class Sparse:
 
 
 class Featurizer:
-    def __init__(self):
-        self.vocabulary = Vocabulary(describe)
+    def __init__(self, most_words: int = MOST_WORDS):
+        self.vocabulary = Vocabulary(describe, most_words)
 
     def raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, bucket, log count) of the words and shapes, and the statistics of each row."""
@@ -93,17 +99,23 @@ class Featurizer:
         return row, feature, value, statistics
 
     def rows(self, texts: list[str], scales: np.ndarray, edges: np.ndarray) -> Sparse:
-        row, feature, value, statistics = self.raw(texts)
-        norm = np.sqrt(np.bincount(row, value**2, len(texts)))
-        value = value / np.maximum(norm, 1e-9)[row]
-        centred = np.clip((statistics - scales[0]) / scales[1], -4, 4) * 0.25
-        which = np.stack([np.searchsorted(edges[:, k], statistics[:, k], "right") for k in range(STATISTICS)], axis=1)
-        own = np.repeat(np.arange(len(texts)), STATISTICS)
-        row = np.concatenate([row, own, own])
-        feature = np.concatenate([feature, np.tile(FIRST_VALUE + np.arange(STATISTICS), len(texts)), (FIRST_BIN + np.arange(STATISTICS) * BINS + which).ravel()])
-        value = np.concatenate([value, centred.ravel(), np.full(len(own), 0.5)])
-        by = np.argsort(row, kind="stable")
-        return Sparse(np.searchsorted(row[by], np.arange(len(texts) + 1)), feature[by], value[by].astype(np.float32))
+        return sparse(self.raw(texts), scales, edges)
+
+
+def sparse(raw: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], scales: np.ndarray, edges: np.ndarray) -> Sparse:
+    """All features of the rows: words and shapes at unit length, statistics as values and as bins."""
+    row, feature, value, statistics = raw
+    n = len(statistics)
+    norm = np.sqrt(np.bincount(row, value**2, n))
+    value = value / np.maximum(norm, 1e-9)[row]
+    centred = np.clip((statistics - scales[0]) / scales[1], -4, 4) * 0.25
+    which = np.stack([np.searchsorted(edges[:, k], statistics[:, k], "right") for k in range(STATISTICS)], axis=1)
+    own = np.repeat(np.arange(n), STATISTICS)
+    row = np.concatenate([row, own, own])
+    feature = np.concatenate([feature, np.tile(FIRST_VALUE + np.arange(STATISTICS), n), (FIRST_BIN + np.arange(STATISTICS) * BINS + which).ravel()])
+    value = np.concatenate([value, centred.ravel(), np.full(len(own), 0.5)])
+    by = np.argsort(row, kind="stable")
+    return Sparse(np.searchsorted(row[by], np.arange(n + 1)), feature[by], value[by].astype(np.float32))
 
 
 @dataclass
@@ -123,8 +135,9 @@ class Machine:
 
 def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, rate: float = 0.08, shrink: float = 2e-5, batch: int = 64) -> Machine:
     """Adagrad on the logistic loss."""
-    featurizer, parts = Featurizer(), []
-    statistics = np.concatenate([featurizer.raw(texts[i : i + 500])[3] for i in range(0, len(texts), 500)]) if texts else np.zeros((1, STATISTICS))
+    featurizer = Featurizer(5 * MOST_WORDS)
+    raws = [featurizer.raw(texts[i : i + 500]) for i in range(0, len(texts), 500)]
+    statistics = np.concatenate([r[3] for r in raws]) if texts else np.zeros((1, STATISTICS))
     scales = np.stack([statistics.mean(axis=0), statistics.std(axis=0) + 1e-6])
     edges = np.quantile(statistics, np.linspace(0, 1, BINS + 1)[1:-1], axis=0)
     rng = np.random.default_rng(3)
@@ -133,8 +146,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, rate: float = 0.0
     if len(set(labels.tolist())) < 2:
         m.factors[:] = 0
         return m
-    for i in range(0, len(texts), 500):
-        parts.append(featurizer.rows(texts[i : i + 500], scales, edges))
+    parts = [sparse(r, scales, edges) for r in raws]
     shift = np.cumsum([0, *(len(p.feature) for p in parts)])
     s = Sparse(np.r_[np.concatenate([p.start[:-1] + k for p, k in zip(parts, shift, strict=False)]), shift[-1]], np.concatenate([p.feature for p in parts]), np.concatenate([p.value for p in parts]))
     squares_w, squares_v, square_b = np.full(FEATURES, 1e-4, np.float32), np.full((FEATURES, FACTORS), 1e-4, np.float32), 1e-4
@@ -184,7 +196,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFram
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", F.coalesce(~is_training_row(), F.lit(False)))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return arrow_map(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_rejected(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
@@ -196,7 +208,7 @@ def without_rejected(docs: DataFrame, machine: Machine, threshold: float = 0.5)
         for b in slices(batches, "text"):
             yield b.filter(pa.array(m.margin(featurizer.rows([t or "" for t in b.column("text").to_pylist()], m.scales, m.edges)) >= np.log(threshold / (1 - threshold))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = 6_000) -> DataFrame:

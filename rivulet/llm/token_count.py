@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import arrow_map, slices
 
 SPACE = "▁"
 NEVER = np.int64(1) << 40
@@ -210,4 +210,4 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

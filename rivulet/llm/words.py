@@ -8,7 +8,7 @@ import numpy as np
 from xxhash import xxh3_64_intdigest
 
 #: Numbers of words that a Python worker keeps at most before it starts afresh.
-MOST_WORDS = 250_000
+MOST_WORDS = 50_000
 EDGES = ".,;:!?\"'()[]{}<>*&%$#|~`_-+=/\\"
 
 
@@ -23,11 +23,11 @@ class Ids(dict):
 class Vocabulary:
     """Turns words into rows of tables that `describe` makes for words not met before."""
 
-    def __init__(self, describe):
-        self.describe, self.ids, self.tables = describe, Ids(), None
+    def __init__(self, describe, most: int = MOST_WORDS):
+        self.describe, self.most, self.ids, self.tables = describe, most, Ids(), None
 
     def rows(self, words: list[str]) -> np.ndarray:
-        if len(self.ids) > MOST_WORDS:
+        if len(self.ids) > self.most:
             self.ids, self.tables = Ids(), None
         old = len(self.ids)
         rows = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
@@ -48,8 +48,10 @@ def bucket(key: str, n: int, seed: int = 0) -> int:
 
 def shape(word: str) -> str:
     """Runs of capitals, small letters and digits as one sign each, other characters once in a row."""
+    if word.isalpha() and word.islower():
+        return "a"
     out = []
-    for c in word[:24]:
+    for c in word:
         s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != s:
             out.append(s)

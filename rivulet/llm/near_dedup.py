@@ -13,24 +13,25 @@ Steps, each a Spark job over all documents:
 2. documents with equal sets are one class; only its smallest id goes on;
 3. every band of MinHash samples is a bucket; each member is paired with the
    bucket's hub (a star, so a bucket of m gives m - 1 pairs);
-4. pairs whose sketches differ far too much, or whose sizes do, go; the rest is
-   confirmed on full sets, made again from the texts of the documents concerned;
+4. the pairs are confirmed on full sets, made again from the texts of the documents concerned;
 5. links become components by star contraction;
 6. members of the hub's component that can't be linked to any other member of the
    bucket, by what both share with the hub, leave it; buckets whose members still
    are in several components get another round of stars with other hubs;
 7. what remains gives the pairs across components: small buckets all of them; the
    members of large ones those that share a rare shingle, by a prefix filter which loses
-   no linked pair, so that texts which only share a passage part ways; the new links
-   join the components.
+   no linked pair, so that texts which only share a passage part ways; of these, pairs whose
+   odd sketches differ far too much, or whose sizes do, go, full sets decide on the rest, and
+   the new links join the components.
 
 The odd sketch of a document sets the parity of 512 bits by its MinHash samples;
 the number of differing bits of two sketches estimates how many samples differ.
 It drops pairs only below `screen` (by default 0.2 less than the threshold, about
-five standard deviations), as step 4 decides on full sets.
+five standard deviations; 0 drops none), as full sets decide.
 
 With 48 bands of 6 out of 128 samples, which all bands share, a pair at similarity 0.8
-meets in no band with a probability of about 6e-5, one at 0.85 with about 1e-6 to 4e-6.
+meets in no band with a probability of about 6e-5, one at 0.85 with about 1e-6 to 4e-6. `exact` puts all documents through the prefix filter
+after the rounds of stars, at the cost of a join on rare shingles, and loses none.
 
 Null texts, and texts without words, have an empty set and are linked with
 nothing. A null id is returned with itself as component (null) and kept. Rows
@@ -48,16 +49,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, slices
+from .common import arrow_map, materialize, slices
 
 SAMPLES, BANDS, BAND_ROWS, SKETCH_WORDS = 128, 48, 6, 8
 #: Buckets up to this size give all pairs across components. The members of larger ones go through a prefix filter, whose
 #: order of shingles comes from counts in so many cells.
 SMALL_BUCKET, RARITY_CELLS = 16, 1 << 18
-#: Rounds of stars, each with other hubs. Their pairs are compared on full sets from this estimated similarity on,
-#: as what a text shares with the hub tells which other texts it can't be linked with.
-ROUNDS, STAR_SCREEN = 2, 0.25
-CACHE_ROWS = 400_000
+#: Rounds of stars, each with other hubs. All their pairs are compared on full sets, as what a text shares with the hub
+#: tells which other texts it can't be linked with.
+ROUNDS = 2
+CACHE_ROWS = 100_000
 #: Up to so many ids, those whose sets are wanted are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 
@@ -166,7 +167,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "n_shingles", "h1", "h2", "samples", "sketch"],
             )
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, samples array<int>, sketch array<long>")
+    return arrow_map(ids_and_texts(docs), run, "doc_id long, n_shingles long, h1 long, h2 long, samples array<int>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -181,7 +182,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             sets = [packed(shingler.shingles(t or "")) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return materialize(wanted.mapInArrow(run, "id long, shingles binary"), "sets")
+    return materialize(arrow_map(wanted, run, "id long, shingles binary"), "sets")
 
 
 def picks(seed: int, n: int) -> list[list[int]]:
@@ -206,29 +207,24 @@ def with_hubs(members: DataFrame, turn: int) -> DataFrame:
     return members.select("key", "id", "band").join(hubs.select("key", F.col("h.id").alias("hub")), "key")
 
 
-def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, screen: float) -> DataFrame:
-    """The pairs (a, b) with both sizes, an upper bound `most` of the shingles that they share, and whether they are linked.
-
-    Pairs whose sizes or odd sketches differ too much aren't compared; their bound is the
-    sketch's estimate of their similarity with a wide margin. For the others the bound is
-    exact, from the full sets.
-    """
+def screened(pairs: DataFrame, nodes: DataFrame, percent: int, screen: float) -> DataFrame:
+    """The pairs (a, b) without those whose sizes or odd sketches differ too much."""
     light = nodes.select("id", "n_shingles", "sketch")
     side = lambda x: light.select(F.col("id").alias(x), F.col("n_shingles").alias("n_" + x), F.col("sketch").alias("s_" + x))
     differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x.cast("int"))
-    size = 64 * SKETCH_WORDS
-    # The inverse of bits_expected.
-    changed = F.ln(1 - F.least(2 * F.col("bits") / size, F.lit(0.999))) / np.log(1 - 2 / size)
-    similar = F.least(F.greatest(1 - changed / (2 * SAMPLES), F.lit(0.0)) + 0.3, F.lit(1.0))
     sizes_fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("bits", differ).groupBy("a", "b", "n_a", "n_b").agg(F.min("bits").alias("bits"))
-    bound = F.least(F.ceil(similar / (1 + similar) * (F.col("n_a") + F.col("n_b"))), "n_a", "n_b")
-    rows = materialize(rows.select("a", "b", "n_a", "n_b", (sizes_fit & (F.col("bits") <= bits_expected(screen))).alias("near"), bound.alias("most")), "pairs")
-    near, rest = rows.where("near"), rows.where("not near").drop("near").withColumn("linked", F.lit(False)).withColumn("exact", F.lit(False))
-    if near.isEmpty():
-        return rest
-    sets = full_sets(docs, near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))), n)
-    both = near.select("a", "b").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    close = sizes_fit & (differ <= bits_expected(screen)) if screen > 0 else sizes_fit
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b").distinct()
+
+
+def compared(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b), each once, with both sizes, the number of shingles that they share, and whether they are linked, from the full sets.
+
+    An id with several versions gives a row for each pair of versions.
+    """
+    pairs = materialize(pairs, "pairs")
+    sets = full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), n)
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "x"):
@@ -238,10 +234,9 @@ def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percen
                 counts.append((len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
                 ok.append(100 * counts[-1][2] >= percent * (counts[-1][0] + counts[-1][1] - counts[-1][2]))
             n_a, n_b, common = zip(*counts, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(v, pa.int64()) for v in (n_a, n_b, common)), pa.array(ok), pa.array([True] * len(ok))], ["a", "b", "n_a", "n_b", "most", "linked", "exact"])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(v, pa.int64()) for v in (n_a, n_b, common)), pa.array(ok)], ["a", "b", "n_a", "n_b", "common", "linked"])
 
-    exact = both.mapInArrow(run, "a long, b long, n_a long, n_b long, most long, linked boolean, exact boolean")
-    return materialize(exact.union(rest.select("a", "b", "n_a", "n_b", "most", "linked", "exact")), "compared")
+    return materialize(arrow_map(both, run, "a long, b long, n_a long, n_b long, common long, linked boolean"), "compared")
 
 
 def linked(pairs: DataFrame) -> DataFrame:
@@ -258,7 +253,7 @@ def unproven(members: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     t = percent / (100 + percent)
     versions = stars.groupBy(F.col("a").alias("hub"), F.col("b").alias("id")).agg(
         # With several versions of a document the bounds are those of the worst.
-        F.max(F.col("most") - t * F.col("n_b")).alias("shared"), F.max(F.col("n_b") - F.when(F.col("exact"), F.col("most")).otherwise(0) - t * F.col("n_b")).alias("beyond")
+        F.max(F.col("common") - t * F.col("n_b")).alias("shared"), F.max(F.col("n_b") - F.col("common") - t * F.col("n_b")).alias("beyond")
     )
     rows = members.join(versions, ["hub", "id"], "left")
     hub_component = F.max(F.when(F.col("id") == F.col("hub"), F.col("component")))
@@ -307,7 +302,7 @@ def rarity(sets: DataFrame) -> np.ndarray:
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
 
-    found = sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = arrow_map(sets.select("shingles"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(RARITY_CELLS, np.int64)
     out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -341,7 +336,7 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, n: int, percent: int) -> D
                         ["id", "component", "size", "most", "shingle"],
                     )
 
-    rows = materialize(sets.mapInArrow(run, "id long, component long, size long, most long, shingle long").distinct(), "prefixes")
+    rows = materialize(arrow_map(sets, run, "id long, component long, size long, most long, shingle long").distinct(), "prefixes")
     side = lambda x: rows.select("shingle", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "size", "most")))
     enough = F.expr(f"{100 + percent} * least(most_a, most_b) >= {percent} * (size_a + size_b)")
     return side("a").join(side("b"), "shingle").where(F.expr("a < b and component_a <> component_b") & enough).select("a", "b").distinct()
@@ -364,8 +359,8 @@ def across(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     return found.union(prefix_pairs(large, docs, n, percent)).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, screen: float | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (doc_id is the component's least id) of each row of docs."""
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, screen: float | None = None, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (doc_id is the component's least id) of each row of docs; exact: by no chance of the bands."""
     screen = percent / 100 - 0.2 if screen is None else screen
     table = materialize(signatures(docs, shingle_words), "signatures")
     filled = table.where("doc_id is not null and n_shingles > 0")
@@ -374,7 +369,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     # One row a class; the join is on the ids, which are spread evenly however many copies a class has.
     nodes = filled.withColumnRenamed("doc_id", "id").join(classes, ["id", *keys]).dropDuplicates(["id", *keys])
     nodes = materialize(nodes.select("id", "n_shingles", "samples", "sketch"), "nodes")
-    compare = lambda pairs, screen: compared(pairs, nodes, docs, shingle_words, percent, screen)
+    compare = lambda pairs: compared(pairs, docs, shingle_words, percent)
     # Rows with one id and different sets are versions of one document.
     several = filled.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x < y").select("doc_id")
     versions = filled.select("doc_id", *keys).join(several, "doc_id", "left_semi").join(classes, keys).where("doc_id <> id")
@@ -382,16 +377,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     members = nodes.select("id", F.posexplode(band_keys()).alias("band", "key"))
     for turn in range(ROUNDS):
         buckets = materialize(with_hubs(members, turn), "buckets")
-        stars = compare(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), STAR_SCREEN)
+        stars = compare(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
         links = materialize(links.union(linked(stars)).distinct(), "links")
         found = components(links)
         members = unproven(buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), stars, percent)
         if members.isEmpty():
             break
+    if exact:
+        rest = nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        more = prefix_pairs(rest, docs, shingle_words, percent)
     else:
-        more = linked(compare(across(members, docs, shingle_words, percent), screen))
-        if not more.isEmpty():
-            found = components(links.union(more))
+        more = across(members, docs, shingle_words, percent)
+    more = materialize(linked(compare(screened(more, nodes, percent, 0 if exact else screen))), "links")
+    if not more.isEmpty():
+        found = components(links.union(more))
     of_class = classes.join(found, "id", "left").select(*keys, F.coalesce("component", "id").alias("component_id"))
     out = table.select("doc_id", *keys).join(of_class, keys, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))

@@ -3,13 +3,14 @@
 Every document becomes its token ids and an end id. Longer ones than a sequence
 are cut into full pieces; the rest comes first, as the shorter piece. Full
 pieces are sequences of their own. The others are dealt to windows of about a
-fixed number of pieces; each packs its pieces one by one into the open bin
-with the least free space that suffices. A window has at most `open_bins` open bins,
-held by free space in a bitset; the fullest closes first.
+fixed number of pieces; in each they arrive one by one, in the order of a hash, and go
+into the open bin with the least free space that suffices. A window has at most
+`open_bins` open bins, held by free space in a bitset. Where a new bin is needed and all
+are open, the fullest closes first.
 
 Null and empty texts are the end id alone. Repeated rows are packed as often as
 they come; a null id stays null; other columns are ignored; an empty table gives
-an empty table. Texts of any length are tokenised whole.
+an empty table. Texts of any length are tokenised whole, long runs of white space too.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import arrow_map, materialize, slices
 
 #: White space on which regular expression engines may differ.
 ODD_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_SPACE = 1_000
 
 
 def byte_ranks(vocab: dict[str, int]) -> dict[bytes, int]:
@@ -44,8 +45,9 @@ class Encoder:
     The ids come from byte-pair ranks taken from the same file, several times
     faster than that library and with the same ids (the tests compare both).
     Where white space stands alone only, a pattern without look-ahead splits
-    the same. Texts with special strings or white space other than space, tab
-    and line ends go to the library itself.
+    the same. Texts with special strings, with white space other than space, tab
+    and line ends or with very long runs of it (where look-ahead runs out of stack)
+    go to the library itself.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -58,7 +60,7 @@ class Encoder:
         ranks = byte_ranks({t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in special})
         made = lambda pattern: tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.full, self.single = made(PATTERN), made(PATTERN.replace(r"|\s+(?!\S)|\s+", r"|\s"))
-        self.odd = re.compile("|".join([ODD_SPACE, *map(re.escape, special)]))
+        self.odd = re.compile("|".join([ODD_SPACE, r"\s{%d}" % LONG_SPACE, *map(re.escape, special)]))
         self.unusual = re.compile(r"\s\s|" + self.odd.pattern)
 
     def library(self, text: str) -> list[int]:
@@ -98,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, most: int = 2048, end_id: int =
             doc_ids, k, s, n, c = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (s, n, c))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class BestFit:
@@ -106,7 +108,7 @@ class BestFit:
 
     def __init__(self, size: int, open_bins: int):
         self.size, self.open_bins = size, open_bins
-        self.free_bits, self.bins, self.n_open, self.n_bins = 0, {}, 0, 0
+        self.free_bits, self.bins, self.n_open, self.n_bins, self.forced = 0, {}, 0, 0, 0
 
     def add(self, length: int) -> tuple[int, int]:
         """Number of the bin and the place in it that an item of this length gets."""
@@ -117,6 +119,7 @@ class BestFit:
         else:
             if self.n_open >= self.open_bins:
                 self._take((self.free_bits & -self.free_bits).bit_length() - 1)
+                self.forced += 1
             b, free = self.n_bins, self.size
             self.n_bins += 1
         if free > length:
@@ -135,17 +138,16 @@ class BestFit:
         return b
 
 
-def pack(docs: DataFrame, tokenizer_path: str, most: int = 2048, end_id: int = 0, open_bins: int = 4096, pieces_per_window: int = 8000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, most: int = 2048, end_id: int = 0, open_bins: int = 128, pieces_per_window: int = 32_000) -> DataFrame:
     """Every piece with its sequence_id and offset.
 
     The pieces (a few numbers each) are written once; their count fixes the
-    number of windows, so results don't depend on the cluster. A window's
-    pieces come longest first, then by id: a rerun of a lost task gives the
-    same sequences. With about as many open bins as a window fills, best fit
-    wastes next to nothing.
+    number of windows, so results don't depend on the cluster. A window's pieces
+    arrive in the order of a hash: a rerun of a lost task gives the same sequences.
+    Full pieces need no bin, so windows hold the others only.
     """
     table = materialize(pieces(docs, tokenizer_path, most, end_id), "pieces")
-    windows = max(1, -(-table.count() // pieces_per_window))
+    windows = max(1, -(-table.where(F.col("length") < most).count() // pieces_per_window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, fit = None, None
@@ -157,8 +159,9 @@ def pack(docs: DataFrame, tokenizer_path: str, most: int = 2048, end_id: int = 0
                 s, o = fit.add(n)
                 at.append((w << 24) + s)
                 offset.append(o)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(at, pa.int64()), pa.array(offset, pa.int64())], [*b.schema.names[1:], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(at, pa.int64()), pa.array(offset, pa.int64())], [*b.schema.names[2:], "sequence_id", "offset"])
 
-    window = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(windows)).alias("window")
-    dealt = table.select(window, "*").repartition(-(-windows // 4), "window").sortWithinPartitions("window", F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    arrival = F.xxhash64("doc_id", "piece", "start", "ids_crc32").alias("arrival")
+    dealt = table.select(F.pmod(arrival, F.lit(windows)).alias("window"), arrival, "*").repartition(-(-windows // 2), "window")
+    dealt = dealt.sortWithinPartitions("window", "arrival", "doc_id", "piece", "ids_crc32")
+    return arrow_map(dealt, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -4,7 +4,8 @@ The words of each source, document after document, are cut into blocks of
 `block_words` words. A source's share of the output is a number of slots. Output
 shards of `shard_slots` slots draw how many slots each source gets: multinomial
 draws, conditioned on the sources' totals (a plain multinomial would miss the
-targets by its noise on small inputs). The i-th slot of a source takes the block
+targets by its noise on small inputs), made by a pseudorandom permutation of all slots,
+so that one law holds at any size. The i-th slot of a source takes the block
 that a pseudorandom permutation of the source's block indexes gives for i; each
 further pass over the blocks has its own permutation. Slots and blocks meet in a
 join on (source, block).
@@ -15,7 +16,8 @@ words and the excess is shared anew by weight until none is above.
 
 A null text has 0 words; documents without words take 0. Null ids and sources
 are values like others. Repeated rows are separate documents that follow each
-other. Extra columns are ignored; an empty table gives an empty table.
+other, each with words of its own. Extra columns are ignored; an empty table gives an
+empty table. The table of sources (a few numbers each) is held on the driver.
 """
 
 from __future__ import annotations
@@ -29,13 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, slices
+from .common import WORD, arrow_map, materialize, slices
 
 #: Up to so many sources, the table of sources (a few numbers each) is broadcast.
 BROADCAST_SOURCES = 50_000
 BATCH = 65_536
-#: numpy's exact draws take totals below this.
-EXACT_TOTAL = 1_000_000_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = (3, 1, 2), total_share: float = 1.5, most_passes: int = 2) -> list[float]:
@@ -61,38 +61,6 @@ def slots_for(size: int, target: float, block: int, most_passes: int) -> int:
     return min(most_passes * blocks, int(passes) * blocks + min(blocks, round(rest / block)))
 
 
-def draw(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """n of sum(counts) slots at random without replacement, as counts by source."""
-    total = int(counts.sum())
-    if total < EXACT_TOTAL:
-        return rng.multivariate_hypergeometric(counts, n, method="marginals")
-    out, left, of = np.zeros_like(counts), n, total
-    for i, c in enumerate(counts.tolist()):
-        of -= c
-        mean = left * c / (of + c) if of + c else 0.0
-        spread = np.sqrt(max(0.0, mean * of / max(of + c, 1) * (1 - left / max(of + c, 1))))
-        out[i] = min(c, left, max(0, left - of, round(rng.normal(mean, spread))))
-        left -= int(out[i])
-    return out
-
-
-def shard_counts(totals: np.ndarray, shard: int, shards: int, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """First slot and number of slots of each source in a shard.
-
-    Halves the range of shards down to this one; a half's draw depends only on
-    the seed and the range, so all shards agree without meeting.
-    """
-    counts, first, lo, hi, all_slots = totals.copy(), np.zeros_like(totals), 0, shards, int(totals.sum())
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        taken = draw(counts, min(mid * slots, all_slots) - min(lo * slots, all_slots), np.random.default_rng([seed, lo, hi]))
-        if shard < mid:
-            counts, hi = taken, mid
-        else:
-            first, counts, lo = first + taken, counts - taken, mid
-    return first, counts
-
-
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     """A pseudorandom permutation of 0..n-1: four Feistel rounds on the next larger square domain, walked until below n."""
     half = np.uint64(max(1, (max(1, n - 1).bit_length() + 1) // 2))
@@ -109,13 +77,33 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def sources_of(totals: np.ndarray, slots: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Source of each of the output's slots, and the slot's number within its source.
+
+    A pseudorandom permutation of all slots, read as source after source: the counts that
+    a range of slots gets are multinomial draws conditioned on the totals, whatever
+    the totals are, and all shards agree without meeting.
+    """
+    place = permuted(slots, int(totals.sum()), seed)
+    ends = np.cumsum(totals)
+    source = np.searchsorted(ends, place, "right")
+    return source, place - (ends - totals)[source]
+
+
 class Mix:
-    """The plan of a mixture: documents placed in their sources, and the slots of the output."""
+    """The plan of a mixture: documents placed in their sources, and the slots of the output.
+
+    row: a column of docs that numbers its rows, each with another number; without it rows are numbered here.
+    """
 
-    def __init__(self, docs: DataFrame, weights=(3, 1, 2), total_share=1.5, most_passes=2, block_words=64, shard_slots=1 << 16, seed=7, rows_per_chunk=4_000):
+    def __init__(self, docs: DataFrame, weights=(3, 1, 2), total_share=1.5, most_passes=2, block_words=64, shard_slots=1 << 16, seed=7, rows_per_chunk=4_000, row: str | None = None):
         self.spark, self.block, self.shard_slots, self.seed = docs.sparkSession, block_words, shard_slots, seed
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-        sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+        number = F.monotonically_increasing_id() if row is None else F.col(row)
+        sized = docs.select(
+            number.alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+            F.xxhash64("text").alias("text_hash"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        )
         sized = materialize(sized, "sized")
         sources = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
         sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -126,37 +114,64 @@ class Mix:
         rows = [(i, r["source"], r["size"], t) for i, (r, t) in enumerate(zip(sources, self.targets, strict=True))]
         table = self.spark.createDataFrame(rows, "source_index int, _source string, source_size long, target double")
         table = F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
-        of_source = sized.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        of_source = sized.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
         self.empty = of_source.where("size = 0")
-        # Where each document starts among its source's words: within chunks of bounded size, then chunk by chunk.
-        chunks = max(1, sum(r["rows"] for r in sources) // rows_per_chunk)
-        chunked = of_source.where("size > 0").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks)))
-        starts = chunked.groupBy("source_index", "chunk").agg(F.sum("size").alias("n"))
+        self.placed = self.place(of_source.where("size > 0"), max(1, sum(r["rows"] for r in sources) // rows_per_chunk))
+
+    def place(self, rows: DataFrame, chunks: int) -> DataFrame:
+        """Adds to each row where it starts among its source's words.
+
+        Rows alike in id, text and source are copies; they are counted first, so that a
+        class of any number of copies is one row here, and follow each other. Classes start within
+        chunks of bounded size, chunk by chunk.
+        """
+        keys = ["source_index", "doc_id", "text_hash", "size", "source_size", "target"]
+        classes = rows.groupBy(keys).agg(F.count("*").alias("copies"), F.min("__row").alias("__row"))
+        classes = classes.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks))).withColumn("words", F.col("size") * F.col("copies"))
+        classes = materialize(classes, "classes")
+        starts = classes.groupBy("source_index", "chunk").agg(F.sum("words").alias("n"))
         starts = starts.select("source_index", "chunk", (F.sum("n").over(Window.partitionBy("source_index").orderBy("chunk")) - F.col("n")).alias("chunk_start"))
-        inside = F.sum("size").over(Window.partitionBy("source_index", "chunk").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-        placed = chunked.withColumn("inside", inside).join(starts, ["source_index", "chunk"])
-        self.placed = materialize(placed.withColumn("start", F.col("inside") + F.col("chunk_start")).drop("inside", "chunk", "chunk_start"), "placed")
+        inside = F.sum("words").over(Window.partitionBy("source_index", "chunk").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+        placed = classes.withColumn("inside", inside).join(starts, ["source_index", "chunk"])
+        placed = materialize(placed.select("__row", *keys, "copies", (F.col("inside") + F.col("chunk_start")).alias("start")), "placed")
+        single = placed.where("copies = 1").drop("copies")
+        several = placed.where("copies > 1").drop("__row", "copies")
+        if several.isEmpty():
+            return single
+        same = lambda a, b: a.join(b.toDF(*("_" + c for c in b.columns)), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("source_index") == F.col("_source_index")))
+        of_class = several.select("source_index", "doc_id", "text_hash", "start")
+        copies = same(rows, of_class).select("__row", *keys, F.col("_start").alias("start"), F.shiftright("__row", 20).alias("part"))
+        # Copies are numbered by parts of a million row numbers at most, so no class is one task.
+        copies = materialize(copies, "copies")
+        parts = copies.groupBy("start", "source_index", "part").agg(F.count("*").alias("n"))
+        before = parts.select("start", "source_index", "part", (F.sum("n").over(Window.partitionBy("source_index", "start").orderBy("part")) - F.col("n")).alias("before"))
+        own = F.row_number().over(Window.partitionBy("source_index", "start", "part").orderBy("__row")) - 1
+        numbered = copies.withColumn("own", own).join(before, ["start", "source_index", "part"])
+        numbered = numbered.withColumn("start", F.col("start") + F.col("size") * (F.col("own") + F.col("before")))
+        return single.unionByName(materialize(numbered.select(single.columns), "numbered"))
 
     def slot_blocks(self) -> DataFrame:
         """(source_index, block, times) of the blocks that the output takes."""
-        totals, sizes, block, slots, seed = self.slots, self.sizes, self.block, self.shard_slots, self.seed
-        shards = max(1, -(-int(totals.sum()) // slots))
+        totals, sizes, block, slots, seed = self.slots, np.array(self.sizes, np.int64), self.block, self.shard_slots, self.seed
+        all_slots = int(totals.sum())
+        shards = max(1, -(-all_slots // slots))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for shard in b.column("id").to_pylist():
-                    first, counts = shard_counts(totals, shard, shards, slots, seed)
-                    for s in np.flatnonzero(counts).tolist():
-                        blocks = -(-sizes[s] // block)
-                        for start in range(int(first[s]), int(first[s] + counts[s]), BATCH):
-                            i = np.arange(start, min(start + BATCH, int(first[s] + counts[s])))
-                            out = np.empty_like(i)
-                            for turn in np.unique(i // blocks).tolist():
-                                own = i // blocks == turn
-                                out[own] = permuted(i[own] % blocks, blocks, seed + 1_000_003 * s + 7_919 * turn)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), s), pa.int32()), pa.array(out, pa.int64())], ["source_index", "block"])
-
-        return self.spark.range(0, shards, 1, min(shards, 4096)).mapInArrow(run, "source_index int, block long").groupBy("source_index", "block").agg(F.count("*").alias("times"))
+                    if shard * slots >= all_slots:
+                        continue
+                    source, i = sources_of(totals, np.arange(shard * slots, min((shard + 1) * slots, all_slots)), seed)
+                    out = np.empty_like(i)
+                    by = np.argsort(source, kind="stable")
+                    for s, own in zip(np.unique(source).tolist(), np.split(by, np.flatnonzero(np.diff(source[by])) + 1), strict=True):
+                        blocks = -(-int(sizes[s]) // block)
+                        for turn in np.unique(i[own] // blocks).tolist():
+                            now = own[i[own] // blocks == turn]
+                            out[now] = permuted(i[now] % blocks, blocks, seed + 1_000_003 * s + 7_919 * turn)
+                    yield pa.RecordBatch.from_arrays([pa.array(source, pa.int32()), pa.array(out, pa.int64())], ["source_index", "block"])
+
+        return arrow_map(self.spark.range(0, shards, 1, min(shards, 4096)), run, "source_index int, block long").groupBy("source_index", "block").agg(F.count("*").alias("times"))
 
     def document_blocks(self) -> DataFrame:
         """Every placed document's parts of blocks: first word in the document, number of words, times taken."""
@@ -170,7 +185,7 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken of every document."""
-        keys = ["doc_id", "source_index", "start", "size", "source_size", "target"]
+        keys = ["__row", "doc_id", "size", "source_size", "target"]
         out = self.document_blocks().groupBy(keys).agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
         cols = ["doc_id", "size", "source_size", "target", "taken"]
         return out.select(cols).union(self.empty.withColumn("taken", F.lit(0).cast("long")).select(cols))
@@ -181,13 +196,14 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
     Words that follow each other in the text keep the white space between them;
     parts that don't are joined by a line feed. n_chars, if there, is made anew. Rows
-    that repeat id and text each get what their copies take together.
+    are numbered and written once, as each of several copies takes words of its own.
     """
-    mix = Mix(docs, **settings)
-    parts = mix.document_blocks().where("times > 0")
-    spans = parts.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("first_word", "n_words", "times"))).alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__spans")
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")))
+    longer = "_" * max(map(len, docs.columns))  # than any name in docs
+    row, spans_name = "row" + longer, "spans" + longer
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-docs")
+    parts = Mix(numbered, row=row, **settings).document_blocks().where("times > 0")
+    spans = parts.groupBy(F.col("__row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words", "times"))).alias(spans_name))
+    joined = numbered.join(spans, row)
     names, schema = docs.columns, docs.schema
     cols = [F.col(c) for c in names]
 
@@ -195,7 +211,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
         word = re.compile(WORD)
         for b in slices(batches, "text"):
             rows, texts = [], []
-            for row, (text, spans) in enumerate(zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)):
+            for row, (text, spans) in enumerate(zip(b.column("text").to_pylist(), b.column(spans_name).to_pylist(), strict=True)):
                 words = [m.span() for m in word.finditer(text)]
                 for turn in range(1, max(s["times"] for s in spans) + 1):
                     runs: list[list[int]] = []
@@ -213,4 +229,4 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
             made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([made[c].cast(picked.schema.field(c).type) if c in made else picked.column(c) for c in names], names)
 
-    return joined.select(*cols, "__spans").mapInArrow(run, schema)
+    return arrow_map(joined.select(*cols, spans_name), run, schema)

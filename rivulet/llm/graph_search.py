@@ -6,6 +6,7 @@ kept neighbour is nearer to it by the factor `alpha`, so that edges stay few and
 diverse; edges back are added and pruned alike. The graphs are written as a table.
 Queries search every shard's graph by beam search, in blocks; the best of all shards
 are ranked by the inner product of the original vectors in double precision.
+Shards grow with the table, within `shard_rows`, as each costs every query a search.
 
 Inner products become distances by one more component that gives all vectors of a
 shard one length. Equal vectors of a shard are one node, which holds its smallest
@@ -30,8 +31,8 @@ from .vectors import best, dealt, every, usable
 
 #: Edges of a node, beam while building and relaxation of the pruning.
 DEGREE, BUILD_BEAM, ALPHA = 32, 64, 1.2
-#: New vectors searched at once, candidates expanded at once for each.
-BATCH, EXPAND = 1024, 4
+#: New vectors searched at once, candidates expanded at once for each, and marks of seen nodes that a search holds.
+BATCH, EXPAND, SEEN = 1024, 4, 1 << 24
 
 
 def lengthened(x: np.ndarray, longest: float) -> np.ndarray:
@@ -114,7 +115,7 @@ def build(x: np.ndarray) -> tuple[np.ndarray, int]:
     first = order[:done]
     graph[first] = robust_prune(x, first, np.repeat(first[None, :], done, 0))
     while done < n:
-        new = order[done : done + min(BATCH, done)]
+        new = order[done : done + min(BATCH, done, max(64, SEEN // n))]
         graph[new] = robust_prune(x, new, beam_search(x, graph, start, x[new], BUILD_BEAM)[0])
         # Edges back: to each neighbour its nearest new sources, pruned where they are too many.
         v, p = graph[new].ravel(), np.repeat(new, DEGREE)
@@ -185,9 +186,10 @@ def search(t: pa.Table, query_ids: np.ndarray, queries: np.ndarray, k: int, beam
     ids = t.column("ids").combine_chunks()
     firsts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
     out_q, out_v, out_s = [], [], []
-    for at in range(0, len(queries), BATCH):
-        nodes = beam_search(x, graph, start, unit[at : at + BATCH], beam)[0]
-        for query_id, q, own in zip(query_ids[at : at + BATCH].tolist(), queries[at : at + BATCH], nodes, strict=True):
+    step = max(64, min(BATCH, SEEN // len(x)))
+    for at in range(0, len(queries), step):
+        nodes = beam_search(x, graph, start, unit[at : at + step], beam)[0]
+        for query_id, q, own in zip(query_ids[at : at + step].tolist(), queries[at : at + step], nodes, strict=True):
             own = own[own >= 0]
             scores = vectors[own] @ q
             got = np.concatenate([flat[firsts[i] : firsts[i + 1]] for i in own])
@@ -201,12 +203,15 @@ def search(t: pa.Table, query_ids: np.ndarray, queries: np.ndarray, k: int, beam
     return tuple(np.concatenate(x) for x in (out_q, out_v, out_s))
 
 
-def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, beam: int = 128, shard_rows: int = 10_000, query_rows: int = 8_192) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by query_every, itself apart."""
+def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, beam: int = 128, shard_rows: tuple[int, int] = (10_000, 50_000), query_rows: int = 32_768) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by query_every, itself apart.
+
+    shard_rows: least and most vectors of a shard; between them a table has 64 shards.
+    """
     rows = usable(vectors).where(F.exists("vector", lambda x: x != 0)).withColumn("dim", F.size("vector"))
     rows = materialize(rows, "vectors")
     n, n_queries = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % query_every == 0, 1))).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // query_rows))
+    shards, blocks = max(1, -(-n // min(max(n // 64, shard_rows[0]), shard_rows[1]))), max(1, -(-n_queries // query_rows))
     index = materialize(graphs(dealt(rows, "shard", shards), k), "graphs")
     queries = every(dealt(rows.where(F.col("vec_id") % query_every == 0), "block", blocks), "shard", shards)
 

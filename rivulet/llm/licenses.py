@@ -1,15 +1,16 @@
 """License scans: sparse TF-IDF cosine of headers to templates, and inheritance from the nearest ancestor directory.
 
-A file's headers are its lines (long lines are cut at the ends of sentences) and runs of
-up to RUN consecutive lines, without the marks of comments; a blank line ends a run. Words
+A file's headers are its sentences and lines, without the marks of comments, and runs of
+up to RUN consecutive ones; a blank line ends a run. Words
 are weighted by their document frequency over all files, counted in a first scan for
 the words of the templates; words outside the templates weigh as much as a word that no
-file has. A header matches the template of the highest cosine if it's at least
-`threshold`; the GNU licence and its version are those that the header or the two lines
-after it name ("GPL" without a version). The whole file is compared to full licence texts,
+file has. A header matches the template of the highest cosine of at least
+`threshold` whose deciding word it holds (of equal ones the first in the list). Of the GNU, Creative Commons and BSD
+licences it's the one, and the version, that the header or what follows it names
+("GPL" without a version). A line with an SPDX identifier names its licence itself. The whole file is compared to full licence texts,
 too, and matches from FULL_TEXT on. The file's own licence is the full text that it
-matches, or else its best header. A file is a licence file if its
-name says so (LICENSE, LICENCE, COPYING), if it matches a full text, or if half of its words stand in matching headers;
+matches, or else its best header. A file with a licence is a licence file if its
+name says so (LICENSE, LICENCE, COPYING) or if it matches a full text;
 its licence holds for its directory and all below. A file without a licence of its own
 takes that of the nearest ancestor directory that has one; of several licence files of
 a directory the first by path counts.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import arrow_map, materialize, slices
 
 # Licences and the headers that name them.
 TEMPLATES = [
@@ -61,10 +62,34 @@ TEMPLATES = [
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("BSD-3-Clause", "Licensed under the BSD License."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, Version 2.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# What a header must hold to be of a licence.
+DECIDING = {
+    "MIT": r"\bmit\b|permission is hereby granted", "Apache-2.0": r"\bapache\b", "GPL-2.0": r"general public", "GPL-3.0": r"general public", "LGPL-2.1": r"(lesser|library) general public",
+    "AGPL-3.0": r"affero general public", "BSD-3-Clause": r"\bbsd\b|redistribution and use", "ISC": r"\bisc\b|permission to use, copy", "MPL-2.0": r"\bmozilla\b|\bmpl\b", "EPL-2.0": r"\beclipse\b|\bepl\b",
+    "CC-BY-4.0": r"\bcc[ -]by\b|creative commons attribution", "CC-BY-SA-4.0": r"\bcc[ -]by\b|creative commons attribution", "CC-BY-NC-4.0": r"\bcc[ -]by\b|creative commons attribution",
+    "CC0-1.0": r"\bcc0\b|waived all copyright", "Proprietary": r"all rights reserved", "Unlicense": r"public domain",
+}
+SPDX_NAMES = ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "MPL-2.0", "0BSD", "Zlib")
+SPDX = re.compile(r"spdx-license-identifier:\s*([a-z0-9][a-z0-9.+-]*)")
 #: Full texts, a file for each licence; read on the driver only.
 TEXTS = Path(__file__).resolve().parent / "license_texts"
-LONG_LINE, RUN, BLOCK, FULL_TEXT = 400, 12, 2048, 0.9
+RUN, BLOCK, FULL_TEXT = 12, 2048, 0.9
+#: Directories of up to so many licence files are broadcast to the ancestors of the others.
+MOST_HOLDERS = 20_000
 COMMENT = re.compile(r"^(?:[^a-z0-9(\"]|(?:rem|dnl)\s)+")
 GNU_VERSION = re.compile(r"\bv(?:ersion)?[ .]*([123](?:\.1)?)")
 SENTENCE_END = re.compile(r"(?<=[.!?]) +")
@@ -82,6 +107,8 @@ class Templates:
         own = sorted({w for ws in words for w in ws})
         more = sorted({w for ws in texts.values() for w in ws} - set(own))
         self.vocabulary, self.own = {w: i for i, w in enumerate(own + more)}, len(own)
+        self.deciding = [re.compile(DECIDING[name]) for name in self.names]
+        self.identifiers = {x.lower(): x for x in [*self.names, *self.text_names, *SPDX_NAMES]}
         self.counts, self.text_counts = self.matrix(words)[:, : self.own], self.matrix(list(texts.values()))
 
     def matrix(self, rows: list[list[str]]) -> np.ndarray:
@@ -118,24 +145,36 @@ class Matcher:
 
     def match(self, text: str) -> tuple[str | None, float, float]:
         """Licence and cosine of the full text or the best header, and the share of the text's words in matches."""
+        return self.judged(text)[:3]
+
+    def judged(self, text: str) -> tuple[str | None, float, float, bool]:
+        """As match, and whether the text matches a full licence text."""
         lines = list(headers(text))
         words = [WORD.findall(line) for line, _ in lines]
         total = sum(map(len, words))
         if not total:
-            return None, 0.0, 0.0
+            return None, 0.0, 0.0, False
         full = self.cosines([w for ws in words for w in ws], self.texts)
         if full.max() >= FULL_TEXT:
-            return self.t.text_names[int(full.argmax())], float(full.max()), 1.0
+            return full_text_named(self.t.text_names[int(full.argmax())], lines), float(full.max()), 1.0, True
         best, best_score, matched = None, 0.0, set()
+        for i, (line, _) in enumerate(lines):
+            if "spdx" in line and (found := SPDX.search(line)):
+                best, best_score = best or self.t.identifiers.get(found[1], found[1]), 1.0
+                matched.add(i)
         for start, k in self.candidates(words, [ends for _, ends in lines]):
             cosines = self.cosines([w for ws in words[start : start + k] for w in ws], self.rows)
-            top = int(cosines.argmax())
-            if cosines[top] >= self.threshold:
-                matched.update(range(start, start + k))
-                if cosines[top] > best_score:
-                    best_score = float(cosines[top])
-                    best = named(self.t.names[top], lines, start, k)
-        return best, best_score, sum(len(words[i]) for i in matched) / total
+            header = " ".join(line for line, _ in lines[start : start + k])
+            for top in np.argsort(-cosines, kind="stable").tolist():
+                if cosines[top] < self.threshold:
+                    break
+                if self.t.deciding[top].search(header):
+                    matched.update(range(start, start + k))
+                    if cosines[top] > best_score:
+                        best_score = float(cosines[top])
+                        best = named(self.t.names[top], header, [line for line, _ in lines[start + k : start + k + 25]])
+                    break
+        return best, best_score, sum(len(words[i]) for i in matched) / total, False
 
     def candidates(self, words: list[list[str]], ends: list[bool]) -> Iterator[tuple[int, int]]:
         """(first line, number of lines) of the runs that may reach the threshold, by a bound.
@@ -170,26 +209,41 @@ class Matcher:
                     yield first + i, k
 
 
-def named(template: str, lines: list[tuple[str, bool]], start: int, k: int) -> str:
-    """The template's licence; of the GNU licences the one and the version that the header names."""
-    if not template.startswith("GPL"):
+def named(template: str, header: str, after: list[str]) -> str:
+    """The template's licence; of the GNU, Creative Commons and BSD licences the one and the version that the header, or what follows it, names."""
+    if template.startswith("BSD"):
+        rest = header + " " + " ".join(after)
+        return "BSD-3-Clause" if "neither the name" in rest else "BSD-2-Clause" if "in the documentation" in rest else "BSD"
+    if template.startswith("CC-BY"):
+        parts = [part for part, pattern in (("NC", r"\bnc\b|noncommercial"), ("ND", r"\bnd\b|noderiv"), ("SA", r"\bsa\b|sharealike")) if re.search(pattern, header)]
+        version = re.search(r"\b([1-4]\.\d)\b", header)
+        return "-".join(["CC-BY", *parts, *([version[1]] if version else [])])
+    if not template.startswith(("GPL", "LGPL", "AGPL")):
         return template
-    header = " ".join(line for line, _ in lines[start : start + k])
     family = "LGPL" if re.search(r"\b(lesser|library) general", header) else "AGPL" if "affero" in header else "GPL"
-    version = GNU_VERSION.search(header) or GNU_VERSION.search(" ".join(line for line, _ in lines[start + k : start + k + 2]))
+    version = GNU_VERSION.search(header) or GNU_VERSION.search(" ".join(after[:2]))
     if not version:
         return family
     return f"{family}-{version[1]}" if "." in version[1] else f"{family}-{version[1]}.0"
 
 
+def full_text_named(text_name: str, lines: list[tuple[str, bool]]) -> str:
+    """The licence of a whole file alike to a full text; texts of one family differ in a title or a clause only."""
+    title, whole = " ".join(line for line, _ in lines[:6]), " ".join(line for line, _ in lines)
+    if text_name == "GPL-3.0" and "affero" in title:
+        return "AGPL-3.0"
+    if text_name.startswith("BSD"):
+        return "BSD-3-Clause" if "neither the name" in whole else "BSD-2-Clause"
+    return text_name
+
+
 def headers(text: str) -> Iterator[tuple[str, bool]]:
-    """Lines without the marks of comments, or sentences of a long line, and whether a run ends with them."""
-    lines = [line if len(line) > LONG_LINE else COMMENT.sub("", line) for line in text.lower().split("\n")]
+    """Sentences of lines, without the marks of comments, and whether a run ends with them."""
+    lines = [COMMENT.sub("", line) for line in text.lower().split("\n")]
     for line, after in zip(lines, [*lines[1:], ""], strict=True):
-        if len(line) > LONG_LINE:
-            yield from ((sentence, True) for sentence in SENTENCE_END.split(line))
-        elif line:
-            yield line, not after or len(after) > LONG_LINE
+        sentences = [x for x in SENTENCE_END.split(line) if x]
+        for k, sentence in enumerate(sentences, 1):
+            yield sentence, k == len(sentences) and not after
 
 
 def word_frequency(files: DataFrame) -> tuple[np.ndarray, int]:
@@ -207,7 +261,7 @@ def word_frequency(files: DataFrame) -> tuple[np.ndarray, int]:
         frequency[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(frequency))), pa.array(frequency)], ["word", "n"])
 
-    rows = files.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = arrow_map(files.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(t.vocabulary) + 1)
     for r in rows:
         out[r["word"]] = r["n"]
@@ -215,17 +269,17 @@ def word_frequency(files: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
-    """key, path, own licence, its cosine, whether the file is a licence file."""
+    """key, path, own licence, its cosine, whether the file is a licence file: by its name, or as all of it matches a full text."""
     shared = files.sparkSession.sparkContext.broadcast(Matcher(*word_frequency(files), threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            license, score, share = zip(*(shared.value.match(t or "") for t in b.column("text").to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("path"), pa.array(license, pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.float64())], ["key", "path", "license", "score", "share"])
+            license, score, _, whole = zip(*(shared.value.judged(t or "") for t in b.column("text").to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("path"), pa.array(license, pa.string()), pa.array(score, pa.float64()), pa.array(whole, pa.bool_())], ["key", "path", "license", "score", "whole"])
 
-    found = files.mapInArrow(run, "key long, path string, license string, score double, share double")
-    is_file = F.col("license").isNotNull() & ((F.col("share") >= 0.5) | F.coalesce(F.col("path").rlike(LICENCE_NAME), F.lit(False)))
-    return found.withColumn("is_license_file", is_file).drop("share")
+    found = arrow_map(files, run, "key long, path string, license string, score double, whole boolean")
+    is_file = F.col("license").isNotNull() & (F.col("whole") | F.coalesce(F.col("path").rlike(LICENCE_NAME), F.lit(False)))
+    return found.withColumn("is_license_file", is_file).drop("whole")
 
 
 def directories(path: F.Column) -> F.Column:
@@ -239,10 +293,11 @@ def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", thr
     files = files.select(F.col(key).cast("long").alias("key"), F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     own = materialize(own_licenses(files, threshold), "licenses")
     holders = own.where("is_license_file and path is not null")
+    few = holders.count() <= MOST_HOLDERS
     of_directory = holders.withColumn("directory", F.element_at(directories(F.col("path")), -1)).groupBy("directory").agg(F.min(F.struct("path", "license", "score")).alias("holder"))
     # Files are known by their paths here: paths without a licence of their own, once each.
     bare = own.where("license is null and path is not null").select("path").distinct()
-    above = bare.select("path", F.explode(directories(F.col("path"))).alias("directory")).join(of_directory, "directory")
+    above = bare.select("path", F.explode(directories(F.col("path"))).alias("directory")).join(F.broadcast(of_directory) if few else of_directory, "directory")
     nearest = above.groupBy("path").agg(F.max_by("holder", F.struct(F.length("directory"), "directory")).alias("holder"))
     out = own.join(nearest, "path", "left")
     inherited = F.col("license").isNull() & F.col("holder").isNotNull()

@@ -61,3 +61,53 @@ def test_full_text_holds_for_what_is_below(spark):
 
     files = spark.createDataFrame([(1, "r/TERMS", (TEXTS / "MPL-2.0.txt").read_text()), (2, "r/a/x.py", "code"), (3, "s/x.py", "code")], "doc_id long, path string, text string")
     assert {r.doc_id: (r.license, r.scope) for r in scan_licenses(files).collect()} == {1: ("MPL-2.0", "own"), 2: ("MPL-2.0", "inherited"), 3: (None, "none")}
+
+
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice.
+2. Redistributions in binary form must reproduce the above copyright notice in the documentation.
+"""
+HEADERS = {
+    "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.": "LGPL-2.1",
+    GPL3.replace("GNU General", "GNU Affero General"): "AGPL-3.0",
+    "Licensed under the BSD License.": "BSD", BSD2: "BSD-2-Clause", BSD2 + "3. Neither the name of the holder may be used.": "BSD-3-Clause",
+    "Released under the ISC License.": "ISC", "This code is under the Mozilla Public License, version 2.0": "MPL-2.0",
+    "// This program and the accompanying materials are made\n// available under the terms of the Eclipse Public License 2.0\n// which is available at https://www.eclipse.org/legal/epl-2.0/": "EPL-2.0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 License.": "CC-BY-NC-SA-3.0",
+    GPL3.replace("program is free software:", "program is free software;").replace("version 3", "version 2"): "GPL-2.0",
+    "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later", "x = 1 /* SPDX-License-Identifier: mit */": "MIT",
+    "The licence of a driver is released under conditions.": None, "A public general assembly met under the terms of the foundation.": None,
+}
+
+
+def test_families_are_told_apart():
+    m = Matcher(np.zeros(len(Templates().vocabulary)), 1000, 0.7)
+    assert {h: m.match(h)[0] for h in HEADERS} == HEADERS
+    long = " ".join(["Some sentence about rivers."] * 40)
+    assert m.match(f"{long} Licensed under the ISC License. {long}")[0] == "ISC"  # whatever the line's length
+
+
+def test_cosines_equal_brute_force():
+    """Sparse cosines against dense vectors of all words, weighted by document frequency."""
+    t = Templates()
+    frequency = np.random.default_rng(0).integers(0, 50, len(t.vocabulary)).astype(float)
+    m = Matcher(frequency, 60, 0.7)
+    words = "licensed under the apache license version 2 0 by unheard ofwords unheard".split()
+    outside = {"unheard", "ofwords"} | {w for w in words if t.vocabulary.get(w, t.own) >= t.own}
+    every = sorted(set(t.vocabulary) | outside)
+    idf = {w: np.log(61 / (frequency[t.vocabulary[w]] + 1)) + 1 if t.vocabulary.get(w, t.own) < t.own else np.log(61) + 1 for w in every}
+    dense = lambda ws: np.array([ws.count(w) * idf[w] for w in every])
+    import re
+
+    from rivulet.llm.licenses import TEMPLATES
+
+    a = dense(words)
+    want = [float(a @ (b := dense(re.findall("[a-z0-9]+", text.lower())))) / np.linalg.norm(a) / np.linalg.norm(b) for _, text in TEMPLATES]
+    assert np.allclose(m.cosines(words, m.rows), want)
+
+
+def test_headers_alone_pass_nothing_on(spark):
+    """A file that is no licence file gives its licence to no other, however little else it holds."""
+    files = spark.createDataFrame([(1, "r/notes.txt", "Released under the MIT License."), (2, "r/a.txt", "code")], "doc_id long, path string, text string")
+    assert {r.doc_id: (r.license, r.scope) for r in scan_licenses(files).collect()} == {1: ("MIT", "own"), 2: (None, "none")}

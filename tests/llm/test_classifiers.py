@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from rivulet.llm.quality import Featurizer, fit, quality_scores, without_rejected
+from rivulet.llm.queries import op8_quality, op9_toxicity
 from rivulet.llm.toxicity import Network, Scorer, best_threshold, calibrated_line, toxicity_scores, train_on
 
 DATA = "/root/testdata/sf0.01"
@@ -50,6 +51,56 @@ def test_toxicity_of_unseen_texts():
     assert "en" in net.thresholds
 
 
+def test_toxicity_equals_plain_loops():
+    """Scores against a convolution written out word by word."""
+    from rivulet.llm.toxicity import DIMENSIONS, FILTERS, PLACES, WIDTHS, parts
+
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["sun", "rain", "wind", "snowing", "hail", "Fog!"], rng.integers(0, 9))) for _ in range(30)]
+    net = train_on(texts, (np.arange(30) % 3 == 0).astype(np.float32), [None] * 30)
+    for text, got in zip(texts, Scorer(net).scores(texts), strict=True):
+        vectors = [net.embeddings[parts([w])[0][0]].sum(axis=0).astype(float) for w in text.split()]
+        z = float(net.bias)
+        for i, w in enumerate(WIDTHS):
+            for f in range(FILTERS):
+                values = [sum(vectors[at + k][d] * net.kernels[PLACES.index((w, k)), d, f] for k in range(w) for d in range(DIMENSIONS)) + net.shifts[i, f] for at in range(len(vectors) - w + 1)]
+                z += net.weights[i * FILTERS + f] * max([0.0, *values])
+        assert got == pytest.approx(1 / (1 + np.exp(-(net.line[0] * z + net.line[1]))), abs=1e-4)
+
+
+def test_the_registered_queries_on_unseen_labels(spark):
+    """Held-out accuracy of the whole queries on the largest test tables, with the contract's thresholds."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+
+    def hits(query, label):
+        rows = [(r.predicted == 1, labels[r.doc_id][label] == 1) for r in query(spark, folder).where("held_out").collect() if r.doc_id in labels]
+        p, y = np.array(rows).T
+        return (p == y).mean(), 2 * (p & y).sum() / (p.sum() + y.sum())
+
+    assert hits(op8_quality, "quality")[0] >= 0.97
+    accuracy, f1 = hits(op9_toxicity, "toxic")
+    assert accuracy >= 0.97 and f1 >= 0.9
+
+
+def test_sample_is_bounded(spark):
+    """An id that many rows hold counts once, and texts are taken up to a number of bytes."""
+    from rivulet.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i % 40, f"text {i % 40} " * 50) for i in range(4000)] + [(1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = labelled_sample(docs, labels, "quality", 10).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == 10 and all(r.lang is None for r in rows)
+    few = labelled_sample(docs, labels, "quality", 10, max_bytes=1500).collect()
+    assert 0 < len(few) < 10 and sum(len(r.text) for r in few) <= 1500
+
+
+def test_shapes_of_whole_words():
+    from rivulet.llm.words import shape
+
+    assert shape("a" * 40 + "7B") == "a0A" and shape("x" * 24) != shape("x" * 24 + "9")
+
+
 def test_calibration():
     z = np.array([-3.0, -2, -1, 1, 2, 3])
     a, b = calibrated_line(z, np.array([0, 0, 0, 1, 1, 1.0]))

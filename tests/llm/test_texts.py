@@ -10,9 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.llm.mixing import Mix, draw, mixed_documents, permuted, shard_counts, targets
+from rivulet.llm.mixing import Mix, mixed_documents, permuted, sources_of, targets
 from rivulet.llm.near_dedup import deduplicated, near_duplicates
-from rivulet.llm.packing import BestFit, Encoder, cut, pack
+from rivulet.llm.packing import BestFit, Encoder, cut, pack, pieces
 from rivulet.llm.queries import tokenizer
 from rivulet.llm.secrets import Formats, all_spans, base_spans, find_secrets, infer, redacted
 from rivulet.llm.token_count import Counter, count_tokens, load_merges
@@ -79,6 +79,40 @@ def test_ids_equal_the_library():
         assert encoder.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_ids_of_all_documents_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    library, texts = Tokenizer.from_file(path), {r.doc_id: r.text or "" for r in docs.collect()}
+    want = set()
+    for i, e in zip(texts, library.encode_batch(list(texts.values()), add_special_tokens=False), strict=True):
+        ids = np.array([*e.ids, 0], "<u4")
+        want |= {(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), 2048))}
+    assert {tuple(r) for r in pieces(docs, path).collect()} == want
+
+
+@pytest.mark.parametrize("sign", [" ", "\n", "\t", " \n"])
+def test_ids_of_very_long_white_space(sign):
+    from tokenizers import Tokenizer
+
+    text = open(tokenizer("byte_bpe_50k.json")).read()
+    long = "a" + sign * (2_000_000 // len(sign)) + "b"
+    assert Encoder(text).encode(long) == np.array(Tokenizer.from_str(text).encode(long, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_few_sequences(spark):
+    """Documents as they arrive fill all but two in a hundred of their sequences' places, with forced closings."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pack(docs, tokenizer("byte_bpe_50k.json")).collect()
+    assert len({r.sequence_id for r in rows}) <= 1.02 * sum(r.length for r in rows) / 2048
+    rng, fit = np.random.default_rng(1), BestFit(2048, 64)
+    lengths = rng.integers(200, 2048, 4000)
+    for n in lengths.tolist():
+        fit.add(n)
+    assert fit.n_open <= 64 < fit.n_bins and fit.forced
+
+
 def test_packing_holds_every_id_once(odd, empty):
     from tokenizers import Tokenizer
 
@@ -149,6 +183,39 @@ def test_near_duplicates_equal_brute_force(many, n, percent):
     assert len(set(want.values())) < len(ids)
 
 
+def test_exact_near_duplicates(many):
+    """The exact mode finds what brute force does, whatever the bands propose."""
+    rows = many.orderBy("doc_id").collect()
+    ids, sets = [r.doc_id for r in rows], sets_of([r.text for r in rows], 2)
+    want = brute_components(ids, sets, 50)
+    assert {r.doc_id: r.component_id for r in near_duplicates(many, 2, 50, exact=True).collect()} == want
+
+
+def test_pairs_of_a_large_group_stay_linear(spark, monkeypatch):
+    """1,000 copies of one text, half of them changed to just below the threshold: pairs grow with the group, not with its square."""
+    import rivulet.llm.near_dedup as module
+
+    rng, counts, original = random.Random(5), [], module.compared
+    text = [f"p{i}" for i in range(150)]
+    texts = [text]
+    for i in range(1000):
+        own = list(text)
+        for k in rng.sample(range(150), rng.randint(1, 3) if i % 2 else rng.randint(8, 16)):
+            own[k] = f"w{rng.randint(0, 10**9)}"
+        texts.append(own)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+
+    def compared(pairs, *rest):
+        pairs = module.materialize(pairs, "counted")
+        counts.append(pairs.count())
+        return original(pairs, *rest)
+
+    monkeypatch.setattr(module, "compared", compared)
+    want = brute_components(list(range(len(texts))), sets_of([" ".join(t) for t in texts], 3), 85)
+    assert {r.doc_id: r.component_id for r in module.near_duplicates(docs, 3, 85).collect()} == want
+    assert len(set(want.values())) > 300 and sum(counts) < 30 * len(texts)
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = near_duplicates(odd, 3, 85).collect()
     assert len(rows) == odd.count()
@@ -238,17 +305,33 @@ def test_targets():
 
 def test_draws_and_permutations():
     totals = np.array([1000, 0, 517, 3])
-    parts = [shard_counts(totals, h, 12, 128, 5) for h in range(12)]
-    assert (sum(c for _, c in parts) == totals).all()
-    at = np.zeros(4, int)
-    for first, counts in parts:
-        assert (first == at).all()
-        at = at + counts
-    assert all(c.sum() == 128 for _, c in parts[:-1])
+    source, i = sources_of(totals, np.arange(totals.sum()), 5)
+    assert all(sorted(i[source == s].tolist()) == list(range(n)) for s, n in enumerate(totals))
     for n in (1, 2, 3, 64, 1000):
         assert sorted(permuted(np.arange(n), n, 77).tolist()) == list(range(n))
-    big = draw(np.array([3 * 10**9, 10**9]), 2 * 10**9, np.random.default_rng(1))
-    assert big.sum() == 2 * 10**9 and abs(big[0] / 1.5e9 - 1) < 1e-3
+    # Counts by shard have the mean and the variance of draws without replacement, at any size.
+    for totals, shard in ((np.array([60_000, 30_000, 10_000]), 500), (np.array([6, 3, 1]) * 10**11, 500)):
+        n, share = int(totals.sum()), totals / totals.sum()
+        starts = np.arange(0, n - shard, n // 200)[:200]
+        counts = np.array([np.bincount(sources_of(totals, np.arange(x, x + shard), 5)[0], minlength=3) for x in starts.tolist()])
+        assert np.allclose(counts.mean(axis=0), shard * share, atol=5)
+        assert np.allclose(counts.std(axis=0), np.sqrt(shard * share * (1 - share)), rtol=0.25)
+
+
+def test_copies_take_words_of_their_own(spark):
+    """Rows that repeat id and text are numbered: what the mixture holds is what is taken, at most twice each."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((500, 40, 1000, 7))]
+    rows = [(i, t, "a" if i < 3 else None, c) for i, t in enumerate(texts) for c in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __row int").repartition(5)
+    taken = Mix(docs, block_words=8).taken().collect()
+    assert len(taken) == len(rows) and all(r.taken <= 2 * r.size for r in taken)
+    words = defaultdict(int)
+    mixed = mixed_documents(docs, block_words=8)
+    assert mixed.schema == docs.schema
+    for r in mixed.collect():
+        words[r.doc_id, r["__row"]] += len(r.text.split())
+    assert sorted(x for x in words.values()) == sorted(r.taken for r in taken if r.taken)
+    assert {i for i, _ in words} == {r.doc_id for r in taken if r.taken}
 
 
 def test_mixture(many, odd, empty):

@@ -72,7 +72,7 @@ def pick_threshold(curve: DataFrame, target: float = 0.2) -> DataFrame:
 def abstention_audit(gated: DataFrame, outcome: DataFrame, zone: DataFrame) -> DataFrame:
     """Cells, errors of p >= 0.5 and error rate by district and gate and all margins (ALL)."""
     y = outcome.select(*CELL, F.col("flooded").alias("y"))
-    rows = gated.join(y, CELL).join(F.broadcast(zone.select("zone_id", "district_name")), "zone_id").withColumn("wrong", ((F.col("p") >= 0.5) != (F.col("y") == 1)).cast("long"))
+    rows = gated.join(y, CELL).join(zone.select("zone_id", "district_name"), "zone_id").withColumn("wrong", ((F.col("p") >= 0.5) != (F.col("y") == 1)).cast("long"))
     cubed = rows.cube("district_name", "gate").agg(F.grouping("district_name").alias("g1"), F.grouping("gate").alias("g2"), F.count("*").alias("cells"), F.sum("wrong").alias("errors"))
     return cubed.select(
         F.when(F.col("g1") == 1, "ALL").otherwise(F.col("district_name")).alias("district"), F.when(F.col("g2") == 1, "ALL").otherwise(F.col("gate")).alias("gate"),

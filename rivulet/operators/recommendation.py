@@ -16,7 +16,7 @@ CELL = ["zone_id", "valid_date"]
 def situation(summary: DataFrame, exposure: DataFrame) -> DataFrame:
     """p, expected people affected and the change of p since the day before (null if that day is missing)."""
     w = Window.partitionBy("zone_id").orderBy(F.datediff("valid_date", F.lit("1970-01-01").cast("date"))).rangeBetween(-1, -1)
-    rows = summary.withColumn("before", F.max("p").over(w)).join(F.broadcast(zone_population(exposure)), "zone_id", "left")
+    rows = summary.withColumn("before", F.max("p").over(w)).join(zone_population(exposure), "zone_id", "left")
     return rows.select(*CELL, "p", (F.col("p") * F.coalesce("population", F.lit(0.0))).alias("expected_affected"), (F.col("p") - F.col("before")).alias("change"))
 
 

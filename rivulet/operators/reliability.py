@@ -19,7 +19,7 @@ def with_outcome(summary: DataFrame, outcome: DataFrame) -> DataFrame:
 
 def score_probabilities(summary: DataFrame, outcome: DataFrame, zone: DataFrame) -> DataFrame:
     """Brier score and log loss by district and overall (district ALL), of p and of the hard forecast p >= 0.5."""
-    cells = with_outcome(summary, outcome).join(F.broadcast(zone.select("zone_id", "district_name")), "zone_id")
+    cells = with_outcome(summary, outcome).join(zone.select("zone_id", "district_name"), "zone_id")
     hard = F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0)
 
     def measures(p, name):

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.numbers import out
 from ..operators import communication, decisions, gating, recommendation, reliability, uncertainty
+from ..sources.scratch import scratch
 from ..sources.tables import ACTIONS, CUT, Tables
 from ..streaming import follow
 from .oracle import oracle_sql
@@ -100,15 +99,6 @@ def _(p: Plan, t: Tables) -> DataFrame:
 QUERIES["f8_recommendation_json"] = lambda spark, folder: recommendation.as_json(recommend(spark, folder)).withColumn("valid_date", F.col("valid_date").cast("string"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors see: below spark.checkpoint.dir; in local mode without it a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local[")
-        base = "file://" + tempfile.mkdtemp(prefix="rivulet-stream-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 #: Spans of time that the events are fed in, and files of each.
 SPANS, FILES = 3, 4
 HEARTBEAT = "heartbeat"

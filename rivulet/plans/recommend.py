@@ -8,22 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions, gating, recommendation, reliability, uncertainty
+from ..sources.scratch import held
 from ..sources.tables import CUT, Tables
 
 
 class Plan:
-    """Everything that the entry points share, each part declared once. Nothing runs until a result is asked for."""
+    """Everything that the entry points share, each part declared once. Nothing runs until a result is asked for, unless parts are kept."""
 
     def __init__(self, spark: SparkSession, folder: str, keep: bool = False):
-        """keep: holds the members and features, a few rows for each zone and day, for plans that use them many times."""
+        """keep: writes the members and features, a few rows for each zone and day, once, for plans that use them many times."""
         t = self.tables = Tables(spark, folder)
         if keep:
-            t.forecast_member = t.forecast_member.persist()
+            t.forecast_member = held(t.forecast_member)
         self.cell = uncertainty.ensemble_summary(t.forecast_member)
         self.interval = uncertainty.ensemble_interval(t.forecast_member)
         self.features = uncertainty.zone_features(t.observation)
         if keep:
-            self.cell, self.features = self.cell.persist(), self.features.persist()
+            self.cell, self.features = held(self.cell), held(self.features)
 
     @property
     def fused(self) -> DataFrame:

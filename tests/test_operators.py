@@ -8,6 +8,7 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rivulet.functions.numbers import POISSON_ONE
 from rivulet.operators import communication, decisions, gating, recommendation, reliability, uncertainty
@@ -332,3 +333,15 @@ def test_bagged_forecast_equals_newton_steps(spark):
         for k in late:
             want = 1 / (1 + np.exp(-(np.append(x[k] / sd, 1) @ beta)))
             assert got[(*k, f"bag{m}")] == pytest.approx(want, abs=2e-3)
+
+
+def test_json_holds_the_record(spark):
+    """The JSON read back is the record, on whole tables."""
+    from rivulet.plans.recommend import recommend
+
+    rows = recommend(spark, "/root/testdata/sf0.001")
+    kind = rows.schema["record"].dataType.simpleString()
+    back = recommendation.as_json(rows).select("zone_id", "valid_date", F.from_json("record", kind).alias("back"))
+    both = rows.join(back, ["zone_id", "valid_date"])
+    assert both.count() == rows.count() > 0
+    assert both.where(~F.col("record").eqNullSafe(F.col("back"))).count() == 0

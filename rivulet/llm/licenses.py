@@ -2,9 +2,9 @@
 
 A file's headers are its sentences and lines, without the marks of comments, and runs of
 up to RUN consecutive ones; a blank line ends a run. Words
-are weighted by their document frequency over all files, counted in a first scan for
-the words of the templates; words outside the templates weigh as much as a word that no
-file has. A header matches the template of the highest cosine of at least
+are weighted by their document frequency over all files, counted in a first scan: word by
+word for those of the templates, by CELLS hashed cells for all others (a word that shares its cell
+counts as more frequent, never as rarer). A header matches the template of the highest cosine of at least
 `threshold` whose deciding word it holds (of equal ones the first in the list). Of the GNU, Creative Commons and BSD
 licences it's the one, and the version, that the header or what follows it names
 ("GPL" without a version). A line with an SPDX identifier names its licence itself. The whole file is compared to full licence texts,
@@ -27,6 +27,7 @@ empty table. Texts are scanned whole.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -87,7 +88,7 @@ SPDX_NAMES = ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-la
 SPDX = re.compile(r"spdx-license-identifier:\s*([a-z0-9][a-z0-9.+-]*)")
 #: Full texts, a file for each licence; read on the driver only.
 TEXTS = Path(__file__).resolve().parent / "license_texts"
-RUN, BLOCK, FULL_TEXT = 12, 2048, 0.9
+RUN, BLOCK, FULL_TEXT, CELLS = 12, 2048, 0.9, 1 << 18
 #: Directories of up to so many licence files are broadcast to the ancestors of the others.
 MOST_HOLDERS = 20_000
 COMMENT = re.compile(r"^(?:[^a-z0-9(\"]|(?:rem|dnl)\s)+")
@@ -119,28 +120,34 @@ class Templates:
         return out
 
 
+def cell(word: str) -> int:
+    return zlib.crc32(word.encode()) % CELLS
+
+
 class Matcher:
-    """Cosines of headers to the templates; frequency: number of files that hold each word of the vocabulary."""
+    """Cosines of headers to the templates; frequency: number of files that hold each word of the vocabulary, and then of each cell."""
 
     def __init__(self, frequency: np.ndarray, files: int, threshold: float):
         self.t, self.threshold = Templates(), threshold
-        self.idf = np.log((files + 1) / (frequency + 1)) + 1
-        self.other = float(np.log(files + 1) + 1)
+        n = len(self.t.vocabulary)
+        frequency = np.r_[frequency, np.zeros(max(0, n + CELLS - len(frequency)))]
+        idf = np.log((files + 1) / (np.minimum(frequency, files) + 1)) + 1
+        self.idf, self.squares = idf[:n], (idf**2).tolist()
         unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
         self.rows, self.texts = unit(self.t.counts * self.idf[: self.t.own]), unit(self.t.text_counts * self.idf)
 
     def cosines(self, words: list[str], rows: np.ndarray) -> np.ndarray:
         """Cosines of a bag of words to the rows, whose columns are the first words of the vocabulary."""
-        ids, tf, outside = [], [], 0
+        ids, tf, outside = [], [], 0.0
         for w, n in Counter(words).items():
             i = self.t.vocabulary.get(w)
             if i is None or i >= rows.shape[1]:
-                outside += n * n
+                outside += n * n * self.squares[len(self.idf) + cell(w) if i is None else i]
             else:
                 ids.append(i)
                 tf.append(n)
         weighted = np.array(tf) * self.idf[ids]
-        norm = np.sqrt((weighted**2).sum() + outside * self.other**2)
+        norm = np.sqrt((weighted**2).sum() + outside)
         return rows[:, ids] @ weighted / norm if ids else np.zeros(len(rows))
 
     def match(self, text: str) -> tuple[str | None, float, float]:
@@ -181,7 +188,7 @@ class Matcher:
 
         Products with the templates add up over the lines of a run, and its length is at least the root of the lines' squares.
         """
-        own, vocabulary = self.t.own, self.t.vocabulary
+        own, vocabulary, all_squares, n = self.t.own, self.t.vocabulary, self.squares, len(self.idf)
         last = len(words)
         # A run may not go beyond the next end of a paragraph.
         limit = np.zeros(last, np.int64)
@@ -191,11 +198,21 @@ class Matcher:
             limit[i] = stop
         for first in range(0, last, BLOCK):
             block = words[first : first + BLOCK + RUN - 1]
-            hits = [[j for w in ws if (j := vocabulary.get(w, own)) < own] for ws in block]
+            hits, outside = [], np.zeros(len(block))
+            for row, ws in enumerate(block):
+                found, rest = [], 0.0
+                for w in ws:
+                    j = vocabulary.get(w)
+                    if j is not None and j < own:
+                        found.append(j)
+                    else:
+                        rest += all_squares[n + cell(w) if j is None else j]
+                hits.append(found)
+                outside[row] = rest
             sizes = np.array([len(h) for h in hits])
             flat = np.repeat(np.arange(len(block)) * own, sizes) + np.array([j for h in hits for j in h], np.int64)
             x = np.bincount(flat, minlength=len(block) * own).reshape(len(block), own) * self.idf[:own]
-            squares = (x**2).sum(axis=1) + (np.array([len(ws) for ws in block]) - sizes) * self.other**2
+            squares = (x**2).sum(axis=1) + outside
             dots = np.vstack([np.zeros(len(self.rows)), np.cumsum(x @ self.rows.T, axis=0)])
             lengths = np.concatenate([[0.0], np.cumsum(squares)])
             starts = np.arange(min(BLOCK, len(block)))
@@ -247,24 +264,28 @@ def headers(text: str) -> Iterator[tuple[str, bool]]:
 
 
 def word_frequency(files: DataFrame) -> tuple[np.ndarray, int]:
-    """Number of files that hold each word of the templates, and of all files: a row for each of these few words."""
+    """Number of files that hold each word of the templates, then a word of each cell, and of all files: a fixed number of rows."""
     t = Templates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency, n = np.zeros(len(t.vocabulary) + 1, np.int64), 0
+        n_words = len(t.vocabulary)
+        frequency, n = np.zeros(n_words + CELLS + 1, np.int64), 0
         known = t.vocabulary.keys()
         for b in slices(batches, "text"):
             for text in b.column("text").to_pylist():
                 n += 1
-                found = known & set(WORD.findall((text or "").lower()))
+                words = set(WORD.findall((text or "").lower()))
+                found = known & words
                 frequency[[t.vocabulary[w] for w in found]] += 1
+                # A file counts once for a cell.
+                frequency[[n_words + c for c in {cell(w) for w in words - found}]] += 1
         frequency[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(frequency))), pa.array(frequency)], ["word", "n"])
+        some = np.flatnonzero(frequency)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(frequency[some])], ["word", "n"])
 
-    rows = arrow_map(files.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(t.vocabulary) + 1)
-    for r in rows:
-        out[r["word"]] = r["n"]
+    rows = arrow_map(files.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(t.vocabulary) + CELLS + 1)
+    out[rows.column("word").to_numpy()] = rows.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
 

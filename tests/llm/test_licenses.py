@@ -1,8 +1,11 @@
 """License scans: headers, licence files and inheritance."""
 
+import re
+import zlib
+
 import numpy as np
 
-from rivulet.llm.licenses import Matcher, Templates, scan_licenses
+from rivulet.llm.licenses import CELLS, TEMPLATES, Matcher, Templates, scan_licenses, word_frequency
 
 SCHEMA = "doc_id long, path string, text string, license string, holder int"
 
@@ -92,16 +95,13 @@ def test_cosines_equal_brute_force():
     """Sparse cosines against dense vectors of all words, weighted by document frequency."""
     t = Templates()
     frequency = np.random.default_rng(0).integers(0, 50, len(t.vocabulary)).astype(float)
-    m = Matcher(frequency, 60, 0.7)
     words = "licensed under the apache license version 2 0 by unheard ofwords unheard".split()
-    outside = {"unheard", "ofwords"} | {w for w in words if t.vocabulary.get(w, t.own) >= t.own}
+    outside = {"unheard", "ofwords"}
     every = sorted(set(t.vocabulary) | outside)
-    idf = {w: np.log(61 / (frequency[t.vocabulary[w]] + 1)) + 1 if t.vocabulary.get(w, t.own) < t.own else np.log(61) + 1 for w in every}
+    cells = np.random.default_rng(1).integers(0, 50, CELLS).astype(float)
+    m = Matcher(np.r_[frequency, cells], 60, 0.7)
+    idf = {w: np.log(61 / ((frequency[t.vocabulary[w]] if w in t.vocabulary else cells[zlib.crc32(w.encode()) % CELLS]) + 1)) + 1 for w in every}
     dense = lambda ws: np.array([ws.count(w) * idf[w] for w in every])
-    import re
-
-    from rivulet.llm.licenses import TEMPLATES
-
     a = dense(words)
     want = [float(a @ (b := dense(re.findall("[a-z0-9]+", text.lower())))) / np.linalg.norm(a) / np.linalg.norm(b) for _, text in TEMPLATES]
     assert np.allclose(m.cosines(words, m.rows), want)
@@ -111,3 +111,14 @@ def test_headers_alone_pass_nothing_on(spark):
     """A file that is no licence file gives its licence to no other, however little else it holds."""
     files = spark.createDataFrame([(1, "r/notes.txt", "Released under the MIT License."), (2, "r/a.txt", "code")], "doc_id long, path string, text string")
     assert {r.doc_id: (r.license, r.scope) for r in scan_licenses(files).collect()} == {1: ("MIT", "own"), 2: (None, "none")}
+
+
+def test_frequencies_of_the_collection(spark):
+    """Files that hold a word, however often, and words of no template by their cells."""
+    files = spark.createDataFrame([(t,) for t in ("License xyzzy xyzzy", "license plugh", "the", None, "xyzzy")], "text string").repartition(3)
+    frequency, n = word_frequency(files)
+    t = Templates()
+    assert n == 5 and len(frequency) == len(t.vocabulary) + CELLS
+    assert frequency[t.vocabulary["license"]] == 2 and frequency[t.vocabulary["the"]] == 1
+    of = lambda w: frequency[len(t.vocabulary) + zlib.crc32(w.encode()) % CELLS]
+    assert of("xyzzy") == 2 and of("plugh") == 1 and frequency[len(t.vocabulary) :].sum() == 3

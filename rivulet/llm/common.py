@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage and outlives executors.
 
-    The table goes when the application ends.
+    The table goes when the application ends, or by `discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -47,7 +47,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._rivulet_path = hadoop_path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `materialize` that nothing reads any more."""
+    for t in tables:
+        t._rivulet_path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(t._rivulet_path, True)
 
 
 #: Rows and bytes of the Arrow batches between Spark and Python. Spark's own bounds (10,000 rows, 64 MB) times the

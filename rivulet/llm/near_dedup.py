@@ -47,9 +47,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import arrow_map, materialize, slices
+from .common import arrow_map, discard, materialize, slices
 
 SAMPLES, BANDS, BAND_ROWS, SKETCH_WORDS = 128, 48, 6, 8
 #: Buckets up to this size give all pairs across components. The members of larger ones go through a prefix filter, whose
@@ -182,7 +181,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             sets = [packed(shingler.shingles(t or "")) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return materialize(arrow_map(wanted, run, "id long, shingles binary"), "sets")
+    sets = materialize(arrow_map(wanted, run, "id long, shingles binary"), "sets")
+    discard(ids)
+    return sets
 
 
 def picks(seed: int, n: int) -> list[list[int]]:
@@ -236,7 +237,9 @@ def compared(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
             n_a, n_b, common = zip(*counts, strict=True)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(v, pa.int64()) for v in (n_a, n_b, common)), pa.array(ok)], ["a", "b", "n_a", "n_b", "common", "linked"])
 
-    return materialize(arrow_map(both, run, "a long, b long, n_a long, n_b long, common long, linked boolean"), "compared")
+    found = materialize(arrow_map(both, run, "a long, b long, n_a long, n_b long, common long, linked boolean"), "compared")
+    discard(pairs, sets)
+    return found
 
 
 def linked(pairs: DataFrame) -> DataFrame:
@@ -262,7 +265,9 @@ def unproven(members: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     closest = rows.where("outside").groupBy("key").agg(F.max(F.coalesce("shared", F.lit(float("inf")))).alias("closest"))
     # The hub itself has nothing beyond the hub, and has been compared to all.
     can = F.col("outside") | ((F.col("id") != F.col("hub")) & (F.coalesce("beyond", F.lit(float("inf"))) + F.col("closest") >= -1e-6))
-    return materialize(rows.join(closest, "key").where(can).select("key", "id", "band", "component"), "members")
+    left = materialize(rows.join(closest, "key").where(can).select("key", "id", "band", "component"), "members")
+    discard(rows)
+    return left
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -283,7 +288,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = materialize(small, "edges")
+        before, edges = edges, materialize(small, "edges")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == known:
             break
@@ -415,6 +421,8 @@ def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
     kept = joined(docs, dropped, "left_anti")
     if repeated.isEmpty():
         return kept
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    ones = joined(kept, repeated, "left_semi").where(F.col("text").isNotNull()).withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
+    # An aggregate, as one id may be that of many rows.
+    quoted = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.xxhash64("text"), F.col("text"), F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind)))
+    ones = joined(kept, repeated, "left_semi").where(F.col("text").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*quoted), order).alias("__row")).select("__row.*")
     return joined(kept, repeated, "left_anti").unionByName(ones)

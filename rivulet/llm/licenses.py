@@ -84,6 +84,13 @@ DECIDING = {
     "CC-BY-4.0": r"\bcc[ -]by\b|creative commons attribution", "CC-BY-SA-4.0": r"\bcc[ -]by\b|creative commons attribution", "CC-BY-NC-4.0": r"\bcc[ -]by\b|creative commons attribution",
     "CC0-1.0": r"\bcc0\b|waived all copyright", "Proprietary": r"all rights reserved", "Unlicense": r"public domain",
 }
+#: Each deciding expression needs all words of one of these: without them no header can match.
+NEEDED = [
+    set(x.split()) for x in (
+        "mit", "permission hereby granted", "apache", "general public", "bsd", "redistribution and use", "isc", "permission to use copy", "mozilla", "mpl", "eclipse", "epl",
+        "cc by", "creative commons attribution", "cc0", "waived all copyright", "all rights reserved", "public domain", "spdx",
+    )
+]
 SPDX_NAMES = ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "MPL-2.0", "0BSD", "Zlib")
 SPDX = re.compile(r"spdx-license-identifier:\s*([a-z0-9][a-z0-9.+-]*)")
 #: Full texts, a file for each licence; read on the driver only.
@@ -161,9 +168,13 @@ class Matcher:
         total = sum(map(len, words))
         if not total:
             return None, 0.0, 0.0, False
-        full = self.cosines([w for ws in words for w in ws], self.texts)
+        flat = [w for ws in words for w in ws]
+        full = self.cosines(flat, self.texts)
         if full.max() >= FULL_TEXT:
             return full_text_named(self.t.text_names[int(full.argmax())], lines), float(full.max()), 1.0, True
+        present = set(flat)
+        if not any(need <= present for need in NEEDED):
+            return None, 0.0, 0.0, False
         best, best_score, matched = None, 0.0, set()
         for i, (line, _) in enumerate(lines):
             if "spdx" in line and (found := SPDX.search(line)):

@@ -75,13 +75,18 @@ def needs_human(gated: DataFrame, limits: DataFrame, conformal: DataFrame) -> Da
     return rows.withColumn("reason", reason).select(*CELL, F.col("reason").isNotNull().alias("needs_human"), F.coalesce("reason", F.lit("none")).alias("reason"))
 
 
-def add_context(cells: DataFrame, zone: DataFrame, exposure: DataFrame, resource: DataFrame) -> DataFrame:
-    """Names, population, capacity and number of assets of each cell's zone; all are summed by zone before the join."""
+def zone_context(zone: DataFrame, exposure: DataFrame, resource: DataFrame) -> DataFrame:
+    """Names, population, capacity and number of assets of each zone; all are summed by zone before the join."""
     people = exposure.groupBy("zone_id").agg(exact(F.sum("population")).alias("population"), F.count("*").alias("assets"))
     capacity = resource.groupBy("zone_id").agg(exact(F.sum("capacity")).alias("capacity"))
     context = zone.select("zone_id", "zone_name", "district_name").join(people, "zone_id", "left").join(capacity, "zone_id", "left")
+    return context.fillna({"population": 0.0, "assets": 0, "capacity": 0.0})
+
+
+def add_context(cells: DataFrame, zone: DataFrame, exposure: DataFrame, resource: DataFrame) -> DataFrame:
+    """zone_context of each cell's zone; zeros for a zone that isn't listed."""
     zero = {"population": 0.0, "assets": 0, "capacity": 0.0}
-    return cells.select(*CELL).join(context, "zone_id", "left").fillna(zero)
+    return cells.select(*CELL).join(zone_context(zone, exposure, resource), "zone_id", "left").fillna(zero)
 
 
 def recommendation(parts: dict[str, DataFrame]) -> DataFrame:

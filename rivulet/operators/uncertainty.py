@@ -17,7 +17,11 @@ DAY = "1970-01-01"
 
 def zone_features(obs: DataFrame) -> DataFrame:
     """Mean of each zone, sensor and day; of the day before; of the seven days before (the day itself excluded)."""
-    daily = obs.groupBy("zone_id", "sensor", F.to_date("ts").alias("valid_date")).agg(exact(F.avg("value")).alias("mean_value"))
+    return features_of_days(obs.groupBy("zone_id", "sensor", F.to_date("ts").alias("valid_date")).agg(exact(F.avg("value")).alias("mean_value")))
+
+
+def features_of_days(daily: DataFrame) -> DataFrame:
+    """zone_features from zone_id, sensor, valid_date, mean_value."""
     daily = daily.withColumn("day_no", F.datediff("valid_date", F.lit(DAY).cast("date")))
     by_day = Window.partitionBy("zone_id", "sensor").orderBy("day_no")
     return daily.select(

@@ -124,6 +124,24 @@ EXPRESSIONS: dict[str, str] = {
       from belief b join belief_choice c using (zone_id) join (select zone_id, round(avg(cast(p.action = c.action as int)), 9) as stability from place_choice p join belief_choice c using (zone_id) group by all) using (zone_id)""",
     "followed_by": """select f.event_id as forecast_id, f.value as forecast_value, o.event_id as outcome_id, o.ts as outcome_ts, o.value as outcome_value, f.zone_id from observation f join observation o
       on f.zone_id = o.zone_id and f.sensor = 'view' and o.sensor = 'error' and o.ts > f.ts and o.ts <= f.ts + interval 1 hour""",
+    "outcome_of": """select f.event_id as forecast_id, f.zone_id, min(struct_pack(ts := o.ts, id := o.event_id)) as first, any_value(f.ts) as ts from observation f left join observation o
+      on f.zone_id = o.zone_id and o.sensor = 'error' and o.ts > f.ts and o.ts <= f.ts + interval 6 hours where f.sensor = 'view' group by all""",
+    "drift": """select cast(outcome_ts as date) as start, count(*) as n, avg(e) as brier, avg(e) > 1.5 * max(batch) as alarm from (
+        select outcome_ts, (forecast_value / (forecast_value + 50.0) - cast(outcome_value >= 120 as int)) * (forecast_value / (forecast_value + 50.0) - cast(outcome_value >= 120 as int)) as e from followed_by)
+      cross join (select avg((p - y) * (p - y)) as batch from scored) group by cast(outcome_ts as date)""",
+    "alarmed": "select coalesce(bool_or(alarm), false) as alarm from (select alarm from drift order by start desc limit 7)",
+    "newest_day": "select zone_id, max(cast(ts as date)) as newest from observation group by zone_id",
+    "belief_before": """select o.zone_id, (count(*) filter (value >= 120) + 1)::double / (count(*) + 2)::double as p_before from observation o join newest_day d on o.zone_id = d.zone_id and cast(o.ts as date) < newest group by o.zone_id""",
+    "reasons": """select zone_id, string_agg(sensor, ',' order by rank) as reasons from (
+        select f.zone_id, sensor, row_number() over (partition by f.zone_id order by round(abs(mean_value - week_mean), 6) desc, sensor) as rank
+        from features f join newest_day d on f.zone_id = d.zone_id and f.valid_date = d.newest where week_mean is not null) where rank <= 2 group by zone_id""",
+    "belief_ranked": """select zone_id, action, loss, row_number() over (partition by zone_id order by loss, action) as rank, min(loss) over (partition by zone_id) as best from (
+        select zone_id, action, round(fixed_cost + p * loss_if_flood + (1 - p) * loss_if_dry, 6) as loss from belief_cell cross join action_cost)""",
+    "belief_others": "select zone_id, string_agg(action, ',' order by rank) as alternatives, min(loss - best) as extra_loss from belief_ranked where rank between 2 and 3 group by zone_id",
+    "live": """select zone_id, n, round(exact_p, 9) as p, sqrt(variance) as sd, greatest(exact_p - 1.645 * sqrt(variance), 0.0::double) as lo, least(exact_p + 1.645 * sqrt(variance), 1.0::double) as hi, action, gate,
+      list_filter([case when n < 10 then 'few_observations' end, case when fraction is null then 'no_segmentation' end,
+        case when abs(exact_p - fraction) / sqrt(greatest(variance + se * se, 1e-6)) > 2 then 'sources_disagree' end, case when abs(r.mean_p - r.rate) > 0.1 then 'poorly_calibrated' end], lambda x: x is not null) as flags
+      from followed left join (select zone_id, fraction, se from seg_zone) using (zone_id) left join (select bin, mean_p, rate from reliability) r on r.bin = least(cast(floor(round(exact_p, 9) * 10) as int), 9)""",
     "people": "select arm, participant_id, avg(cast(ai_correct = accepted as int)) as mean from trial group by all",
     "arms": """select avg(mean) filter (arm = 'uncertainty') as ma, avg(mean) filter (arm = 'point') as mb, var_samp(mean) filter (arm = 'uncertainty') as va, var_samp(mean) filter (arm = 'point') as vb,
       count(*) filter (arm = 'uncertainty') as na, count(*) filter (arm = 'point') as nb from people""",
@@ -229,12 +247,24 @@ STATEMENTS: dict[str, str] = {
     "h6_stream_drift": f"""select cast(cast(outcome_ts as date) as varchar) as start, count(*) as n, {r4('avg(e)')} as brier, avg(e) > 1.5 * max(batch) as alarm from (
         select outcome_ts, (forecast_value / (forecast_value + 50.0) - cast(outcome_value >= 120 as int)) * (forecast_value / (forecast_value + 50.0) - cast(outcome_value >= 120 as int)) as e from followed_by)
       cross join (select avg((p - y) * (p - y)) as batch from scored) group by cast(outcome_ts as date)""",
+    "h5_outcome_ledger": """select forecast_id, coalesce(first.id, -1) as outcome_id, zone_id, case when first.id is null then 'missing' when first.ts <= ts + interval 1 hour then 'matched' else 'late' end as status from outcome_of""",
+    "h6_closed_loop": """select zone_id, case when gate <> 'abstain' then action end as action, gate, array_to_string(flags, ',') as limitations,
+      case when gate <> 'act' then 'gate is ' || gate when len(flags) >= 2 then 'several limitations' when action = 'evacuate' and lo < 0.5 then 'evacuation on an uncertain belief' else 'none' end as reason
+      from (select zone_id, action, lo, case when gate = 'act' and alarm then 'verify' else gate end as gate, case when alarm then list_append(flags, 'forecast_drift') else flags end as flags from live cross join alarmed)""",
+    "h7_live_record": f"""select zone_id, n, case when gate <> 'abstain' then action end as action, gate, {r4('p')} as p, {r4('p * coalesce(population, 0)')} as expected_affected, {r4('p - p_before')} as change, coalesce(reasons, '') as reasons,
+      {r4('sd')} as sd, {r4('lo')} as lo, {r4('hi')} as hi, case gate when 'act' then 'high' when 'verify' then 'medium' else 'low' end as label, alternatives, {r4('extra_loss')} as extra_loss, array_to_string(flags, ',') as limitations,
+      reason <> 'none' as needs_human, reason, district_name as district, {r4('population')} as population, assets
+      from (select *, case when gate <> 'act' then 'gate is ' || gate when len(flags) >= 2 then 'several limitations' when action = 'evacuate' and lo < 0.5 then 'evacuation on an uncertain belief' else 'none' end as reason from live)
+      left join context using (zone_id) left join belief_before using (zone_id) left join reasons using (zone_id) left join belief_others using (zone_id)""",
     "h7_publish_latest": "select gate, count(*) as zones, strftime(max(newest), '%Y-%m-%d %H:%M:%S.%f') as newest from followed group by gate",
     "h5_outcome_join": """select f.event_id as forecast_id, o.event_id as outcome_id, f.zone_id from observation f join observation o on f.zone_id = o.zone_id and f.sensor = 'view' and o.sensor = 'error'
       and o.ts > f.ts and o.ts <= f.ts + interval 1 hour""",
 }
 
 
+STATEMENTS["h3_belief_counts"] = STATEMENTS["h3_stream_belief"]
+
+
 def statement(name: str) -> str:
     """The statement with the expressions that it needs, in order."""
     needed, text = [], STATEMENTS[name]

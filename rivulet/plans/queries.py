@@ -14,7 +14,8 @@ from ..functions.numbers import out
 from ..operators import communication, decisions, gating, recommendation, reliability, uncertainty
 from ..sources.scratch import scratch
 from ..sources.tables import ACTIONS, CUT, Tables
-from ..streaming import follow
+from ..streaming import follow, ledger, loop
+from ..streaming.versions import Versions
 from .oracle import oracle_sql
 from .recommend import Plan, evaluate, recommend
 
@@ -130,10 +131,13 @@ def feed(spark: SparkSession, folder: str) -> str:
 
 
 def drained(stream: DataFrame) -> DataFrame:
-    """Runs the stream over what is there and returns the rows that it appended; none may have come too late."""
+    """Runs the stream over what is there and returns the rows that it appended; none may have come too late.
+
+    Each batch has a folder of its own, which a repeated batch writes anew.
+    """
     path = scratch(stream.sparkSession)
-    ended(stream.writeStream.outputMode("append").foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+    ended(stream.writeStream.outputMode("append").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/{i}")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")
 
 
 def ended(query: StreamingQuery) -> None:
@@ -199,14 +203,83 @@ def h5_status(spark: SparkSession, obs: DataFrame) -> DataFrame:
     return rows.select("forecast_id", F.coalesce("outcome_id", F.lit(-1)).cast("long").alias("outcome_id"), "zone_id", "status")
 
 
+def h5_ledger(spark: SparkSession, obs: DataFrame) -> DataFrame:
+    events = once(obs.where(F.col("sensor").isin("view", "error", HEARTBEAT)))
+    rows = drained(ledger.stream_outcome_ledger(ledger.both_sides(*(events.where(F.col("sensor").isin(s, HEARTBEAT)) for s in ("view", "error"))))).where("zone_id >= 0")
+    return rows.select("forecast_id", F.coalesce("outcome_id", F.lit(-1)).cast("long").alias("outcome_id"), "zone_id", "status")
+
+
+def batch_brier(plan: Plan) -> float:
+    """One number: the batch score that the stream is held against."""
+    return reliability.score_probabilities(plan.cell, plan.tables.outcome, plan.tables.zone).where("district = 'ALL'").first()["brier"]
+
+
+def drift_of(obs: DataFrame, batch: float) -> DataFrame:
+    return follow.stream_drift(follow.stream_outcome_join(*view_and_error(obs), delay=None), batch)
+
+
 def h6(spark: SparkSession, folder: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", follow.STATE_STORE)
-    plan = Plan(spark, folder)
-    # One row: the batch score that the stream is held against.
-    batch = reliability.score_probabilities(plan.cell, plan.tables.outcome, plan.tables.zone).where("district = 'ALL'").first()["brier"]
+    batch = batch_brier(Plan(spark, folder))
     obs = follow.read_observations(spark, feed(spark, folder), FILES)
-    joined = follow.stream_outcome_join(*view_and_error(obs), delay=None)
-    return presented(drained(follow.stream_drift(joined, batch)).withColumn("start", F.date_format("start", "yyyy-MM-dd")))
+    return presented(drained(drift_of(obs, batch)).withColumn("start", F.date_format("start", "yyyy-MM-dd")))
+
+
+def h3_counts(spark: SparkSession, obs: DataFrame) -> DataFrame:
+    """The beliefs of h3 from sums of two streaming aggregates."""
+    windows = drained(loop.stream_counts(once(obs))).where("zone_id >= 0")
+    found = loop.beliefs_of(loop.daily_counts(None, windows))
+    return found.select("zone_id", "n", out(F.col("p")).alias("p"), small(F.col("variance")).alias("variance"))
+
+
+def static_tables(plan: Plan, path: str) -> dict[str, Versions]:
+    """First versions of the tables that a live record is enriched by."""
+    t = plan.tables
+    tables = {
+        "context": recommendation.zone_context(t.zone, t.exposure, t.resource),
+        "segmentation": uncertainty.segmentation_fraction(t.tile, by_zone=True),
+        "reliability": plan.reliability,
+    }
+    found = {name: Versions(plan.tables.spark, f"{path}/static/{name}") for name in tables}
+    for name, rows in tables.items():
+        found[name].write(rows, 0)
+    return found
+
+
+def live(spark: SparkSession, folder: str, drift: bool) -> DataFrame:
+    """The zones' last records after the whole feed; drift: with the alarms of the drift query, run before."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", follow.STATE_STORE)
+    plan, path, source = Plan(spark, folder), scratch(spark), feed(spark, folder)
+    read = lambda: follow.read_observations(spark, source, FILES)
+    alarms = None
+    if drift:
+        alarms = Versions(spark, f"{path}/alarms")
+        ended(loop.watch_drift(drift_of(read(), batch_brier(plan)), alarms, f"{path}/drift-checkpoint"))
+    ended(loop.recommend_live(read(), plan.tables.action_cost, static_tables(plan, path), path, alarms, ALARM_WINDOWS))
+    return loop.latest_records(spark, path).where("zone_id >= 0")
+
+
+#: An alarm of the drift holds for so many windows.
+ALARM_WINDOWS = 7
+
+
+def h7_record(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole record of each zone, lists as text."""
+    r = live(spark, folder, drift=False)
+    of = lambda name: F.col(f"record.{name}")
+    listed = lambda name, field: F.array_join(F.transform(of(name), lambda x: x[field]), ",")
+    return presented(r.select(
+        "zone_id", "n", "action", "gate", of("situation.p").alias("p"), of("situation.expected_affected").alias("expected_affected"), of("situation.change").alias("change"),
+        F.coalesce(listed("rationale", "sensor"), F.lit("")).alias("reasons"), of("confidence.sd").alias("sd"), of("confidence.lo").alias("lo"), of("confidence.hi").alias("hi"), of("confidence.label").alias("label"),
+        listed("alternatives", "action").alias("alternatives"), F.element_at(of("alternatives"), 1)["extra_loss"].alias("extra_loss"), F.array_join(of("limitations"), ",").alias("limitations"),
+        of("verify.needs_human").alias("needs_human"), of("verify.reason").alias("reason"), of("context.district_name").alias("district"), of("context.population").alias("population"), of("context.assets").alias("assets"),
+    ))
+
+
+def h6_loop(spark: SparkSession, folder: str) -> DataFrame:
+    """Action, gate, flags and check of each zone with the drift's alarms fed back."""
+    r = live(spark, folder, drift=True)
+    return r.select("zone_id", "action", "gate", F.array_join("record.limitations", ",").alias("limitations"), F.col("record.verify.reason").alias("reason"))
 
 
 QUERIES |= {
@@ -215,10 +288,14 @@ QUERIES |= {
     "h2_sliding_windows": windows("sliding", "yyyy-MM-dd HH:mm:ss"),
     "h2_session_windows": windows("session", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
     "h3_stream_belief": streamed(h3),
+    "h3_belief_counts": streamed(h3_counts),
     "h4_stream_decide": streamed(lambda spark, obs: h4(spark, obs).drop("ts")),
     "h5_outcome_join": streamed(h5),
     "h5_outcome_status": streamed(h5_status),
+    "h5_outcome_ledger": streamed(h5_ledger),
     "h6_stream_drift": h6,
+    "h6_closed_loop": h6_loop,
+    "h7_live_record": h7_record,
     "h7_publish_latest": streamed(lambda spark, obs: h4(spark, obs).groupBy("gate").agg(F.count("*").alias("zones"), F.max(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("newest"))),
 }
 

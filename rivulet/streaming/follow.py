@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 
 from ..operators.decisions import decide_uncertainty_aware
 from ..operators.gating import gate_of
+from .versions import complete as published
+from .versions import remove
 
 OBSERVATION = "event_id long, ts timestamp, zone_id int, sensor string, value double"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -183,23 +185,6 @@ def publish_latest(folder: str) -> Callable[[DataFrame, int], None]:
     return merge_latest(folder, ["zone_id"], ["ts", "n"])
 
 
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    for p in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def published(spark: SparkSession, folder: str) -> list[int]:
-    """Ids of the batches whose table is complete."""
-    jvm, path = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    # A few folders, as older ones are removed.
-    done = [s.getPath() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(p.getName().split("=")[1]) for p in done)
-
-
 def latest(spark: SparkSession, folder: str) -> DataFrame:
     """The newest row of each zone."""
     return spark.read.parquet(f"{folder}/batch={max(published(spark, folder))}")

@@ -5,9 +5,10 @@ up to RUN consecutive ones; a blank line ends a run. Words
 are weighted by their document frequency over all files, counted in a first scan: word by
 word for those of the templates, by CELLS hashed cells for all others (a word that shares its cell
 counts as more frequent, never as rarer). A header matches the template of the highest cosine of at least
-`threshold` whose deciding word it holds (of equal ones the first in the list). Of the GNU, Creative Commons and BSD
-licences it's the one, and the version, that the header or what follows it names
-("GPL" without a version). A line with an SPDX identifier names its licence itself. The whole file is compared to full licence texts,
+`threshold` of whose deciding phrases it holds one (of equal ones the first in the list). Of the GNU, Creative Commons, BSD,
+Mozilla, Eclipse and Apache licences it's the one, and the version, that the header or what follows it names
+("GPL" without a version). A header that says that something isn't licensed so doesn't count. A line with an SPDX
+identifier, or an expression of several with AND, OR, WITH and parentheses, names its licence itself. The whole file is compared to full licence texts,
 too, and matches from FULL_TEXT on. The file's own licence is the full text that it
 matches, or else its best header. A file with a licence is a licence file if its
 name says so (LICENSE, LICENCE, COPYING) or if it matches a full text;
@@ -77,22 +78,20 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-# What a header must hold to be of a licence.
+# Phrases of which a header must hold one to be of a licence; =x is x as whole words.
 DECIDING = {
-    "MIT": r"\bmit\b|permission is hereby granted", "Apache-2.0": r"\bapache\b", "GPL-2.0": r"general public", "GPL-3.0": r"general public", "LGPL-2.1": r"(lesser|library) general public",
-    "AGPL-3.0": r"affero general public", "BSD-3-Clause": r"\bbsd\b|redistribution and use", "ISC": r"\bisc\b|permission to use, copy", "MPL-2.0": r"\bmozilla\b|\bmpl\b", "EPL-2.0": r"\beclipse\b|\bepl\b",
-    "CC-BY-4.0": r"\bcc[ -]by\b|creative commons attribution", "CC-BY-SA-4.0": r"\bcc[ -]by\b|creative commons attribution", "CC-BY-NC-4.0": r"\bcc[ -]by\b|creative commons attribution",
-    "CC0-1.0": r"\bcc0\b|waived all copyright", "Proprietary": r"all rights reserved", "Unlicense": r"public domain",
+    "MIT": ("=mit", "permission is hereby granted"), "Apache-2.0": ("=apache",), "GPL-2.0": ("general public",), "GPL-3.0": ("general public",),
+    "LGPL-2.1": ("lesser general public", "library general public"), "AGPL-3.0": ("affero general public",), "BSD-3-Clause": ("=bsd", "redistribution and use"), "ISC": ("=isc", "permission to use, copy"),
+    "MPL-2.0": ("=mozilla", "=mpl"), "EPL-2.0": ("=eclipse", "=epl"), "CC-BY-4.0": ("=cc by", "=cc-by", "creative commons attribution"), "CC-BY-SA-4.0": ("=cc by", "=cc-by", "creative commons attribution"),
+    "CC-BY-NC-4.0": ("=cc by", "=cc-by", "creative commons attribution"), "CC0-1.0": ("=cc0", "waived all copyright"), "Proprietary": ("all rights reserved",), "Unlicense": ("public domain",),
 }
-#: Each deciding expression needs all words of one of these: without them no header can match.
-NEEDED = [
-    set(x.split()) for x in (
-        "mit", "permission hereby granted", "apache", "general public", "bsd", "redistribution and use", "isc", "permission to use copy", "mozilla", "mpl", "eclipse", "epl",
-        "cc by", "creative commons attribution", "cc0", "waived all copyright", "all rights reserved", "public domain", "spdx",
-    )
-]
+SPDX_MARK = "spdx-license-identifier:"
+#: A text without any of these can match no header: they are all the deciding phrases, and the mark of an identifier.
+PHRASES = sorted({p.lstrip("=") for phrases in DECIDING.values() for p in phrases} | {SPDX_MARK})
+DENIED = re.compile(r"\b(?:not|never|no longer|isn't|aren't|wasn't)\s+(?:be\s+|being\s+)?(?:licensed|released|distributed|covered|available|governed)\b")
 SPDX_NAMES = ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "MPL-2.0", "0BSD", "Zlib")
-SPDX = re.compile(r"spdx-license-identifier:\s*([a-z0-9][a-z0-9.+-]*)")
+SPDX = re.compile(re.escape(SPDX_MARK) + r"\s*(.*)")
+SPDX_PART = re.compile(r"\s*([()]|[a-z0-9][a-z0-9.+-]*)")
 #: Full texts, a file for each licence; read on the driver only.
 TEXTS = Path(__file__).resolve().parent / "license_texts"
 RUN, BLOCK, FULL_TEXT, CELLS = 12, 2048, 0.9, 1 << 18
@@ -115,7 +114,8 @@ class Templates:
         own = sorted({w for ws in words for w in ws})
         more = sorted({w for ws in texts.values() for w in ws} - set(own))
         self.vocabulary, self.own = {w: i for i, w in enumerate(own + more)}, len(own)
-        self.deciding = [re.compile(DECIDING[name]) for name in self.names]
+        as_pattern = lambda p: rf"\b{re.escape(p[1:])}\b" if p[0] == "=" else re.escape(p)
+        self.deciding = [re.compile("|".join(map(as_pattern, DECIDING[name]))) for name in self.names]
         self.identifiers = {x.lower(): x for x in [*self.names, *self.text_names, *SPDX_NAMES]}
         self.counts, self.text_counts = self.matrix(words)[:, : self.own], self.matrix(list(texts.values()))
 
@@ -172,17 +172,21 @@ class Matcher:
         full = self.cosines(flat, self.texts)
         if full.max() >= FULL_TEXT:
             return full_text_named(self.t.text_names[int(full.argmax())], lines), float(full.max()), 1.0, True
-        present = set(flat)
-        if not any(need <= present for need in NEEDED):
+        # A header is a part of this, so a phrase that isn't in it is in no header.
+        whole = " ".join(line for line, _ in lines)
+        if not any(p in whole for p in PHRASES):
             return None, 0.0, 0.0, False
         best, best_score, matched = None, 0.0, set()
         for i, (line, _) in enumerate(lines):
-            if "spdx" in line and (found := SPDX.search(line)):
-                best, best_score = best or self.t.identifiers.get(found[1], found[1]), 1.0
+            if SPDX_MARK in line and (found := self.expression(SPDX.search(line)[1])):
+                best, best_score = best or found, 1.0
                 matched.add(i)
         for start, k in self.candidates(words, [ends for _, ends in lines]):
             cosines = self.cosines([w for ws in words[start : start + k] for w in ws], self.rows)
             header = " ".join(line for line, _ in lines[start : start + k])
+            before = lines[start - 1][0] + " " if start and not lines[start - 1][1] else ""
+            if any(m.end() > len(before) for m in DENIED.finditer(before + header)):
+                continue
             for top in np.argsort(-cosines, kind="stable").tolist():
                 if cosines[top] < self.threshold:
                     break
@@ -194,6 +198,31 @@ class Matcher:
                     break
         return best, best_score, sum(len(words[i]) for i in matched) / total, False
 
+    def expression(self, text: str) -> str | None:
+        """A licence expression at the start of the text: identifiers joined by AND, OR and WITH, with parentheses; None if there is none."""
+        parts, depth, at, operand = [], 0, 0, True
+        good = 0, 0  # parts and place up to which the expression is whole
+        while found := SPDX_PART.match(text, at):
+            token = found[1]
+            if token == "(" and operand:
+                depth += 1
+            elif token == ")" and not operand and depth:
+                depth -= 1
+            elif token in ("and", "or", "with") and not operand:
+                operand = True
+            elif operand and token not in ("(", ")", "and", "or", "with"):
+                operand = False
+            else:
+                break
+            parts.append(token.upper() if token in ("and", "or", "with") else self.t.identifiers.get(token.rstrip("."), token.rstrip(".")))
+            at = found.end()
+            if not operand and not depth:
+                good = len(parts), at
+        parts = parts[: good[0]]
+        if len(parts) > 2 and parts[0] == "(" and parts[-1] == ")" and "(" not in parts[1:-1]:
+            parts = parts[1:-1]
+        return " ".join(parts).replace("( ", "(").replace(" )", ")") or None
+
     def candidates(self, words: list[list[str]], ends: list[bool]) -> Iterator[tuple[int, int]]:
         """(first line, number of lines) of the runs that may reach the threshold, by a bound.
 
@@ -246,6 +275,10 @@ def named(template: str, header: str, after: list[str]) -> str:
         parts = [part for part, pattern in (("NC", r"\bnc\b|noncommercial"), ("ND", r"\bnd\b|noderiv"), ("SA", r"\bsa\b|sharealike")) if re.search(pattern, header)]
         version = re.search(r"\b([1-4]\.\d)\b", header)
         return "-".join(["CC-BY", *parts, *([version[1]] if version else [])])
+    if template.startswith(("MPL", "EPL", "Apache")):
+        family = template.partition("-")[0]
+        version = re.search(r"(?:\bv(?:ersion)?[ .]*|-v?|license,? )([12]\.[01])\b", header) or re.search(r"\bv(?:ersion)?[ .]*([12]\.[01])\b", " ".join(after[:2]))
+        return f"{family}-{version[1]}" if version else family
     if not template.startswith(("GPL", "LGPL", "AGPL")):
         return template
     family = "LGPL" if re.search(r"\b(lesser|library) general", header) else "AGPL" if "affero" in header else "GPL"

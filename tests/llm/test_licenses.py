@@ -80,6 +80,12 @@ HEADERS = {
     "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 License.": "CC-BY-NC-SA-3.0",
     GPL3.replace("program is free software:", "program is free software;").replace("version 3", "version 2"): "GPL-2.0",
     "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later", "x = 1 /* SPDX-License-Identifier: mit */": "MIT",
+    "the author has waived all copyrights and related rights to this work.": "CC0-1.0", "Redistribution and uses in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "BSD",
+    "This work is licensed under a Creative Commons Attributions 4.0 International License.": "CC-BY-4.0", "Licensed under the GNU General Publics License, version 3.": "GPL-3.0",
+    "Licensed under the Mozilla Public License, Version 1.1.": "MPL-1.1", "Licensed under the Mozilla Public License.": "MPL",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0", "# SPDX-License-Identifier: (MIT OR Apache-2.0)": "MIT OR Apache-2.0", "SPDX-License-Identifier: MIT AND (ISC or BSD-2-Clause) */": "MIT AND (ISC OR BSD-2-Clause)",
+    "SPDX-License-Identifier: GPL-2.0-only WITH classpath-exception-2.0.": "GPL-2.0-only WITH classpath-exception-2.0", "SPDX-License-Identifier: (MIT": None, "SPDX-License-Identifier:": None,
+    "This file is not licensed under the MIT License.": None, "This code is no longer\nreleased under the MIT License.": None, "You may not copy it.\n\nReleased under the MIT License.": "MIT",
     "The licence of a driver is released under conditions.": None, "A public general assembly met under the terms of the foundation.": None,
 }
 
@@ -91,6 +97,54 @@ def test_families_are_told_apart():
     assert m.match(f"{long} Licensed under the ISC License. {long}")[0] == "ISC"  # whatever the line's length
 
 
+def plainly(m, text):
+    """The best header by trying every run of lines, without bounds or phrases to look for first."""
+    from rivulet.llm import licenses as li
+
+    lines = list(li.headers(text))
+    best, best_score = None, 0.0
+    for line, _ in lines:
+        found = m.expression(li.SPDX.search(line)[1]) if li.SPDX_MARK in line else None
+        best, best_score = (best or found, 1.0) if found else (best, best_score)
+    for start in range(len(lines)):
+        for k in range(1, li.RUN + 1):
+            run = lines[start : start + k]
+            if len(run) < k or any(end for _, end in run[:-1]):
+                break
+            header = " ".join(line for line, _ in run)
+            before = lines[start - 1][0] + " " if start and not lines[start - 1][1] else ""
+            if any(x.end() > len(before) for x in li.DENIED.finditer(before + header)):
+                continue
+            cosines = m.cosines(li.WORD.findall(header), m.rows)
+            fit = [(-c, i) for i, c in enumerate(cosines) if c >= m.threshold and m.t.deciding[i].search(header)]
+            if fit and -min(fit)[0] > best_score + 1e-9:
+                c, i = min(fit)
+                best, best_score = li.named(m.t.names[i], header, [line for line, _ in lines[start + k : start + k + 25]]), -c
+    return best, best_score
+
+
+def changed(text):
+    """The text with other endings of words, other breaks of lines, and words around it."""
+    words = text.split()
+    yield text
+    for i in range(0, len(words), 3):
+        yield " ".join([*words[:i], words[i].rstrip(".") + "s", *words[i + 1 :]])
+        yield "some words before\n" + " ".join(words[:i]) + "\n * " + " ".join(words[i:])
+
+
+def test_scan_equals_brute_force():
+    """Every template with changed endings and breaks: the scan finds what a plain search of all runs finds."""
+    m = Matcher(np.zeros(len(Templates().vocabulary)), 100, 0.7)
+    found = 0
+    for _, template in TEMPLATES:
+        for text in changed(template):
+            license, score, _ = m.match(text)
+            want, want_score = plainly(m, text)
+            assert abs(score - want_score) < 1e-6 and (license == want or want_score and abs(want_score - score) < 1e-6 and license is not None), text
+            found += license is not None
+    assert found > 300
+
+
 def test_cosines_equal_brute_force():
     """Sparse cosines against dense vectors of all words, weighted by document frequency."""
     t = Templates()

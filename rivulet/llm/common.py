@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import StructField, StructType
 
 #: Words of a text are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,7 +70,19 @@ def arrow_map(rows: DataFrame, run, schema) -> DataFrame:
         now = conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-    return rows.mapInArrow(run, schema)
+    names = rows.columns
+    if not any(c in name for name in names for c in ".`"):
+        return rows.mapInArrow(run, schema)
+    # Spark looks input columns up by their bare names, so odd names are put aside on the way.
+    made = schema.fieldNames() if isinstance(schema, StructType) else None
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(x.rename_columns(names) for x in batches):
+            yield b.rename_columns([f"c{i}" for i in range(len(made))]) if made else b
+
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)]) if made else schema
+    out = rows.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(renamed, plain)
+    return out.toDF(*made) if made else out
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -93,17 +105,31 @@ def is_training_row(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2
 
 
+def unused(name: str, frame: DataFrame) -> str:
+    """The name, made longer until no column of the frame has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(frame: DataFrame, columns: list[str] | None = None) -> list[F.Column]:
+    """Columns by their whole names, whatever signs are in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns or frame.columns]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_bytes: int = 64 << 20) -> DataFrame:
     """At most `rows` labelled training documents (doc_id, text, lang if there, _label), and `max_bytes` of texts.
 
-    Ids are picked by a hash. An id that several rows hold counts once, with the text of
+    Ids that have a document are picked by a hash. An id that several rows hold counts once, with the text of
     the least hash. The sample of ids is bounded by `rows`, so it's broadcast to the scan of the texts;
-    the texts of the least hashes that together stay within `max_bytes` are the sample.
+    in the order of the hashes each text that still fits into `max_bytes` is taken, and one that doesn't is passed over.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & is_training_row())
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("_label"))
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
@@ -112,7 +138,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     picked = docs.select("doc_id", text.alias("text"), lang.alias("lang")).join(F.broadcast(ids), "doc_id")
     picked = picked.groupBy("doc_id", "_label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("t"))
     picked = materialize(picked.select("doc_id", "_label", "t.text", "t.lang"), "sample")
-    # One task, but of `rows` numbers at most.
-    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    within = picked.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= max_bytes).select("doc_id")
+    # `rows` numbers at most.
+    taken, total = [], 0
+    for r in picked.select("doc_id", F.octet_length("text").alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if total + r.bytes <= max_bytes:
+            total += r.bytes
+            taken.append((r.doc_id,))
+    within = docs.sparkSession.createDataFrame(taken, picked.select("doc_id").schema)
     return picked.join(F.broadcast(within), "doc_id")

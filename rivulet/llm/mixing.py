@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, arrow_map, materialize, slices
+from .common import WORD, arrow_map, materialize, quoted, slices, unused
 
 #: Up to so many sources, the table of sources (a few numbers each) is broadcast.
 BROADCAST_SOURCES = 50_000
@@ -198,14 +198,13 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     parts that don't are joined by a line feed. n_chars, if there, is made anew. Rows
     are numbered and written once, as each of several copies takes words of its own.
     """
-    longer = "_" * max(map(len, docs.columns))  # than any name in docs
-    row, spans_name = "row" + longer, "spans" + longer
+    row, spans_name = unused("row", docs), unused("spans", docs)
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-docs")
     parts = Mix(numbered, row=row, **settings).document_blocks().where("times > 0")
     spans = parts.groupBy(F.col("__row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words", "times"))).alias(spans_name))
     joined = numbered.join(spans, row)
     names, schema = docs.columns, docs.schema
-    cols = [F.col(c) for c in names]
+    cols = quoted(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(WORD)

@@ -132,3 +132,27 @@ def test_windows_stay_in_their_text():
     texts = ["aa bb cc", "", "dd", "bb aa", "cc cc cc cc", ""]
     together = Scorer(net).scores(texts)
     assert np.allclose(together, [Scorer(net).scores([t])[0] for t in texts])
+
+
+def test_sample_passes_over_texts_that_do_not_fit(spark):
+    """One huge text first in the order of the hashes costs no other label."""
+    from pyspark.sql import functions as F
+
+    from rivulet.llm.common import is_training_row, labelled_sample
+
+    ids = [r.doc_id for r in spark.range(400).select(F.col("id").alias("doc_id")).where(is_training_row()).orderBy(F.xxhash64("doc_id")).limit(50).collect()]
+    docs = spark.createDataFrame([(i, "x" * (5000 if k in (0, 7) else 10)) for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    got = sorted(r.doc_id for r in labelled_sample(docs, labels, "quality", 1000, max_bytes=600).collect())
+    assert got == sorted(i for k, i in enumerate(ids) if k not in (0, 7))
+    # Those that come first by hash are taken while they fit.
+    assert sorted(r.doc_id for r in labelled_sample(docs, labels, "quality", 1000, max_bytes=5010).collect()) == sorted([ids[0], ids[1]])
+
+
+def test_labels_of_absent_documents_take_no_place(spark):
+    from rivulet.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id as doc_id", "1 as quality")
+    assert labelled_sample(docs, labels, "quality", 10).count() == 10
+    assert labelled_sample(docs, labels, "quality", 1000).count() == labelled_sample(docs, docs.selectExpr("doc_id", "1 as quality"), "quality", 1000).count() > 20

@@ -157,3 +157,18 @@ def test_packing_stage(steps):
 def test_run_and_empty_tables(spark, tables, steps):
     assert rows_of(corpus_pipeline.run(spark, tables[0]).drop("sequence_id", "offset")) == rows_of(steps["packing"][1].drop("sequence_id", "offset"))
     assert corpus_pipeline.run(spark, tables[1]).count() == 0
+
+
+def test_stages_take_any_names_of_columns(spark):
+    """Columns named like those that the operators use, with dots, and in other cases."""
+    from rivulet.llm.mixing import mixed_documents
+    from rivulet.llm.near_dedup import deduplicated
+
+    odd = "`a.b` string, `__id` long, `__row` string, `ID` int, `row` int, `spans` string, `row_` int, `x``y` int"
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words), "s"), (2, " ".join(words), "s"), (3, "other words of its own here", "t"), (3, "second version of the same id", "t"), (4, None, None)]
+    docs = spark.createDataFrame([(*r, "p", 7, "q", 8, 9, "z", 1, 2) for r in rows], "doc_id long, text string, source string, " + odd)
+    kept = deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    mixed = mixed_documents(docs.withColumnRenamed("ID", "Id2"), block_words=2)
+    assert len(mixed.columns) == len(docs.columns) and {r["a.b"] for r in mixed.collect()} == {"p"} and {r["x`y"] for r in mixed.collect()} == {2}

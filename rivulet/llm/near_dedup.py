@@ -13,16 +13,16 @@ Steps, each a Spark job over all documents:
 2. documents with equal sets are one class; only its smallest id goes on;
 3. every band of MinHash samples is a bucket; each member is paired with the
    bucket's hub (a star, so a bucket of m gives m - 1 pairs);
-4. the pairs are confirmed on full sets, made again from the texts of the documents concerned;
+4. of the pairs of small buckets those whose odd sketches, or sizes, differ far too much go; the
+   others are confirmed on full sets, made again from the texts of the documents concerned;
 5. links become components by star contraction;
 6. members of the hub's component that can't be linked to any other member of the
    bucket, by what both share with the hub, leave it; buckets whose members still
    are in several components get another round of stars with other hubs;
 7. what remains gives the pairs across components: small buckets all of them; the
    members of large ones those that share a rare shingle, by a prefix filter which loses
-   no linked pair, so that texts which only share a passage part ways; of these, pairs whose
-   odd sketches differ far too much, or whose sizes do, go, full sets decide on the rest, and
-   the new links join the components.
+   no linked pair, so that texts which only share a passage part ways; these pass the same
+   screen, full sets decide, and the new links join the components.
 
 The odd sketch of a document sets the parity of 512 bits by its MinHash samples;
 the number of differing bits of two sketches estimates how many samples differ.
@@ -48,14 +48,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, materialize, slices
+from .common import arrow_map, discard, materialize, quoted, slices, unused
 
 SAMPLES, BANDS, BAND_ROWS, SKETCH_WORDS = 128, 48, 6, 8
 #: Buckets up to this size give all pairs across components. The members of larger ones go through a prefix filter, whose
 #: order of shingles comes from counts in so many cells.
 SMALL_BUCKET, RARITY_CELLS = 16, 1 << 18
-#: Rounds of stars, each with other hubs. All their pairs are compared on full sets, as what a text shares with the hub
-#: tells which other texts it can't be linked with.
+#: The star pairs of buckets up to this size are screened by odd sketches before full sets.
+SCREENED_BUCKET = 4
+#: Rounds of stars, each with other hubs. What a text shares with the hub tells which other texts it can't be linked with.
 ROUNDS = 2
 CACHE_ROWS = 100_000
 #: Up to so many ids, those whose sets are wanted are broadcast to the scan of the texts; more are joined by a shuffle.
@@ -204,8 +205,8 @@ def with_hubs(members: DataFrame, turn: int) -> DataFrame:
     the same in all buckets, a document meets few different hubs.
     """
     order = F.struct("component", "id") if turn else F.struct("id")
-    hubs = members.groupBy("key").agg(F.min(order).alias("h"), F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b")
-    return members.select("key", "id", "band").join(hubs.select("key", F.col("h.id").alias("hub")), "key")
+    hubs = members.groupBy("key").agg(F.min(order).alias("h"), F.min("id").alias("_a"), F.max("id").alias("_b"), F.count("*").alias("size")).where("_a < _b")
+    return members.select("key", "id", "band").join(hubs.select("key", "size", F.col("h.id").alias("hub")), "key")
 
 
 def screened(pairs: DataFrame, nodes: DataFrame, percent: int, screen: float) -> DataFrame:
@@ -242,6 +243,19 @@ def compared(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     return found
 
 
+def star_pairs(buckets: DataFrame, nodes: DataFrame, percent: int, screen: float) -> DataFrame:
+    """The pairs (a, b) of hubs and members that full sets have to confirm, each once.
+
+    Those of buckets of up to SCREENED_BUCKET members pass the screen first: what it drops leaves a few
+    pairs, all of which `across` gives later. In a larger bucket full sets tell what each member
+    shares with the hub, by which most of its pairs are settled.
+    """
+    pairs = buckets.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.max("size").alias("size"))
+    pairs = materialize(pairs, "star-pairs")
+    large = pairs.where(F.col("size") > SCREENED_BUCKET).select("a", "b")
+    return large.union(screened(pairs.where(F.col("size") <= SCREENED_BUCKET).select("a", "b"), nodes, percent, screen))
+
+
 def linked(pairs: DataFrame) -> DataFrame:
     return pairs.where("linked").select("a", "b").distinct()
 
@@ -251,7 +265,7 @@ def unproven(members: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
 
     A member m of the hub's component shares with an outsider o at most what o shares
     with the hub and what m has beyond the hub. Where that is too little for a link with
-    any outsider of the bucket, m leaves it.
+    any outsider of the bucket, m leaves it. Of a pair that wasn't compared nothing is known.
     """
     t = percent / (100 + percent)
     versions = stars.groupBy(F.col("a").alias("hub"), F.col("b").alias("id")).agg(
@@ -368,6 +382,7 @@ def across(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, screen: float | None = None, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id is the component's least id) of each row of docs; exact: by no chance of the bands."""
     screen = percent / 100 - 0.2 if screen is None else screen
+    screen = 0.0 if exact else screen
     table = materialize(signatures(docs, shingle_words), "signatures")
     filled = table.where("doc_id is not null and n_shingles > 0")
     keys = ["h1", "h2", "n_shingles"]
@@ -383,7 +398,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     members = nodes.select("id", F.posexplode(band_keys()).alias("band", "key"))
     for turn in range(ROUNDS):
         buckets = materialize(with_hubs(members, turn), "buckets")
-        stars = compare(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+        stars = compare(star_pairs(buckets, nodes, percent, screen))
         links = materialize(links.union(linked(stars)).distinct(), "links")
         found = components(links)
         members = unproven(buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), stars, percent)
@@ -394,7 +409,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         more = prefix_pairs(rest, docs, shingle_words, percent)
     else:
         more = across(members, docs, shingle_words, percent)
-    more = materialize(linked(compare(screened(more, nodes, percent, 0 if exact else screen))), "links")
+    more = materialize(linked(compare(screened(more, nodes, percent, screen))), "links")
     if not more.isEmpty():
         found = components(links.union(more))
     of_class = classes.join(found, "id", "left").select(*keys, F.coalesce("component", "id").alias("component_id"))
@@ -411,18 +426,18 @@ def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
     rows without an id all stay.
     """
     found = materialize(near_duplicates(docs, shingle_words, percent), "decisions").where("doc_id is not null and n_shingles > 0")
-    ids = lambda rows: rows.select(F.col("doc_id").alias("__id")).distinct()
+    key, whole = unused("id", docs), unused("row", docs)
+    ids = lambda rows: rows.select(F.col("doc_id").alias(key)).distinct()
     dropped, repeated = ids(found.where("not kept")), ids(found.groupBy("doc_id").count().where("count > 1"))
 
     def joined(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
-        return rows.join(keys, F.col("doc_id").cast("long") == F.col("__id"), how)
+        return rows.join(keys, F.col("doc_id").cast("long") == F.col(key), how)
 
     kept = joined(docs, dropped, "left_anti")
     if repeated.isEmpty():
         return kept
     # An aggregate, as one id may be that of many rows.
-    quoted = [F.col(f"`{c}`") for c in docs.columns]
-    order = F.struct(F.xxhash64("text"), F.col("text"), F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind)))
-    ones = joined(kept, repeated, "left_semi").where(F.col("text").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*quoted), order).alias("__row")).select("__row.*")
+    order = F.struct(F.xxhash64("text"), F.col("text"), F.xxhash64(*quoted(docs, [c for c, kind in docs.dtypes if "map<" not in kind])))
+    ones = joined(kept, repeated, "left_semi").where(F.col("text").isNotNull()).groupBy(F.col("doc_id").alias(key)).agg(F.min_by(F.struct(*quoted(docs)), order).alias(whole)).select(f"{whole}.*")
     return joined(kept, repeated, "left_anti").unionByName(ones)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,3 +113,57 @@ def recalibrate(summary: DataFrame, outcome: DataFrame, cut: str, method: str =
     points = with_outcome(early, outcome).groupBy("p").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("weight"))
     model = IsotonicRegression(labelCol="y", predictionCol="recalibrated", weightCol="weight").fit(as_vector.transform(points))
     return model.transform(as_vector.transform(late.select(*CELL, "p"))).select(*CELL, "p", "recalibrated")
+
+
+#: Places of p that isotonic blocks tell apart: 10,001 values.
+STEPS = 10_000
+
+
+def merged_blocks(blocks: Iterator[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """(start, sum of y, weight) of the blocks of pool-adjacent-violators, of points or blocks in order.
+
+    A block that doesn't lie above the one before joins it, so the blocks of a part can
+    be merged with those of the next as points are.
+    """
+    stack: list[tuple[float, float, float]] = []
+    for start, total, weight in blocks:
+        while stack and stack[-1][1] * weight >= total * stack[-1][2]:
+            first, t, w = stack.pop()
+            start, total, weight = first, t + total, w + weight
+        stack.append((start, total, weight))
+    return stack
+
+
+def isotonic_blocks(points: DataFrame) -> DataFrame:
+    """s (first of the block), total, weight of the blocks of an isotonic fit; points: s, total, weight, each s once.
+
+    Parts of the range of s are pooled by themselves, then their blocks together: what meets in the last
+    task are blocks, 10,001 at most.
+    """
+
+    def pooled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for part in parts for row in zip(part["s"].tolist(), part["total"].tolist(), part["weight"].tolist(), strict=True))
+        yield pd.DataFrame(merged_blocks(rows), columns=["s", "total", "weight"]).astype({"s": "int32", "total": "float64", "weight": "float64"})
+
+    kind = "s int, total double, weight double"
+    parts = points.select("s", F.col("total").cast("double"), F.col("weight").cast("double")).repartitionByRange("s").sortWithinPartitions("s").mapInPandas(pooled, kind)
+    return parts.coalesce(1).sortWithinPartitions("s").mapInPandas(pooled, kind)
+
+
+def recalibrate_isotonic(summary: DataFrame, outcome: DataFrame, cut: str) -> DataFrame:
+    """Cells from the cut on with p replaced by an isotonic fit of what cells before it showed, p at four places.
+
+    Between the values of the fit its next lower one holds, below the least the least; without any early cell p stays.
+    The fit is a table of 10,001 rows at most, which is broadcast.
+    """
+    day = F.lit(cut).cast("date")
+    step = F.round(F.round(F.col("p") + 1e-9, 4) * STEPS).cast("int").alias("s")
+    early = with_outcome(summary, outcome).where(F.col("valid_date") < day)
+    blocks = isotonic_blocks(early.groupBy(step).agg(F.sum("y").alias("total"), F.count("*").alias("weight")))
+    by_s = Window.orderBy("s")
+    spans = blocks.select(
+        F.when(F.row_number().over(by_s) == 1, 0).otherwise(F.col("s")).alias("lo"), F.coalesce(F.lead("s").over(by_s) - 1, F.lit(STEPS)).alias("hi"), F.round(F.col("total") / F.col("weight"), 9).alias("fit")
+    )
+    table = spans.select(F.explode(F.sequence("lo", "hi")).alias("s"), "fit")
+    late = summary.where(F.col("valid_date") >= day).select(*CELL, "p", step)
+    return late.join(F.broadcast(table), "s", "left").select(*CELL, "p", F.coalesce("fit", "p").alias("recalibrated"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.numbers import entropy, exact, poisson_one, uniform
 
 CELL = ["zone_id", "valid_date"]
+PREDICTORS = ["lag_mean", "lag_max", "week_mean"]
 DAY = "1970-01-01"
 
 
@@ -39,10 +41,7 @@ def bagged_forecast(features: DataFrame, outcome: DataFrame, members: int = 5, c
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    cells = features.where("lag_value is not null and week_mean is not null").groupBy(CELL).agg(
-        F.avg("lag_value").alias("lag_mean"), F.max("lag_value").alias("lag_max"), F.avg("week_mean").alias("week_mean"), F.count("*").alias("n_obs")
-    )
-    cells = VectorAssembler(inputCols=["lag_mean", "lag_max", "week_mean"], outputCol="features").transform(cells)
+    cells = VectorAssembler(inputCols=PREDICTORS, outputCol="features").transform(predictors(features))
     cut_date = F.lit(cut).cast("date")
     early = cells.where(F.col("valid_date") < cut_date).join(outcome.select(*CELL, F.col("flooded").cast("double").alias("label")), CELL).persist()
     late = cells.where(F.col("valid_date") >= cut_date)
@@ -56,6 +55,56 @@ def bagged_forecast(features: DataFrame, outcome: DataFrame, members: int = 5, c
     return reduce(DataFrame.unionByName, scored)
 
 
+def predictors(features: DataFrame) -> DataFrame:
+    """A row for each cell with PREDICTORS, from the sensors whose day before and week before are known."""
+    known = features.where("lag_value is not null and week_mean is not null")
+    return known.groupBy(CELL).agg(F.avg("lag_value").alias("lag_mean"), F.max("lag_value").alias("lag_max"), F.avg("week_mean").alias("week_mean"), F.count("*").alias("n_obs"))
+
+
+def bagged_newton(features: DataFrame, outcome: DataFrame, members: int = 5, cut: str = "2024-01-16", steps: int = 5, ridge: float = 0.01) -> DataFrame:
+    """bagged_forecast with all members fitted at once: each Newton step is one aggregate, whatever their number.
+
+    Cells before `cut` are weighted as in bagged_forecast, their predictors put to mean 0 and
+    deviation 1 over them. A step sums every member's gradient and Hessian (14 numbers) over the
+    cells; the sums of few rows, one a member, are solved on the driver. The penalty is
+    `ridge` times the member's weight, on all coefficients but the constant. A member without any
+    weight, and all without early cells, gives p = 0.5.
+    """
+    day = F.lit(cut).cast("date")
+    cells = predictors(features)
+    early = cells.where(F.col("valid_date") < day).join(outcome.select(*CELL, F.col("flooded").cast("double").alias("y")), CELL)
+    scale = early.agg(*(f(c).alias(f"{name}_{c}") for c in PREDICTORS for name, f in (("mean", F.avg), ("sd", F.stddev_pop)))).first().asDict()
+    # A predictor that doesn't vary says nothing.
+    level = [F.lit(1.0)] + [(F.col(c) - F.lit(round(scale[f"mean_{c}"] or 0.0, 9))) / F.lit(round(scale[f"sd_{c}"] or 0.0, 9) or 1.0) for c in PREDICTORS]
+    n = len(level)
+    named = [x.alias(f"x{i}") for i, x in enumerate(level)]
+    beta = np.zeros((members, n))
+
+    def margin() -> Column:
+        return sum((F.element_at(F.array(*(F.lit(float(b)) for b in beta[:, i])), F.col("m") + 1) * F.col(f"x{i}") for i in range(n)), F.lit(0.0))
+
+    drawn = early.select(*CELL, "y", *named, F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("m"))
+    drawn = drawn.withColumn("w", poisson_one(uniform("m", "zone_id", "valid_date")).cast("double")).where("w > 0").drop(*CELL).persist()
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    try:
+        for _ in range(steps):
+            p = 1 / (1 + F.exp(-margin()))
+            rows = drawn.withColumn("r", F.col("w") * (F.col("y") - p)).withColumn("h", F.col("w") * p * (1 - p))
+            gradient = [F.sum(F.col("r") * F.col(f"x{i}")).alias(f"g{i}") for i in range(n)]
+            hessian = [F.sum(F.col("h") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}{j}") for i, j in pairs]
+            for row in rows.groupBy("m").agg(F.sum("w").alias("w"), *gradient, *hessian).collect():
+                penalty = np.array([0.0] + [ridge * row["w"]] * (n - 1))
+                h = np.zeros((n, n))
+                for i, j in pairs:
+                    h[i, j] = h[j, i] = row[f"h{i}{j}"]
+                g = np.array([row[f"g{i}"] for i in range(n)]) - penalty * beta[row["m"]]
+                beta[row["m"]] += np.linalg.solve(h + np.diag(penalty + 1e-9), g)
+    finally:
+        drawn.unpersist()
+    late = cells.where(F.col("valid_date") >= day).select(*CELL, "n_obs", *named, F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("m"))
+    return late.select(*CELL, F.concat(F.lit("bag"), F.col("m")).alias("member"), F.round(1 / (1 + F.exp(-margin())), 6).alias("prob"), "n_obs")
+
+
 def ensemble_summary(members: DataFrame) -> DataFrame:
     """Mean p, sample standard deviation (0 if one member), number, least and largest of each cell's members, and their observations."""
     return members.groupBy(CELL).agg(

@@ -36,6 +36,25 @@ select {key}, action, loss from (
     select {key}, action, round(fixed_cost + p * loss_if_flood + (1 - p) * loss_if_dry, 6) as loss from {cells} cross join action_cost)) where r = 1"""
 
 
+def newton(step: int, ridge: float = 0.01, n: int = 4) -> str:
+    """A Newton step of every member's logistic fit: sums over the cells, then elimination and substitution by columns."""
+    before = "(select m, 0.0::double as b0, 0.0::double as b1, 0.0::double as b2, 0.0::double as b3 from (select unnest(range(0, 3)) as m))" if step == 1 else f"newton_{step - 1}"
+    z = " + ".join(f"b{i} * x{i}" for i in range(n))
+    penalty = lambda i: f"{ridge} * w" if i else "0.0"
+    sums = ", ".join([f"sum(w * (y - p) * x{i}) as r{i}" for i in range(n)] + [f"sum(w * p * (1 - p) * x{i} * x{j}) as s{i}{j}" for i in range(n) for j in range(i + 1)])
+    cols = [f"r{i} - {penalty(i)} * b{i} as g{i}_0" for i in range(n)] + [f"s{max(i, j)}{min(i, j)}" + (f" + {penalty(i)} + 1e-9" if i == j else "") + f" as h{i}{j}_0" for i in range(n) for j in range(n)]
+    for c in range(n - 1):
+        for i in range(c + 1, n):
+            cols.append(f"h{i}{c}_{c} / h{c}{c}_{c} as f{i}{c}")
+            cols += [f"h{i}{j}_{c} - f{i}{c} * h{c}{j}_{c} as h{i}{j}_{c + 1}" for j in range(c + 1, n)] + [f"g{i}_{c} - f{i}{c} * g{c}_{c} as g{i}_{c + 1}"]
+    for i in range(n - 1, -1, -1):
+        rest = "".join(f" - h{i}{j}_{i} * d{j}" for j in range(i + 1, n))
+        cols.append(f"(g{i}_{i}{rest}) / h{i}{i}_{i} as d{i}")
+    betas = ", ".join(f"b{i} + d{i} as b{i}" for i in range(n))
+    return f"""select m, {betas} from (select *, {", ".join(cols)} from (select m, any_value(b0) as b0, any_value(b1) as b1, any_value(b2) as b2, any_value(b3) as b3, sum(w) as w, {sums}
+      from (select *, 1 / (1 + exp(-({z}))) as p from bagged_x join {before} using (m)) group by m))"""
+
+
 #: In order: an expression uses only those above it.
 EXPRESSIONS: dict[str, str] = {
     "action_cost": """select action, fixed_cost::double as fixed_cost, loss_if_flood::double as loss_if_flood, loss_if_dry::double as loss_if_dry
@@ -142,6 +161,17 @@ EXPRESSIONS: dict[str, str] = {
       list_filter([case when n < 10 then 'few_observations' end, case when fraction is null then 'no_segmentation' end,
         case when abs(exact_p - fraction) / sqrt(greatest(variance + se * se, 1e-6)) > 2 then 'sources_disagree' end, case when abs(r.mean_p - r.rate) > 0.1 then 'poorly_calibrated' end], lambda x: x is not null) as flags
       from followed left join (select zone_id, fraction, se from seg_zone) using (zone_id) left join (select bin, mean_p, rate from reliability) r on r.bin = least(cast(floor(round(exact_p, 9) * 10) as int), 9)""",
+    "predictor": "select zone_id, valid_date, avg(lag_value) as lag_mean, max(lag_value) as lag_max, avg(week_mean) as week_mean, count(*) as n_obs from features where lag_value is not null and week_mean is not null group by all",
+    "predictor_scale": f"""select round(avg(lag_mean), 9) as m1, round(stddev_pop(lag_mean), 9) as s1, round(avg(lag_max), 9) as m2, round(stddev_pop(lag_max), 9) as s2, round(avg(week_mean), 9) as m3, round(stddev_pop(week_mean), 9) as s3
+      from predictor join outcome using (zone_id, valid_date) where valid_date < {CUT}""",
+    "scaled_x": "select zone_id, valid_date, n_obs, 1.0::double as x0, (lag_mean - m1) / s1 as x1, (lag_max - m2) / s2 as x2, (week_mean - m3) / s3 as x3 from predictor cross join predictor_scale",
+    "bagged_x": f"""select * from (select m, {poisson_one(uniform("m", "zone_id", "valid_date"))}::double as w, flooded::double as y, x0, x1, x2, x3
+      from scaled_x join outcome using (zone_id, valid_date) cross join (select unnest(range(0, 3)) as m) where valid_date < {CUT}) where w > 0""",
+    **{f"newton_{k}": newton(k) for k in range(1, 6)},
+    "pav_point": f"select cast(round(round(p + 1e-9, 4) * 10000) as int) as s, sum(y)::double as total, count(*)::double as weight from scored where valid_date < {CUT} group by all",
+    "pav_mean": """select a.s as i, b.s as j, sum(b.total) over w / sum(b.weight) over w as mean from pav_point a join pav_point b on b.s >= a.s window w as (partition by a.s order by b.s)""",
+    "pav_least": "select i, j as s, min(mean) over (partition by i order by j desc) as least from pav_mean",
+    "pav_fit": "select s, round(max(least), 9) as fit from pav_least where i <= s group by s",
     "people": "select arm, participant_id, avg(cast(ai_correct = accepted as int)) as mean from trial group by all",
     "arms": """select avg(mean) filter (arm = 'uncertainty') as ma, avg(mean) filter (arm = 'point') as mb, var_samp(mean) filter (arm = 'uncertainty') as va, var_samp(mean) filter (arm = 'point') as vb,
       count(*) filter (arm = 'uncertainty') as na, count(*) filter (arm = 'point') as nb from people""",
@@ -184,6 +214,10 @@ STATEMENTS: dict[str, str] = {
         count(*) filter (prob < 0.5 and wet = 1) as fn, count(*) filter (prob < 0.5 and wet = 0) as tn from pixel group by rollup (tile_id))""",
     "c8_recalibrate_histogram": f"""select zone_id, {D}, {r4('p')} as p, {r4('coalesce(rate, p)')} as recalibrated from (select zone_id, valid_date, p, least(cast(floor(p * 10) as int), 9) as bin from cell where valid_date >= {CUT})
       left join (select bin, round(avg(y), 9) as rate from binned where valid_date < {CUT} group by all) using (bin)""",
+    "a2_bagged_newton": f"""select zone_id, {D}, 'bag' || m as member, {r4('round(1 / (1 + exp(-(b0 * x0 + b1 * x1 + b2 * x2 + b3 * x3))), 6)')} as prob, n_obs from scaled_x cross join newton_5 where valid_date >= {CUT}""",
+    "c8_isotonic_blocks": f"""select zone_id, {D}, {r4('p')} as p, {r4('coalesce(fit, p)')} as recalibrated from (
+        select zone_id, valid_date, any_value(c.p) as p, coalesce(arg_max(fit, f.s) filter (f.s <= c.s), arg_min(fit, f.s)) as fit
+        from (select *, cast(round(round(p + 1e-9, 4) * 10000) as int) as s from cell where valid_date >= {CUT}) c left join pav_fit f on true group by all)""",
     "d1_expected_loss": f"select zone_id, {D}, action, {r4('round(fixed_cost + p * loss_if_flood + (1 - p) * loss_if_dry, 6)')} as loss from cell cross join action_cost",
     "d2_decide_uncertainty_aware": f"select zone_id, {D}, action, {r4('loss')} as loss from aware",
     "d3_decide_deterministic": f"select zone_id, {D}, action, {r4('loss')} as loss from hard",
@@ -263,6 +297,7 @@ STATEMENTS: dict[str, str] = {
 
 
 STATEMENTS["h3_belief_counts"] = STATEMENTS["h3_stream_belief"]
+STATEMENTS["a1_features_by_day"] = STATEMENTS["a1_zone_features"]
 
 
 def statement(name: str) -> str:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.numbers import out
-from ..operators import communication, decisions, gating, recommendation, reliability, uncertainty
-from ..sources.scratch import scratch
+from ..operators import communication, decisions, gating, quantiles, recommendation, reliability, uncertainty
+from ..sources import daily
+from ..sources.scratch import held, scratch
 from ..sources.tables import ACTIONS, CUT, Tables
 from ..streaming import follow, ledger, loop
 from ..streaming.versions import Versions
@@ -39,6 +40,7 @@ def query(name: str):
 
 query("a1_zone_features")(lambda p, t: p.features)
 query("a2_bagged_forecast")(lambda p, t: uncertainty.bagged_forecast(p.features, t.outcome, 3, CUT))
+query("a2_bagged_newton")(lambda p, t: uncertainty.bagged_newton(p.features, t.outcome, 3, CUT))
 query("b1_ensemble_summary")(lambda p, t: p.cell)
 query("b2_ensemble_interval")(lambda p, t: p.interval)
 query("b3_entropy_split")(lambda p, t: uncertainty.entropy_split(t.forecast_member))
@@ -56,6 +58,9 @@ query("c6_crps_ensemble")(lambda p, t: reliability.crps_ensemble(t.forecast_memb
 query("c7_segmentation_scores")(lambda p, t: reliability.segmentation_scores(t.tile))
 query("c8_recalibrate_histogram")(lambda p, t: reliability.recalibrate(p.cell, t.outcome, CUT))
 query("c8_recalibrate_isotonic")(lambda p, t: reliability.recalibrate(p.cell, t.outcome, CUT, "isotonic"))
+query("c8_isotonic_blocks")(lambda p, t: reliability.recalibrate_isotonic(p.cell, t.outcome, CUT))
+query("b2_city_quantiles")(lambda p, t: quantiles.sketch_intervals(quantiles.merged_sketches(quantiles.quantile_sketches(t.observation), t.zone)))
+query("c5_sketch_coverage")(lambda p, t: quantiles.sketch_coverage(held(quantiles.quantile_sketches(t.observation)), t.zone, CUT))
 query("d1_expected_loss")(lambda p, t: decisions.expected_loss(p.cell.select("zone_id", "valid_date", "p"), t.action_cost).drop("p"))
 query("d2_decide_uncertainty_aware")(lambda p, t: decisions.decide_uncertainty_aware(p.cell, t.action_cost))
 query("d3_decide_deterministic")(lambda p, t: decisions.decide_deterministic(p.cell, t.action_cost))
@@ -83,6 +88,16 @@ query("g1_arm_summary")(lambda p, t: communication.arm_summary(t.trial))
 query("g2_arm_contrast")(lambda p, t: communication.arm_contrast(t.trial))
 
 
+@query("a1_features_by_day")
+def _(p: Plan, t: Tables) -> DataFrame:
+    """The features, built without the events of a few days that come late (every ninth), then with those days refreshed."""
+    path = scratch(t.spark)
+    late = (F.col("event_id") % 9 == 0) & (F.dayofmonth("ts") % 11 == 3)
+    daily.build(t.observation.where(~late), path)
+    daily.refresh(t.observation, path, [r[0] for r in t.observation.where(late).select(F.to_date("ts")).distinct().collect()])
+    return daily.features(t.spark, path)
+
+
 def all_dates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("valid_date", F.coalesce(F.col("valid_date").cast("string"), F.lit("ALL")))
 

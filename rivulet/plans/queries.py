@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,34 +116,36 @@ def _(p: Plan, t: Tables) -> DataFrame:
 QUERIES["f8_recommendation_json"] = lambda spark, folder: recommendation.as_json(recommend(spark, folder)).withColumn("valid_date", F.col("valid_date").cast("string"))
 
 
-#: Spans of time that the events are fed in, and files of each.
-SPANS, FILES = 3, 4
+#: Spans of time that the events are fed in, files of each at least, and rows of a file (more make more files).
+SPANS, FILES, FILE_ROWS = 3, 4, 1_000_000
 HEARTBEAT = "heartbeat"
 
 
-def feed(spark: SparkSession, folder: str) -> str:
-    """A folder of the events as they would arrive: one span of time after another, with replays, and a heartbeat at the end.
+def feed(spark: SparkSession, folder: str) -> Callable[[], DataFrame]:
+    """Reads the events, as often as asked, as a stream as they would arrive: one span of time after another, with replays, and a heartbeat at the end.
 
     Every seventh observation comes twice, and each span repeats the last half hour of the
-    one before. The heartbeat, two days later, lets the watermark pass all windows.
+    one before. The heartbeat, two days later, lets the watermark pass all windows. A batch is a
+    span, however many files that takes, as the rows of a span are in no order.
     """
     events = Tables(spark, folder).observation
     path = scratch(spark)
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    first, last, rows = events.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
     if first is None:
         events.write.parquet(f"{path}/in")
-        return f"{path}/in"
+        return lambda: follow.read_observations(spark, f"{path}/in")
+    files = max(FILES, rows // FILE_ROWS)
     cuts = [first + (last - first) * k / SPANS for k in range(SPANS)] + [last + dt.timedelta(microseconds=1)]
     for k in range(SPANS):
         span = lambda lo, hi: events.where((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi)))
         own = span(cuts[k], cuts[k + 1])
-        rows = own.unionByName(own.where("event_id % 7 = 0"))
+        own = own.unionByName(own.where("event_id % 7 = 0"))
         if k:
-            rows = rows.unionByName(span(max(cuts[k] - dt.timedelta(minutes=30), cuts[k - 1]), cuts[k]))
-        rows.repartition(FILES).write.mode("append").parquet(f"{path}/in")
+            own = own.unionByName(span(max(cuts[k] - dt.timedelta(minutes=30), cuts[k - 1]), cuts[k]))
+        own.repartition(files).write.mode("append").parquet(f"{path}/in")
     beat = events.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(last + dt.timedelta(days=2)).alias("ts"), F.lit(-1).alias("zone_id"), F.lit(HEARTBEAT).alias("sensor"), F.lit(0.0).alias("value"))
     beat.write.mode("append").parquet(f"{path}/in")
-    return f"{path}/in"
+    return lambda: follow.read_observations(spark, f"{path}/in", files)
 
 
 def drained(stream: DataFrame) -> DataFrame:
@@ -157,17 +160,31 @@ def drained(stream: DataFrame) -> DataFrame:
 
 def ended(query: StreamingQuery) -> None:
     query.awaitTermination()
+    if query.recentProgress and query.recentProgress[0].batchId > 0:
+        raise RuntimeError("the first batches' progress is gone: set spark.sql.streaming.numRecentProgressUpdates higher")
     late = sum(state["numRowsDroppedByWatermark"] for p in query.recentProgress for state in json.loads(p.json)["stateOperators"])
     if late:
         raise RuntimeError(f"{late} rows came after the watermark")
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in it keep their state in RocksDB; then the session's own setting holds again."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, follow.STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def streamed(f: Callable[[SparkSession, DataFrame], DataFrame]) -> Query:
     """A query over the events as a stream of several batches."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", follow.STATE_STORE)
-        return f(spark, follow.read_observations(spark, feed(spark, folder), FILES))
+        with state_store(spark):
+            return f(spark, feed(spark, folder)())
 
     return run
 
@@ -234,10 +251,10 @@ def drift_of(obs: DataFrame, batch: float) -> DataFrame:
 
 
 def h6(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", follow.STATE_STORE)
     batch = batch_brier(Plan(spark, folder))
-    obs = follow.read_observations(spark, feed(spark, folder), FILES)
-    return presented(drained(drift_of(obs, batch)).withColumn("start", F.date_format("start", "yyyy-MM-dd")))
+    with state_store(spark):
+        rows = drained(drift_of(feed(spark, folder)(), batch))
+    return presented(rows.withColumn("start", F.date_format("start", "yyyy-MM-dd")))
 
 
 def h3_counts(spark: SparkSession, obs: DataFrame) -> DataFrame:
@@ -263,14 +280,12 @@ def static_tables(plan: Plan, path: str) -> dict[str, Versions]:
 
 def live(spark: SparkSession, folder: str, drift: bool) -> DataFrame:
     """The zones' last records after the whole feed; drift: with the alarms of the drift query, run before."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", follow.STATE_STORE)
-    plan, path, source = Plan(spark, folder), scratch(spark), feed(spark, folder)
-    read = lambda: follow.read_observations(spark, source, FILES)
-    alarms = None
-    if drift:
-        alarms = Versions(spark, f"{path}/alarms")
-        ended(loop.watch_drift(drift_of(read(), batch_brier(plan)), alarms, f"{path}/drift-checkpoint"))
-    ended(loop.recommend_live(read(), plan.tables.action_cost, static_tables(plan, path), path, alarms, ALARM_WINDOWS))
+    plan, path, read = Plan(spark, folder), scratch(spark), feed(spark, folder)
+    alarms = Versions(spark, f"{path}/alarms") if drift else None
+    with state_store(spark):
+        if drift:
+            ended(loop.watch_drift(drift_of(read(), batch_brier(plan)), alarms, f"{path}/drift-checkpoint"))
+        ended(loop.recommend_live(read(), plan.tables.action_cost, static_tables(plan, path), path, alarms, ALARM_WINDOWS))
     return loop.latest_records(spark, path).where("zone_id >= 0")
 
 

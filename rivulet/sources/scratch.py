@@ -8,13 +8,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see.
+
+    `spark.checkpoint.dir` where the session sets it; without it, on a cluster, the warehouse, if
+    that isn't on the machines' own disks; in local mode a temporary folder.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.startswith("local["):
+        if not hasattr(shared_dir, "own"):
+            shared_dir.own = "file://" + tempfile.mkdtemp(prefix="rivulet-")
+        return shared_dir.own
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if ":" not in warehouse or warehouse.startswith("file:"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_rivulet"
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors see: below spark.checkpoint.dir; in local mode without it a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local[")
-        base = "file://" + tempfile.mkdtemp(prefix="rivulet-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/rivulet-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/rivulet-{uuid.uuid4().hex}"
 
 
 def held(df: DataFrame) -> DataFrame:

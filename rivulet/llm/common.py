@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..sources.scratch import shared_dir
+
 #: Words of a text are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,22 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    `spark.checkpoint.dir` where the session sets it; on a cluster without it a
-    folder of the warehouse; a temporary folder in local mode only.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        if not hasattr(shared_dir, "own"):
-            shared_dir.own = "file://" + tempfile.mkdtemp(prefix="rivulet-")
-        return shared_dir.own
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rivulet"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage and outlives executors.
 

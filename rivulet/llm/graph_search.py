@@ -4,8 +4,8 @@ A shard's graph grows by batches: a greedy beam search on the graph so far propo
 neighbours of each new vector; relaxed distance pruning keeps a proposal only if no
 kept neighbour is nearer to it by the factor `alpha`, so that edges stay few and
 diverse; edges back are added and pruned alike. The graphs are written as a table.
-Queries search every shard's graph by beam search, in blocks; the best of all shards
-are ranked by the inner product of the original vectors in double precision.
+Queries search every shard's graph by beam search, streamed past the graph; the best of
+all shards are ranked by the inner product of the original vectors in double precision.
 Shards grow with the table, within `shard_rows`, as each costs every query a search.
 
 Inner products become distances by one more component that gives all vectors of a
@@ -20,12 +20,15 @@ are ignored; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_map, materialize
 from .kd_search import matrix
 from .vectors import best, dealt, every, usable
 
@@ -33,6 +36,8 @@ from .vectors import best, dealt, every, usable
 DEGREE, BUILD_BEAM, ALPHA = 32, 64, 1.2
 #: New vectors searched at once, candidates expanded at once for each, and marks of seen nodes that a search holds.
 BATCH, EXPAND, SEEN = 1024, 4, 1 << 24
+#: Tasks of a search; beyond it a task takes several groups in turn.
+MOST_TASKS = 20_000
 
 
 def lengthened(x: np.ndarray, longest: float) -> np.ndarray:
@@ -170,43 +175,86 @@ def graphs(rows: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("dim", "shard").applyInArrow(run, NODE)
 
 
-def search(t: pa.Table, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id and score of up to k nearest found of each query in one graph."""
-    t = t.sort_by("node")
-    vectors = matrix(t, "vector")
-    longest = float(np.sqrt((vectors / np.abs(vectors).max()) ** 2 @ np.ones(vectors.shape[1])).max() * np.abs(vectors).max())
-    x = lengthened(vectors, longest)
-    links = t.column("neighbours").combine_chunks()
-    lengths = links.value_lengths().to_numpy(zero_copy_only=False)
-    graph = np.full((len(x), DEGREE), -1, np.int64)
-    graph[np.arange(DEGREE)[None, :] < lengths[:, None]] = links.flatten().to_numpy(zero_copy_only=False)
-    start = int(np.flatnonzero(t.column("entry").to_numpy(zero_copy_only=False))[0])
-    unit = queries / np.abs(queries).max(axis=1, keepdims=True)
-    unit = np.c_[unit / np.linalg.norm(unit, axis=1, keepdims=True), np.zeros(len(queries))].astype(np.float32)
-    ids = t.column("ids").combine_chunks()
-    firsts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-    out_q, out_v, out_s = [], [], []
-    step = max(64, min(BATCH, SEEN // len(x)))
-    for at in range(0, len(queries), step):
-        nodes = beam_search(x, graph, start, unit[at : at + step], beam)[0]
-        for query_id, q, own in zip(query_ids[at : at + step].tolist(), queries[at : at + step], nodes, strict=True):
-            own = own[own >= 0]
-            scores = vectors[own] @ q
-            got = np.concatenate([flat[firsts[i] : firsts[i + 1]] for i in own])
-            scores = np.repeat(scores, [firsts[i + 1] - firsts[i] for i in own])
-            ok = got != query_id
-            got, scores = got[ok], scores[ok]
-            top = np.lexsort((got, -scores))[:k]
-            out_q.append(np.full(len(top), query_id))
-            out_v.append(got[top])
-            out_s.append(scores[top])
-    return tuple(np.concatenate(x) for x in (out_q, out_v, out_s))
-
-
-def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, beam: int = 128, shard_rows: tuple[int, int] = (10_000, 50_000), query_rows: int = 32_768) -> DataFrame:
+class Graph:
+    """One shard's graph, read from its rows, in double precision and as the unit vectors that it is searched by."""
+
+    def __init__(self, t: pa.Table):
+        t = t.sort_by("node")
+        self.vectors = matrix(t, "vector")
+        largest = np.abs(self.vectors).max()
+        self.unit = lengthened(self.vectors, float(np.linalg.norm(self.vectors / largest, axis=1).max() * largest))
+        links = t.column("neighbours").combine_chunks()
+        lengths = links.value_lengths().to_numpy(zero_copy_only=False)
+        self.links = np.full((len(self.unit), DEGREE), -1, np.int64)
+        self.links[np.arange(DEGREE)[None, :] < lengths[:, None]] = links.flatten().to_numpy(zero_copy_only=False)
+        self.start = int(np.flatnonzero(t.column("entry").to_numpy(zero_copy_only=False))[0])
+        ids = t.column("ids").combine_chunks()
+        self.ids, self.ends = ids.flatten().to_numpy(), np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query_id, vec_id and score of up to k nearest found of each query."""
+        unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+        unit = np.c_[unit / np.linalg.norm(unit, axis=1, keepdims=True), np.zeros(len(queries))].astype(np.float32)
+        out_q, out_v, out_s = [], [], []
+        step = max(64, min(BATCH, SEEN // len(self.unit)))
+        for at in range(0, len(queries), step):
+            nodes = beam_search(self.unit, self.links, self.start, unit[at : at + step], beam)[0]
+            for query_id, q, own in zip(query_ids[at : at + step].tolist(), queries[at : at + step], nodes, strict=True):
+                own = own[own >= 0]
+                got = np.concatenate([self.ids[self.ends[i] : self.ends[i + 1]] for i in own])
+                scores = np.repeat(self.vectors[own] @ q, self.ends[own + 1] - self.ends[own])
+                ok = got != query_id
+                got, scores = got[ok], scores[ok]
+                top = np.lexsort((got, -scores))[:k]
+                out_q.append(np.full(len(top), query_id))
+                out_v.append(got[top])
+                out_s.append(scores[top])
+        return tuple(np.concatenate(x) for x in (out_q, out_v, out_s))
+
+
+#: Takes the place of the node's number in a query's row, so that queries follow their shard's nodes.
+QUERY = (1 << 31) - 1
+
+
+def searched(index: DataFrame, queries: DataFrame, k: int, beam: int, tasks: int) -> DataFrame:
+    """Up to k nearest found of each query in its shard; rows of a (dim, shard, block) share a task.
+
+    Sorted, a group's nodes come first: its graph is held once, and queries stream past it in batches.
+    """
+    keys = ["dim", "shard", "block"]
+    asked = queries.select(*keys, F.lit(QUERY).alias("node"), "vector", F.array("vec_id").alias("ids"))
+    rows = index.unionByName(asked, allowMissingColumns=True).repartition(tasks, *keys).sortWithinPartitions(*keys, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, graph = None, [], None
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+            is_query = batch.column("node").to_numpy() == QUERY
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1) | (is_query[1:] != is_query[:-1])) + 1
+            for start, stop in zip(np.r_[0, cuts], np.r_[cuts, len(marks)], strict=True):
+                if start == stop:
+                    continue
+                if tuple(marks[start]) != group:
+                    group, nodes, graph = tuple(marks[start]), [], None
+                part = pa.Table.from_batches([batch.slice(start, stop - start)])
+                if not is_query[start]:
+                    nodes.append(part)
+                    continue
+                if nodes:
+                    graph, nodes = Graph(pa.concat_tables(nodes)), []
+                if graph is not None:
+                    q, v, s = graph.search(part.column("ids").combine_chunks().flatten().to_numpy(), matrix(part, "vector"), k, beam)
+                    yield pa.record_batch({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    return arrow_map(rows, run, RESULT)
+
+
+def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, beam: int = 128, shard_rows: tuple[int, int] = (10_000, 50_000), query_rows: int = 131_072) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by query_every, itself apart.
 
-    shard_rows: least and most vectors of a shard; between them a table has 64 shards.
+    shard_rows: least and most vectors of a shard; between them a table has 64 shards. beam: nodes that a search keeps
+    in a shard of up to 10,000 vectors; in larger ones it grows with the square root of their size.
+    query_rows: queries that stream past one copy of a shard; more of them bound a task's time, not its memory.
     """
     rows = usable(vectors).where(F.exists("vector", lambda x: x != 0)).withColumn("dim", F.size("vector"))
     rows = materialize(rows, "vectors")
@@ -214,11 +262,5 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, beam: int =
     shards, blocks = max(1, -(-n // min(max(n // 64, shard_rows[0]), shard_rows[1]))), max(1, -(-n_queries // query_rows))
     index = materialize(graphs(dealt(rows, "shard", shards), k), "graphs")
     queries = every(dealt(rows.where(F.col("vec_id") % query_every == 0), "block", blocks), "shard", shards)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, i, s = search(left, right.column("vec_id").to_numpy(), matrix(right, "vector"), k, beam) if left.num_rows and right.num_rows else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    keys = ["dim", "shard", "block"]
-    found = every(index, "block", blocks).groupBy(keys).cogroup(queries.groupBy(keys)).applyInArrow(run, RESULT)
-    return best(found, k)
+    width = math.ceil(beam * max(1.0, n / shards / 10_000) ** 0.5)
+    return best(searched(every(index, "block", blocks), queries, k, width, min(shards * blocks, MOST_TASKS)), k)

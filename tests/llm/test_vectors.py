@@ -98,6 +98,20 @@ def test_graph_search(spark, vectors):
         assert same == [i for i in range(40, 110) if i != q][: len(same)]
 
 
+def test_graphs_are_the_same_for_all_blocks(spark, vectors):
+    """Queries give the same rows in one block or many, and in Arrow batches of a few rows that part a group's nodes and queries."""
+    docs = spark.createDataFrame(rows_of(vectors + BAD), SCHEMA)
+    one = {tuple(r) for r in nearest(docs, shard_rows=(300, 300), query_rows=1000).collect()}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        many = {tuple(r) for r in nearest(docs, shard_rows=(300, 300), query_rows=6).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert one == many and len(one) > 500
+
+
 def test_recall_of_the_query(spark):
     """The registered setting on the largest test table, in one shard and in several, with each row twice: at least 0.9 of the nearest are found."""
     folder = "/root/testdata/sf0.1"

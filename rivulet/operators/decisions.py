@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.numbers import exact, poisson_one, uniform
 
@@ -18,20 +17,38 @@ def expected_loss(cells: DataFrame, actions: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(actions)).withColumn("loss", F.round(loss, 6)).drop("fixed_cost", "loss_if_flood", "loss_if_dry")
 
 
-def ranked_actions(cells: DataFrame, actions: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """expected_loss with each action's rank in its cell; ties by the action's name."""
-    w = Window.partitionBy(*(key or CELL)).orderBy("loss", "action")
-    return expected_loss(cells, actions).withColumn("rank", F.row_number().over(w))
+def with_actions(rows: DataFrame, actions: DataFrame) -> DataFrame:
+    """rows with all actions as an array `_actions`; none, if there are no actions.
 
+    The actions are a few fixed rows, so one row of them is broadcast, and what is chosen from them is
+    chosen in each row without a shuffle.
+    """
+    few = actions.agg(F.collect_list(F.struct("action", "fixed_cost", "loss_if_flood", "loss_if_dry")).alias("_actions"))
+    return rows.join(F.broadcast(few.where(F.size("_actions") > 0)))
 
-def decide_uncertainty_aware(cells: DataFrame, actions: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """The action of least expected loss.
 
-    One struct minimum over the broadcast actions instead of a sort of each cell.
-    """
+def losses_at(p: Column) -> Column:
+    """Expected loss and name of every action of `_actions` at probability p."""
+    loss = lambda a: F.round(a["fixed_cost"] + p * a["loss_if_flood"] + (1 - p) * a["loss_if_dry"], 6)
+    return F.transform("_actions", lambda a: F.struct(loss(a).alias("loss"), a["action"].alias("action")))
+
+
+def best_at(p: Column) -> Column:
+    """The least of losses_at; ties by the action's name."""
+    return F.array_min(losses_at(p))
+
+
+def next_best(p: Column, k: int) -> Column:
+    """rank (from 2), action and extra loss over the best of the k actions that come next at p, in order."""
+    ranked = F.sort_array(losses_at(p))
+    extra = lambda x: (x["loss"] - F.element_at(ranked, 1)["loss"]).alias("extra_loss")
+    return F.transform(F.slice(ranked, 2, k), lambda x, i: F.struct((i + 2).alias("rank"), x["action"].alias("action"), extra(x)))
+
+
+def decide_uncertainty_aware(cells: DataFrame, actions: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """The action of least expected loss of each row of cells, which has a row for each key."""
     key = key or CELL
-    best = F.min(F.struct("loss", "action")).alias("b")
-    return expected_loss(cells.select(*key, "p"), actions).groupBy(key).agg(best).select(*key, F.col("b.action").alias("action"), F.col("b.loss").alias("loss"))
+    return with_actions(cells.select(*key, "p"), actions).select(*key, best_at(F.col("p")).alias("b")).select(*key, F.col("b.action").alias("action"), F.col("b.loss").alias("loss"))
 
 
 def decide_deterministic(cells: DataFrame, actions: DataFrame) -> DataFrame:

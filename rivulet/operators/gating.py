@@ -23,24 +23,29 @@ def confidence_gate(summary: DataFrame, stability: DataFrame, least_members: int
     return summary.select(*CELL, "p", "sd", "members").join(stability.select(*CELL, "action", "stability"), CELL).withColumn("gate", gate)
 
 
-def conformal_set(summary: DataFrame, outcome: DataFrame, cut: str, alpha: float = 0.1) -> DataFrame:
-    """Split conformal: which labels each cell from the cut on can't be denied, at error rate alpha.
+def conformal_quantile(summary: DataFrame, outcome: DataFrame, cut: str, alpha: float = 0.1) -> DataFrame:
+    """One row q, in steps of 1e-4, of the scores of the cells before the cut; null, which leaves both labels, if there are too few.
 
-    Scores of the cells before the cut are counted by their four decimals (at most
-    10,001 rows); a running sum over those finds the quantile.
+    Scores are counted by their four decimals (at most 10,001 rows); a running sum over
+    those finds the quantile.
     """
-    day = F.lit(cut).cast("date")
     score = F.round(F.when(F.col("y") == 1, 1 - F.col("p")).otherwise(F.col("p")) + 1e-9, 4)
-    scores = with_outcome(summary, outcome).where(F.col("valid_date") < day).groupBy(F.round(score * 10000).cast("int").alias("s")).agg(F.count("*").alias("n"))
-    running = scores.withColumn("up_to", F.sum("n").over(Window.orderBy("s")))
-    total = scores.agg(F.sum("n").alias("total"))
-    # One row; null if k > n, which leaves both labels.
-    quantile = running.join(F.broadcast(total)).where(F.col("up_to") >= F.ceil((F.col("total") + 1) * (1 - alpha) - 1e-9)).agg(F.min("s").alias("q"))
-    late = summary.where(F.col("valid_date") >= day).join(F.broadcast(quantile))
-    fits = lambda x: F.col("q").isNull() | (F.round(F.round(x + 1e-9, 4) * 10000).cast("int") <= F.col("q"))
-    wet, dry = fits(1 - F.col("p")), fits(F.col("p"))
-    label = F.when(wet & dry, "both").when(wet, "wet").when(dry, "dry").otherwise("none")
-    return late.select(*CELL, "p", (F.col("q") / 10000.0).alias("qhat"), label.alias("labels"))
+    scores = with_outcome(summary, outcome).where(F.col("valid_date") < F.lit(cut).cast("date")).groupBy(F.round(score * 10000).cast("int").alias("s")).agg(F.count("*").alias("n"))
+    running = scores.select("s", F.sum("n").over(Window.orderBy("s")).alias("up_to"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    return running.where(F.col("up_to") >= F.ceil((F.col("total") + 1) * (1 - alpha) - 1e-9)).agg(F.min("s").alias("q"))
+
+
+def conformal_label(p: Column, q: Column) -> Column:
+    """wet, dry, both or none."""
+    fits = lambda x: q.isNull() | (F.round(F.round(x + 1e-9, 4) * 10000).cast("int") <= q)
+    wet, dry = fits(1 - p), fits(p)
+    return F.when(wet & dry, "both").when(wet, "wet").when(dry, "dry").otherwise("none")
+
+
+def conformal_set(summary: DataFrame, outcome: DataFrame, cut: str, alpha: float = 0.1) -> DataFrame:
+    """Split conformal: which labels each cell from the cut on can't be denied, at error rate alpha."""
+    late = summary.where(F.col("valid_date") >= F.lit(cut).cast("date")).join(F.broadcast(conformal_quantile(summary, outcome, cut, alpha)))
+    return late.select(*CELL, "p", (F.col("q") / 10000.0).alias("qhat"), conformal_label(F.col("p"), F.col("q")).alias("labels"))
 
 
 def conformal_coverage(conformal: DataFrame, outcome: DataFrame) -> DataFrame:

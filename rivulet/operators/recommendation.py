@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import exact
-from .decisions import ranked_actions, zone_population
+from .decisions import best_at, next_best, with_actions, zone_population
+from .gating import conformal_label, gate_of
 from .reliability import bin_of
+from .uncertainty import disagreement_of, quantiles_of, summary_columns, variance_of
 
 CELL = ["zone_id", "valid_date"]
 
@@ -30,14 +32,17 @@ def rationale(features: DataFrame, k: int = 2) -> DataFrame:
 
 def confidence(gated: DataFrame, interval: DataFrame) -> DataFrame:
     """Deviation, interval, gate and a label from the gate."""
-    label = F.when(F.col("gate") == "act", "high").when(F.col("gate") == "verify", "medium").otherwise("low")
-    return gated.select(*CELL, "sd", "gate").join(interval.select(*CELL, "lo", "hi"), CELL).withColumn("label", label)
+    return gated.select(*CELL, "sd", "gate").join(interval.select(*CELL, "lo", "hi"), CELL).withColumn("label", label_of(F.col("gate")))
+
+
+def label_of(gate: Column) -> Column:
+    return F.when(gate == "act", "high").when(gate == "verify", "medium").otherwise("low")
 
 
 def alternatives(summary: DataFrame, actions: DataFrame, k: int = 2) -> DataFrame:
     """The k next actions of each cell with their extra loss over the best."""
-    ranked = ranked_actions(summary.select(*CELL, "p"), actions).withColumn("best", F.min("loss").over(Window.partitionBy(*CELL)))
-    return ranked.where(F.col("rank").between(2, k + 1)).select(*CELL, "rank", "action", (F.col("loss") - F.col("best")).alias("extra_loss"))
+    rows = with_actions(summary.select(*CELL, "p"), actions)
+    return rows.select(*CELL, F.explode(next_best(F.col("p"), k)).alias("x")).select(*CELL, "x.*")
 
 
 # The flags in the order in which they are listed.
@@ -61,20 +66,28 @@ def limitations(summary: DataFrame, fused: DataFrame, reliability: DataFrame, re
         F.coalesce("bad_bin", F.lit(False)),
         F.coalesce(F.col("_removed") > 0, F.lit(False)),
     ]
-    return rows.select(*CELL, F.array_compact(F.array(*(F.when(t, name) for t, name in zip(tests, FLAGS, strict=True)))).alias("flags"))
+    return rows.select(*CELL, flags_of(tests).alias("flags"))
+
+
+def flags_of(tests: list[Column], names: tuple[str, ...] = FLAGS) -> Column:
+    """The names of the tests that hold, in order."""
+    return F.array_compact(F.array(*(F.when(t, name) for t, name in zip(tests, names, strict=True))))
 
 
 def needs_human(gated: DataFrame, limits: DataFrame, conformal: DataFrame) -> DataFrame:
     """Whether a person must check a cell, and the first reason that applies; a cell without a conformal set (before the cut) passes that test."""
     rows = gated.select(*CELL, "action", "gate").join(limits, CELL, "left").join(conformal.select(*CELL, "labels"), CELL, "left")
-    reason = (
-        F.when(F.col("gate") != "act", F.concat(F.lit("gate is "), "gate"))
-        .when(F.coalesce(F.size("flags"), F.lit(0)) >= 2, "several limitations")
-        .when((F.col("action") == "evacuate") & (F.col("labels").isNotNull() & (F.col("labels") != "wet")), "evacuation without a clear conformal set")
-    )
+    unclear = F.col("labels").isNotNull() & (F.col("labels") != "wet")
+    reason = reason_of(F.coalesce(F.size("flags"), F.lit(0)), unclear, "evacuation without a clear conformal set")
     return rows.withColumn("reason", reason).select(*CELL, F.col("reason").isNotNull().alias("needs_human"), F.coalesce("reason", F.lit("none")).alias("reason"))
 
 
+def reason_of(flags: Column, unclear: Column, told: str) -> Column:
+    """Why a person must check, of rows with gate and action; null: nobody must. unclear: why an evacuation isn't sure, as told."""
+    gate = F.when(F.col("gate") != "act", F.concat(F.lit("gate is "), "gate"))
+    return gate.when(flags >= 2, "several limitations").when((F.col("action") == "evacuate") & unclear, told)
+
+
 def zone_context(zone: DataFrame, exposure: DataFrame, resource: DataFrame) -> DataFrame:
     """Names, population, capacity and number of assets of each zone; all are summed by zone before the join."""
     people = exposure.groupBy("zone_id").agg(exact(F.sum("population")).alias("population"), F.count("*").alias("assets"))
@@ -113,6 +126,42 @@ def recommendation(parts: dict[str, DataFrame]) -> DataFrame:
     return rows.select(*CELL, "action", "gate", F.struct(*fields).alias("record"))
 
 
+def recommendation_by_cell(members: DataFrame, features: DataFrame, actions: DataFrame, by_zone: DataFrame, reliability: DataFrame, quantile: DataFrame, cut: str, k: int = 2, all_members: int = 5, least_obs: int = 10, disagreement: float = 2.0, gap: float = 0.1, bins: int = 10) -> DataFrame:
+    """recommendation without parts to join: all that a cell's members tell is told in the row of their one aggregate.
+
+    members: zone_id, valid_date, prob (null: removed), n_obs; a cell's members, an ensemble, are held in its row.
+    by_zone: zone_context with fraction and se of the segmentation; reliability and quantile: a row for each bin, and one.
+    """
+    cells = members.groupBy(CELL).agg(*summary_columns(), quantiles_of().alias("_q"), F.collect_list("prob").alias("_probs"), F.count(F.when(F.col("prob").isNull(), 1)).alias("_removed"))
+    cells = with_actions(cells.where("members > 0"), actions).withColumn("_best", best_at(F.col("p"))).withColumn("action", F.col("_best.action"))
+    agreed = F.filter("_probs", lambda x: best_at(x)["action"] == F.col("action"))
+    cells = cells.withColumn("gate", gate_of(F.round(F.size(agreed) / F.size("_probs"), 9), F.col("sd"), F.col("members"))).withColumn("alternatives", next_best(F.col("p"), k))
+    day = Window.partitionBy("zone_id").orderBy(F.datediff("valid_date", F.lit("1970-01-01").cast("date"))).rangeBetween(-1, -1)
+    bad = reliability.where(F.abs(F.col("mean_p") - F.col("rate")) > gap).select(F.col("bin").alias("_bin"), F.lit(True).alias("_bad"))
+    reasons = rationale(features, k).groupBy(CELL).agg(F.sort_array(F.collect_list(F.struct("rank", "sensor", "distance"))).alias("rationale"))
+    rows = cells.drop("_probs", "_actions", "_best").withColumn("_before", F.max("p").over(day)).withColumn("_bin", bin_of(F.col("p"), bins))
+    rows = rows.join(by_zone, "zone_id", "left").join(F.broadcast(bad), "_bin", "left").join(F.broadcast(quantile)).join(reasons, CELL, "left")
+    p, p2, v2 = F.col("p"), exact(F.col("fraction")), variance_of(exact(F.col("se")))
+    tests = [
+        F.col("members") < all_members, F.col("n_obs") < least_obs, p2.isNull(), disagreement_of(p, variance_of(F.col("sd")), p2, v2) > disagreement,
+        F.coalesce("_bad", F.lit(False)), F.col("_removed") > 0,
+    ]
+    labels = F.when(F.col("valid_date") >= F.lit(cut).cast("date"), conformal_label(p, F.col("q")))
+    rows = rows.withColumn("limitations", flags_of(tests)).withColumn("_labels", labels)
+    rows = rows.withColumn("_reason", reason_of(F.size("limitations"), F.col("_labels").isNotNull() & (F.col("_labels") != "wet"), "evacuation without a clear conformal set"))
+    known = lambda c, zero: F.coalesce(c, F.lit(zero)).alias(c)
+    record = F.struct(
+        F.struct("p", (p * F.coalesce("population", F.lit(0.0))).alias("expected_affected"), (p - F.col("_before")).alias("change")).alias("situation"),
+        "rationale",
+        F.struct("sd", F.col("_q")[0].alias("lo"), F.col("_q")[2].alias("hi"), label_of(F.col("gate")).alias("label")).alias("confidence"),
+        "alternatives",
+        "limitations",
+        F.struct(F.col("_reason").isNotNull().alias("needs_human"), F.coalesce("_reason", F.lit("none")).alias("reason")).alias("verify"),
+        F.struct("zone_name", "district_name", known("population", 0.0), known("capacity", 0.0), known("assets", 0)).alias("context"),
+    )
+    return rows.select(*CELL, F.when(F.col("gate") != "abstain", F.col("action")).alias("action"), "gate", record.alias("record"))
+
+
 def as_json(recommendations: DataFrame) -> DataFrame:
     """The record as a JSON string."""
     return recommendations.withColumn("record", F.to_json("record"))

@@ -105,22 +105,31 @@ def bagged_newton(features: DataFrame, outcome: DataFrame, members: int = 5, cut
     return late.select(*CELL, F.concat(F.lit("bag"), F.col("m")).alias("member"), F.round(1 / (1 + F.exp(-margin())), 6).alias("prob"), "n_obs")
 
 
-def ensemble_summary(members: DataFrame) -> DataFrame:
-    """Mean p, sample standard deviation (0 if one member), number, least and largest of each cell's members, and their observations."""
-    return members.groupBy(CELL).agg(
+def summary_columns() -> list[Column]:
+    """The aggregates of ensemble_summary; members whose prob is null count as none."""
+    members = F.count("prob")
+    return [
         exact(F.avg("prob")).alias("p"),
-        exact(F.coalesce(F.when(F.count("*") > 1, F.stddev_samp("prob")), F.lit(0.0))).alias("sd"),
-        F.count("*").alias("members"),
+        exact(F.coalesce(F.when(members > 1, F.stddev_samp("prob")), F.lit(0.0))).alias("sd"),
+        members.alias("members"),
         F.min("prob").alias("p_min"),
         F.max("prob").alias("p_max"),
-        F.sum("n_obs").alias("n_obs"),
-    )
+        F.sum(F.when(F.col("prob").isNotNull(), F.col("n_obs"))).alias("n_obs"),
+    ]
+
+
+def ensemble_summary(members: DataFrame) -> DataFrame:
+    """Mean p, sample standard deviation (0 if one member), number, least and largest of each cell's members, and their observations."""
+    return members.groupBy(CELL).agg(*summary_columns())
+
+
+def quantiles_of(lo: float = 0.05, hi: float = 0.95) -> Column:
+    return F.percentile("prob", F.array(F.lit(lo), F.lit(0.5), F.lit(hi)))
 
 
 def ensemble_interval(members: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Quantiles lo, 0.5 and hi of each cell's members, linearly interpolated."""
-    q = F.percentile("prob", F.array(F.lit(lo), F.lit(0.5), F.lit(hi)))
-    return members.groupBy(CELL).agg(q.alias("q")).select(*CELL, F.col("q")[0].alias("lo"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("hi"))
+    return members.groupBy(CELL).agg(quantiles_of(lo, hi).alias("q")).select(*CELL, F.col("q")[0].alias("lo"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("hi"))
 
 
 def entropy_split(members: DataFrame) -> DataFrame:
@@ -169,6 +178,16 @@ def segmentation_ambiguity(pixels: DataFrame, band: float = 0.1) -> DataFrame:
     return rows.select("tile_id", (F.col("near") / F.col("n")).alias("ambiguous"), (F.col("entropy") / F.col("n")).alias("mean_entropy"))
 
 
+def variance_of(sd: Column, floor: float = 1e-6) -> Column:
+    """Null without sd: greatest() skips nulls, but a missing source has no variance."""
+    return F.when(sd.isNotNull(), F.greatest(sd * sd, F.lit(floor)))
+
+
+def disagreement_of(p1: Column, v1: Column, p2: Column, v2: Column) -> Column:
+    """Distance of two sources in standard deviations."""
+    return F.abs(p1 - p2) / F.sqrt(v1 + v2)
+
+
 def fuse_sources(summary: DataFrame, zone_fraction: DataFrame, floor: float = 1e-6) -> DataFrame:
     """Inverse-variance mean of forecast and zone segmentation, its deviation and how far the sources disagree.
 
@@ -176,15 +195,12 @@ def fuse_sources(summary: DataFrame, zone_fraction: DataFrame, floor: float = 1e
     """
     seg = zone_fraction.select("zone_id", exact(F.col("fraction")).alias("p2"), exact(F.col("se")).alias("se2"))
     both = summary.select(*CELL, F.col("p").alias("p1"), F.col("sd").alias("sd1")).join(seg, "zone_id", "full_outer")
-    # greatest() skips nulls, but a missing source has no variance.
-    v1, v2 = (F.when(F.col(s).isNotNull(), F.greatest(F.col(s) * F.col(s), F.lit(floor))) for s in ("sd1", "se2"))
+    v1, v2 = (variance_of(F.col(s), floor) for s in ("sd1", "se2"))
     w = 1 / v1 + 1 / v2
     return both.select(
         *CELL,
         F.coalesce((F.col("p1") / v1 + F.col("p2") / v2) / w, "p1", "p2").alias("fused"),
         F.coalesce(F.sqrt(1 / w), F.sqrt(v1), F.sqrt(v2)).alias("fused_sd"),
-        (F.abs(F.col("p1") - F.col("p2")) / F.sqrt(v1 + v2)).alias("disagreement"),
+        disagreement_of(F.col("p1"), v1, F.col("p2"), v2).alias("disagreement"),
         F.when(F.col("p1").isNull(), "segmentation").when(F.col("p2").isNull(), "forecast").otherwise("both").alias("sources"),
     )
-
-

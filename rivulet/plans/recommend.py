@@ -8,23 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions, gating, recommendation, reliability, uncertainty
-from ..sources.scratch import held
-from ..sources.tables import CUT, Tables
+from ..sources.tables import CUT, Tables, is_probability
 
 
 class Plan:
     """Everything that the entry points share, each part declared once. Nothing runs until a result is asked for, unless parts are kept."""
 
     def __init__(self, spark: SparkSession, folder: str, keep: bool = False):
-        """keep: writes the members and features, a few rows for each zone and day, once, for plans that use them many times."""
+        """keep: reads the events once, for plans that use them many times."""
         t = self.tables = Tables(spark, folder)
         if keep:
-            t.forecast_member = held(t.forecast_member)
+            t.read_once()
         self.cell = uncertainty.ensemble_summary(t.forecast_member)
         self.interval = uncertainty.ensemble_interval(t.forecast_member)
-        self.features = uncertainty.zone_features(t.observation)
-        if keep:
-            self.cell, self.features = held(self.cell), held(self.features)
+        self.features = uncertainty.features_of_days(t.daily_means)
 
     @property
     def fused(self) -> DataFrame:
@@ -90,7 +87,13 @@ class Plan:
 
 def recommend(spark: SparkSession, folder: str) -> DataFrame:
     """One recommendation for each zone and day."""
-    return recommendation.recommendation(Plan(spark, folder, keep=True).parts())
+    plan = Plan(spark, folder, keep=True)
+    t = plan.tables
+    members = t.raw_members.withColumn("prob", F.when(is_probability(), F.col("prob")))
+    segmented = uncertainty.segmentation_fraction(t.tile, by_zone=True).select("zone_id", "fraction", "se")
+    by_zone = recommendation.zone_context(t.zone, t.exposure, t.resource).join(segmented, "zone_id", "full_outer")
+    quantile = gating.conformal_quantile(plan.cell, t.outcome, CUT)
+    return recommendation.recommendation_by_cell(members, plan.features, t.action_cost, by_zone, plan.reliability, quantile, CUT)
 
 
 def evaluate(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import exact
+from .scratch import held
+
 # Actions with their fixed cost, loss if it floods and loss if it doesn't.
 ACTIONS = [
     ("evacuate", 40.0, 5.0, 0.0),
@@ -34,6 +37,11 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def outcome_of(peaks: DataFrame) -> DataFrame:
+    """Whether it flooded, and the rounded peak; peaks: the highest known value of each zone and day."""
+    return peaks.select("zone_id", "valid_date", F.when(F.col("highest") >= FLOOD_LEVEL, 1).otherwise(0).alias("flooded"), F.round("highest", 6).alias("peak"))
+
+
 @dataclass
 class Tables:
     """The flood tables over a folder of Parquet tables; each is a plan, nothing runs here."""
@@ -49,11 +57,28 @@ class Tables:
         """event_id, ts, zone_id, sensor, value; ts as a timestamp, which watermarks need."""
         return self.read("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 25).cast("int").alias("zone_id"), F.col("event_type").alias("sensor"), "value")
 
+    @cached_property
+    def by_sensor(self) -> DataFrame:
+        """Number, mean and largest known value of each zone, day and sensor: all that the forecast, its features and the outcome need of the events."""
+        # NaN would be the largest value.
+        known = F.when(~F.isnan("value"), F.col("value"))
+        daily = self.observation.groupBy("zone_id", F.to_date("ts").alias("valid_date"), "sensor")
+        return daily.agg(F.count("*").alias("n_obs"), F.avg("value").alias("mean"), F.max(known).alias("peak"))
+
+    def read_once(self) -> Tables:
+        """Writes by_sensor, for plans that use it many times: the events are read once, the outcome's peaks come from there, too."""
+        self.by_sensor = held(self.by_sensor)
+        self.outcome = outcome_of(self.by_sensor.where("peak is not null").groupBy("zone_id", "valid_date").agg(F.max("peak").alias("highest")))
+        return self
+
     @cached_property
     def raw_members(self) -> DataFrame:
-        daily = self.observation.groupBy("zone_id", F.to_date("ts").alias("valid_date"), F.col("sensor").alias("member"))
-        mean = F.avg("value")
-        return daily.agg(F.round(mean / (mean + 50.0), 6).alias("prob"), F.count("*").alias("n_obs"))
+        return self.by_sensor.select("zone_id", "valid_date", F.col("sensor").alias("member"), F.round(F.col("mean") / (F.col("mean") + 50.0), 6).alias("prob"), "n_obs")
+
+    @cached_property
+    def daily_means(self) -> DataFrame:
+        """zone_id, sensor, valid_date, mean_value; what features are made of."""
+        return self.by_sensor.select("zone_id", "sensor", "valid_date", exact(F.col("mean")).alias("mean_value"))
 
     @cached_property
     def forecast_member(self) -> DataFrame:
@@ -72,8 +97,7 @@ class Tables:
     def outcome(self) -> DataFrame:
         # NaN would be the largest value.
         known = self.observation.where(F.col("value").isNotNull() & ~F.isnan("value"))
-        daily = known.groupBy("zone_id", F.to_date("ts").alias("valid_date"))
-        return daily.agg(F.max(F.when(F.col("value") >= FLOOD_LEVEL, 1).otherwise(0)).alias("flooded"), F.round(F.max("value"), 6).alias("peak"))
+        return outcome_of(known.groupBy("zone_id", F.to_date("ts").alias("valid_date")).agg(F.max("value").alias("highest")))
 
     @cached_property
     def zone(self) -> DataFrame:

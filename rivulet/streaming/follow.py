@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from ..operators.decisions import decide_uncertainty_aware
+from ..operators.decisions import best_at, with_actions
 from ..operators.gating import gate_of
 from .versions import complete as published
 from .versions import remove
@@ -97,15 +97,12 @@ def decide_on(beliefs: DataFrame, actions: DataFrame, act_sd: float = 0.15) -> D
     """
     w = Window.partitionBy("zone_id").orderBy(F.desc("ts"), F.desc("n"))
     newest = beliefs.withColumn("r", F.row_number().over(w)).where("r = 1").withColumn("p", F.round("p", 9)).drop("r")
-    chosen = decide_uncertainty_aware(newest, actions, ["zone_id"])
-    places = F.explode(F.array(*(F.lit(x) for x in PLACES))).alias("place")
-    members = newest.where("n > 0").select("zone_id", "p", "variance", places)
-    at = F.round(F.least(F.greatest(F.col("p") + F.col("place") * F.sqrt("variance"), F.lit(0.0)), F.lit(1.0)), 9)
-    own = decide_uncertainty_aware(members.select("zone_id", "place", at.alias("p")), actions, ["zone_id", "place"]).select("zone_id", F.col("action").alias("own"))
-    agreed = own.join(chosen, "zone_id").groupBy("zone_id").agg(F.count("*").alias("members"), F.round(F.avg((F.col("own") == F.col("action")).cast("double")), 9).alias("stability"))
-    rows = newest.select("zone_id", "ts", "n", "p", "variance").join(chosen, "zone_id").join(agreed, "zone_id", "left")
-    gate = gate_of(F.coalesce("stability", F.lit(0.0)), F.sqrt("variance"), F.coalesce("members", F.lit(0)), act_sd=act_sd)
-    return rows.withColumn("gate", gate).drop("members", "stability")
+    at = lambda place: F.round(F.least(F.greatest(F.col("p") + place * F.sqrt("variance"), F.lit(0.0)), F.lit(1.0)), 9)
+    rows = with_actions(newest.select("zone_id", "ts", "n", "p", "variance"), actions).withColumn("best", best_at(F.col("p")))
+    agreed = sum(((best_at(at(F.lit(x)))["action"] == F.col("best.action")).cast("double") for x in PLACES), F.lit(0.0)) / len(PLACES)
+    seen = F.col("n") > 0
+    gate = gate_of(F.when(seen, F.round(agreed, 9)).otherwise(0.0), F.sqrt("variance"), F.when(seen, len(PLACES)).otherwise(0), act_sd=act_sd)
+    return rows.select("zone_id", "ts", "n", "p", "variance", F.col("best.action").alias("action"), F.col("best.loss").alias("loss"), gate.alias("gate"))
 
 
 def stream_decide(obs: DataFrame, actions: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, delay: str | None = "1 hour"):

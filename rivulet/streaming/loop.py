@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.decisions import ranked_actions
-from ..operators.recommendation import rationale
+from ..operators.decisions import next_best, with_actions
+from ..operators.recommendation import flags_of, label_of, rationale, reason_of
 from ..operators.reliability import bin_of
 from ..operators.uncertainty import features_of_days
 from .follow import decide_on, stream_dedup
@@ -104,13 +104,9 @@ def records(daily: DataFrame, beliefs: DataFrame, decided: DataFrame, actions: D
     days = daily.where("valid_date is not null and n > 0").select("zone_id", "sensor", "valid_date", F.round(F.col("total") / F.col("n"), 9).alias("mean_value"))
     why = rationale(features_of_days(days), k).join(beliefs.select("zone_id", "valid_date"), ["zone_id", "valid_date"], "left_semi")
     why = why.groupBy("zone_id").agg(F.sort_array(F.collect_list(F.struct("rank", "sensor", "distance"))).alias("rationale"))
-    ranked = ranked_actions(decided.select("zone_id", F.round("p", 9).alias("p")), actions, ["zone_id"])
-    best = Window.partitionBy("zone_id")
-    others = ranked.withColumn("best", F.min("loss").over(best)).where(F.col("rank").between(2, k + 1))
-    others = others.groupBy("zone_id").agg(F.sort_array(F.collect_list(F.struct("rank", "action", (F.col("loss") - F.col("best")).alias("extra_loss")))).alias("alternatives"))
     bad = static["reliability"].where(F.abs(F.col("mean_p") - F.col("rate")) > gap).select(F.col("bin").alias("_bin"), F.lit(True).alias("_bad"))
     rows = (
-        rows.join(why, "zone_id", "left").join(others, "zone_id", "left")
+        with_actions(rows, actions).withColumn("alternatives", next_best(F.round("p", 9), k)).join(why, "zone_id", "left")
         .join(static["context"].select("zone_id", "zone_name", "district_name", "population", "capacity", "assets"), "zone_id", "left")
         .join(static["segmentation"].select("zone_id", "fraction", "se"), "zone_id", "left")
         .join(F.broadcast(bad), "_bin", "left")
@@ -123,18 +119,13 @@ def records(daily: DataFrame, beliefs: DataFrame, decided: DataFrame, actions: D
         F.coalesce("_bad", F.lit(False)),
         F.lit(False) if alarm is None else alarm,
     ]
-    rows = rows.withColumn("limitations", F.array_compact(F.array(*(F.when(t, name) for t, name in zip(tests, STREAM_FLAGS, strict=True)))))
+    rows = rows.withColumn("limitations", flags_of(tests, STREAM_FLAGS))
     lo, hi = F.greatest(F.col("p") - z * sd, F.lit(0.0)), F.least(F.col("p") + z * sd, F.lit(1.0))
-    reason = (
-        F.when(F.col("gate") != "act", F.concat(F.lit("gate is "), "gate"))
-        .when(F.size("limitations") >= 2, "several limitations")
-        .when((F.col("action") == "evacuate") & (lo < 0.5), "evacuation on an uncertain belief")
-    )
-    label = F.when(F.col("gate") == "act", "high").when(F.col("gate") == "verify", "medium").otherwise("low")
+    reason = reason_of(F.size("limitations"), lo < 0.5, "evacuation on an uncertain belief")
     record = F.struct(
         F.struct("p", (F.col("p") * F.coalesce("population", F.lit(0.0))).alias("expected_affected"), (F.col("p") - F.col("p_before")).alias("change")).alias("situation"),
         "rationale",
-        F.struct(sd.alias("sd"), lo.alias("lo"), hi.alias("hi"), label.alias("label")).alias("confidence"),
+        F.struct(sd.alias("sd"), lo.alias("lo"), hi.alias("hi"), label_of(F.col("gate")).alias("label")).alias("confidence"),
         "alternatives",
         "limitations",
         F.struct(reason.isNotNull().alias("needs_human"), F.coalesce(reason, F.lit("none")).alias("reason")).alias("verify"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions.numbers import POISSON_ONE
 from rivulet.operators import communication, decisions, gating, recommendation, reliability, uncertainty
+from rivulet.plans.recommend import Plan, recommend
 from rivulet.sources.tables import ACTIONS, Tables
 
 DAY = dt.date(2024, 1, 10)
@@ -157,6 +158,50 @@ def test_ties_go_by_name(spark):
     assert decisions.decide_uncertainty_aware(spark.createDataFrame([(1, DAY, 0.3)], CELL), tied).first().action == "a"
 
 
+def test_actions_are_chosen_in_their_rows(spark, actions):
+    cells = spark.createDataFrame([(1, DAY, 0.45), (2, DAY, None)], CELL)
+    chosen = decisions.decide_uncertainty_aware(cells, actions)
+    chosen.collect()
+    # The only exchanges are those of the one row of actions.
+    assert "hashpartitioning" not in chosen._jdf.queryExecution().executedPlan().toString()
+    # Unknown p: no loss, and the action by name.
+    assert (by_zone(chosen)[2].action, by_zone(chosen)[2].loss) == ("evacuate", None)
+    others = recommendation.alternatives(cells.where("zone_id = 1"), actions)
+    ranked = sorted((r.loss, r.action) for r in decisions.expected_loss(cells.where("zone_id = 1"), actions).collect())
+    assert [(r.rank, r.action, r.extra_loss) for r in others.orderBy("rank").collect()] == [(i, a, pytest.approx(x - ranked[0][0])) for i, (x, a) in enumerate(ranked[1:3], 2)]
+    assert decisions.decide_uncertainty_aware(cells, actions.limit(0)).count() == 0 and recommendation.alternatives(cells, actions.where("action = 'none'")).count() == 0
+
+
+def near(a, b):
+    if isinstance(a, (list, tuple)) and isinstance(b, (list, tuple)):
+        return len(a) == len(b) and all(map(near, a, b))
+    return a == b or isinstance(a, float) and isinstance(b, float) and a == pytest.approx(b, abs=1e-8)
+
+
+def test_record_by_cell_equals_the_joined_parts(spark, sf_dir):
+    plan = Plan(spark, sf_dir, keep=True)
+    want = {(r.zone_id, r.valid_date): r for r in recommendation.recommendation(plan.parts()).collect()}
+    found = recommend(spark, sf_dir)
+    assert "events.parquet" not in found._jdf.queryExecution().optimizedPlan().toString() and "events" not in "".join(found.inputFiles())
+    got = {(r.zone_id, r.valid_date): r for r in found.collect()}
+    assert got.keys() == want.keys() and found.columns == ["zone_id", "valid_date", "action", "gate", "record"]
+    assert [k for k in got if not near(got[k], want[k])] == []
+
+
+def test_record_by_cell_with_removed_members(spark, actions, zone):
+    members = spark.createDataFrame([(1, DAY, "a", 0.4, 5), (1, DAY, "b", None, 7), (2, DAY, "a", None, 3)], MEMBER)
+    features = spark.createDataFrame([], "zone_id int, valid_date date, sensor string, mean_value double, week_mean double")
+    empty = {"exposure": "zone_id int, asset_id long, population double", "resource": "zone_id int, resource_id long, capacity double", "fraction": "zone_id int, fraction double, se double", "bins": "bin int, n long, mean_p double, rate double"}
+    of = {name: spark.createDataFrame([], kind) for name, kind in empty.items()}
+    by_zone_table = recommendation.zone_context(zone, of["exposure"], of["resource"]).join(of["fraction"], "zone_id", "full_outer")
+    quantile = spark.createDataFrame([(None,)], "q int")
+    got = recommendation.recommendation_by_cell(members, features, actions, by_zone_table, of["bins"], quantile, DAY.isoformat()).collect()
+    # A cell of removed members alone has no record; one member of one is stable, but too few.
+    assert [(r.zone_id, r.gate, r.action) for r in got] == [(1, "abstain", None)]
+    assert got[0].record.limitations == ["few_members", "few_observations", "no_segmentation", "probabilities_removed"] and got[0].record.rationale is None
+    assert got[0].record.situation.p == 0.4 and got[0].record.verify.reason == "gate is abstain" and got[0].record.context.population == 0.0
+
+
 def test_propagation(spark, zone):
     cells = spark.createDataFrame([(1, DAY, 0.5), (2, DAY, 0.5), (3, DAY, 1.0)], CELL)
     exposure = spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)], "zone_id int, asset_id long, population double")

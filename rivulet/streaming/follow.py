@@ -123,14 +123,27 @@ def follow(stream: DataFrame, actions: DataFrame, folder: str, delay: str = "1 h
     return stream_decide(stream, actions, publish_latest(f"{folder}/latest"), f"{folder}/checkpoint", delay)
 
 
-def stream_outcome_join(forecasts: DataFrame, outcomes: DataFrame, delay: str | None = "1 hour", within: str = "1 hour") -> DataFrame:
-    """Forecast events with the outcome events of their zone in the next hour. Both watermarks bound the state."""
+def near_pairs(forecasts: DataFrame, outcomes: DataFrame, delay: str | None, within: str, how: str) -> DataFrame:
+    """Forecasts joined with the outcomes of their zone that come at most `within` after them.
+
+    The key is zone and slot of time, as long as a forecast waits: a forecast stands in its own slot, an outcome in its
+    own and the one before. So a row meets those of two slots of its zone, not all that the state of the zone holds, and
+    a zone is dealt out by its slots; each pair meets in one slot, the forecast's.
+    """
+    slot = lambda ts: F.floor(F.unix_micros(ts) / F.lit(pd.Timedelta(within) // pd.Timedelta(microseconds=1)))
     f = forecasts.select(F.col("event_id").alias("forecast_id"), F.col("zone_id"), F.col("ts").alias("forecast_ts"), F.col("value").alias("forecast_value"))
     o = outcomes.select(F.col("event_id").alias("outcome_id"), F.col("zone_id").alias("outcome_zone"), F.col("ts").alias("outcome_ts"), F.col("value").alias("outcome_value"))
     if delay:
         f, o = f.withWatermark("forecast_ts", delay), o.withWatermark("outcome_ts", delay)
-    near = F.expr(f"zone_id = outcome_zone and outcome_ts > forecast_ts and outcome_ts <= forecast_ts + interval {within}")
-    return f.join(o, near).drop("outcome_zone")
+    f, own = f.withColumn("slot", slot("forecast_ts")), slot("outcome_ts")
+    o = o.withColumn("outcome_slot", F.explode(F.array(own, own - 1)))
+    near = F.expr(f"zone_id = outcome_zone and slot = outcome_slot and outcome_ts > forecast_ts and outcome_ts <= forecast_ts + interval {within}")
+    return f.join(o, near, how).drop("outcome_zone", "slot", "outcome_slot")
+
+
+def stream_outcome_join(forecasts: DataFrame, outcomes: DataFrame, delay: str | None = "1 hour", within: str = "1 hour") -> DataFrame:
+    """Forecast events with the outcome events of their zone in the next hour. Both watermarks bound the state."""
+    return near_pairs(forecasts, outcomes, delay, within, "inner")
 
 
 def stream_outcome_status(forecasts: DataFrame, outcomes: DataFrame, delay: str | None = "1 hour", within: str = "1 hour") -> DataFrame:
@@ -138,12 +151,7 @@ def stream_outcome_status(forecasts: DataFrame, outcomes: DataFrame, delay: str
 
     A missing one is told once the watermark has passed the time in which an outcome could come.
     """
-    f = forecasts.select(F.col("event_id").alias("forecast_id"), F.col("zone_id"), F.col("ts").alias("forecast_ts"), F.col("value").alias("forecast_value"))
-    o = outcomes.select(F.col("event_id").alias("outcome_id"), F.col("zone_id").alias("outcome_zone"), F.col("ts").alias("outcome_ts"), F.col("value").alias("outcome_value"))
-    if delay:
-        f, o = f.withWatermark("forecast_ts", delay), o.withWatermark("outcome_ts", delay)
-    near = F.expr(f"zone_id = outcome_zone and outcome_ts > forecast_ts and outcome_ts <= forecast_ts + interval {within}")
-    return f.join(o, near, "left_outer").drop("outcome_zone").withColumn("status", F.when(F.col("outcome_id").isNull(), "missing").otherwise("matched"))
+    return near_pairs(forecasts, outcomes, delay, within, "left_outer").withColumn("status", F.when(F.col("outcome_id").isNull(), "missing").otherwise("matched"))
 
 
 def stream_drift(joined: DataFrame, batch_brier: float, alarm_ratio: float = 1.5, level: float = 120.0, window: str = "1 day") -> DataFrame:

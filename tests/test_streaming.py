@@ -115,3 +115,23 @@ def test_following_counts_replays_once_and_abstains(spark, tmp_path):
     assert len(follow.published(spark, str(tmp_path / "out/latest"))) <= 2
     unsure = spark.createDataFrame([(5, at(0), 0, 0.5, 1 / 12)], follow.BELIEF)
     assert follow.decide_on(unsure, actions).first().gate == "abstain"
+
+
+@pytest.mark.parametrize("how", ["join", "status"])
+def test_pairs_of_slots_like_a_plain_search(spark, tmp_path, how):
+    """Every pair once, also over the edge of a slot; the join's key has the slot, so a row doesn't meet all of its zone's state."""
+    f = [(i, at(i / 4), i % 2, "f", 1.0) for i in range(60)] + [(99, at(-1.25), 0, "f", 1.0)]
+    o = [(1000 + i, at(i / 3), i % 2, "o", 1.0) for i in range(45)] + [(1099, at(-0.25), 0, "o", 1.0)]
+    write(spark, str(tmp_path / "f"), [sorted(f, key=lambda r: r[1])[:30], sorted(f, key=lambda r: r[1])[30:], [(9998, at(90), 7, "f", 1.0)]])
+    write(spark, str(tmp_path / "o"), [sorted(o, key=lambda r: r[1])[:23], sorted(o, key=lambda r: r[1])[23:], [(9999, at(90), 8, "o", 1.0)]])
+    streams = [follow.read_observations(spark, str(tmp_path / x)) for x in "fo"]
+    stream = {"join": follow.stream_outcome_join, "status": follow.stream_outcome_status}[how](*streams, delay="12 hours")
+    rows = []
+    q = stream.writeStream.outputMode("append").foreachBatch(lambda b, _: rows.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    plan = q._jsq.explainInternal(False)
+    assert "slot" in plan[plan.index("StreamingSymmetricHashJoin") :].splitlines()[0]
+    near = {i: [j for j, u, y, *_ in o if y == z and t < u <= t + dt.timedelta(hours=1)] for i, t, z, *_ in f}
+    want = [(i, j) for i, own in near.items() for j in own or ([None] if how == "status" else [])]
+    got = [(r.forecast_id, r.outcome_id) for r in rows if r.forecast_id < 9998]
+    assert sorted(got, key=str) == sorted(want, key=str) and (99, 1099) in got

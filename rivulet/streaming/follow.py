@@ -105,17 +105,44 @@ def decide_on(beliefs: DataFrame, actions: DataFrame, act_sd: float = 0.15) -> D
     return rows.select("zone_id", "ts", "n", "p", "variance", F.col("best.action").alias("action"), F.col("best.loss").alias("loss"), gate.alias("gate"))
 
 
+COUNTS = "zone_id int, wet long, n long, ts timestamp, fresh boolean"
+
+
+def add_beliefs(folder: str, level: float = 120.0, kept_batches: int = 2) -> Callable[[DataFrame, int], DataFrame]:
+    """Adds a batch's observations to the counts of each zone and gives the beliefs of the zones that it has rows of, as stream_belief.
+
+    Sums are partial before they are dealt by zone, so no zone's rows go to one task or to Python. Counts are
+    written to a folder of the batch's id from its predecessor's, so a replay gives the same.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark, now = batch.sparkSession, f"{folder}/batch={batch_id}"
+        before = [i for i in published(spark, folder) if i < batch_id]
+        known = F.col("value").isNotNull() & ~F.isnan("value")
+        rows = batch.groupBy("zone_id").agg(F.count_if(known & (F.col("value") >= level)).alias("wet"), F.count_if(known).alias("n"), F.max("ts").alias("ts")).withColumn("fresh", F.lit(True))
+        if before:
+            rows = rows.unionByName(spark.read.schema(COUNTS).parquet(f"{folder}/batch={max(before)}").withColumn("fresh", F.lit(False)))
+        rows.groupBy("zone_id").agg(F.sum("wet").alias("wet"), F.sum("n").alias("n"), F.max("ts").alias("ts"), F.max("fresh").alias("fresh")).write.mode("overwrite").parquet(now)
+        remove(spark, [f"{folder}/batch={i}" for i in before[: len(before) + 1 - kept_batches]])
+        a, b = F.col("wet") + F.lit(1.0), F.col("n") - F.col("wet") + F.lit(1.0)
+        return spark.read.schema(COUNTS).parquet(now).where("fresh").select("zone_id", "ts", "n", (a / (a + b)).alias("p"), (a * b / ((a + b) * (a + b) * (a + b + 1))).alias("variance"))
+
+    return add
+
+
 def stream_decide(obs: DataFrame, actions: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, delay: str | None = "1 hour"):
     """Starts dedup -> belief -> decision -> sink. Ranking isn't allowed on streams, so it happens for each batch.
 
-    A replayed observation counts once within the watermark's delay; None leaves duplicates in.
+    A replayed observation counts once within the watermark's delay; None leaves duplicates in. The
+    zones' counts lie beside the checkpoint.
     """
-    beliefs, mode = (stream_belief(stream_dedup(obs, delay), mode="append"), "append") if delay else (stream_belief(obs), "update")
+    beliefs = add_beliefs(f"{checkpoint}-counts")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        sink(decide_on(batch, actions), batch_id)
+        sink(decide_on(beliefs(batch, batch_id), actions), batch_id)
 
-    return beliefs.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = (stream_dedup(obs, delay) if delay else obs).select("zone_id", "ts", "value")
+    return rows.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def follow(stream: DataFrame, actions: DataFrame, folder: str, delay: str = "1 hour"):

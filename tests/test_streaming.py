@@ -135,3 +135,22 @@ def test_pairs_of_slots_like_a_plain_search(spark, tmp_path, how):
     want = [(i, j) for i, own in near.items() for j in own or ([None] if how == "status" else [])]
     got = [(r.forecast_id, r.outcome_id) for r in rows if r.forecast_id < 9998]
     assert sorted(got, key=str) == sorted(want, key=str) and (99, 1099) in got
+
+
+def test_decisions_count_on_the_jvm_and_replay(spark, tmp_path):
+    """No zone's rows go to one Python task; nulls and NaN count in nothing; a replayed batch adds nothing; an unseen zone isn't told again."""
+    rows = [(1, at(0), 1, "a", 130.0), (2, at(0.1), 1, "a", float("nan")), (3, at(0.2), 1, "a", None), (4, at(0.3), 1, "a", 10.0), (5, at(0.4), 2, "a", None)]
+    write(spark, str(tmp_path / "in"), [rows])
+    actions = spark.createDataFrame(ACTIONS, "action string, fixed_cost double, loss_if_flood double, loss_if_dry double")
+    q = follow.follow(follow.read_observations(spark, str(tmp_path / "in")), actions, str(tmp_path / "out"))
+    q.awaitTermination()
+    plan = q._jsq.explainInternal(False)
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    got = {r.zone_id: r for r in follow.latest(spark, str(tmp_path / "out/latest")).collect()}
+    assert (got[1].n, got[1].p, got[1].ts) == (2, 0.5, at(0.3)) and (got[2].n, got[2].gate) == (0, "abstain")
+    add = follow.add_beliefs(str(tmp_path / "counts"))
+    batch = lambda own: spark.createDataFrame(own, follow.OBSERVATION)
+    add(batch(rows), 0)
+    for _ in range(2):
+        assert [(r.zone_id, r.n, r.p) for r in add(batch([(9, at(5), 1, "a", 140.0)]), 1).collect()] == [(1, 3, pytest.approx(3 / 5))]
+    assert add(batch([]), 2).count() == 0 and follow.published(spark, str(tmp_path / "counts")) == [1, 2]

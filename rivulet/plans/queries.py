@@ -16,7 +16,7 @@ from ..operators import communication, decisions, gating, quantiles, recommendat
 from ..sources import daily
 from ..sources.scratch import held, scratch
 from ..sources.tables import ACTIONS, CUT, Tables
-from ..streaming import follow, ledger, loop
+from ..streaming import follow, ledger, loop, slots
 from ..streaming.versions import Versions
 from .oracle import oracle_sql
 from .recommend import Plan, evaluate, recommend
@@ -220,19 +220,18 @@ def h4(spark: SparkSession, obs: DataFrame) -> DataFrame:
     return rows.withColumns({"p": out(F.col("p")), "variance": small(F.col("variance")), "loss": out(F.col("loss"))})
 
 
-def view_and_error(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Forecasts and outcomes of one stream, each once and with the heartbeat; their watermarks are set."""
-    return tuple(once(obs.where(F.col("sensor").isin(sensor, HEARTBEAT))) for sensor in ("view", "error"))
+def both(obs: DataFrame) -> DataFrame:
+    """Forecasts and outcomes in one stream, each once and with the heartbeat; its watermark is set."""
+    return once(obs.where(F.col("sensor").isin("view", "error", HEARTBEAT))).withColumn("is_forecast", F.col("sensor") == "view")
 
 
 def h5(spark: SparkSession, obs: DataFrame) -> DataFrame:
-    return drained(follow.stream_outcome_join(*view_and_error(obs), delay=None)).select("forecast_id", "outcome_id", "zone_id")
+    return drained(slots.stream_pairs(both(obs)).select("forecast_id", "outcome_id", "zone_id"))
 
 
 def h5_status(spark: SparkSession, obs: DataFrame) -> DataFrame:
-    rows = drained(follow.stream_outcome_status(*view_and_error(obs), delay=None)).where("zone_id >= 0")
     # -1: no outcome.
-    return rows.select("forecast_id", F.coalesce("outcome_id", F.lit(-1)).cast("long").alias("outcome_id"), "zone_id", "status")
+    return drained(slots.stream_status(both(obs)).where("zone_id >= 0").select("forecast_id", F.coalesce("outcome_id", F.lit(-1)).cast("long").alias("outcome_id"), "zone_id", "status"))
 
 
 def h5_ledger(spark: SparkSession, obs: DataFrame) -> DataFrame:
@@ -247,7 +246,7 @@ def batch_brier(plan: Plan) -> float:
 
 
 def drift_of(obs: DataFrame, batch: float) -> DataFrame:
-    return follow.stream_drift(follow.stream_outcome_join(*view_and_error(obs), delay=None), batch)
+    return follow.stream_drift(follow.stream_outcome_join(*(once(obs.where(F.col("sensor").isin(s, HEARTBEAT))) for s in ("view", "error")), delay=None), batch)
 
 
 def h6(spark: SparkSession, folder: str) -> DataFrame:

@@ -154,3 +154,38 @@ def test_decisions_count_on_the_jvm_and_replay(spark, tmp_path):
     for _ in range(2):
         assert [(r.zone_id, r.n, r.p) for r in add(batch([(9, at(5), 1, "a", 140.0)]), 1).collect()] == [(1, 3, pytest.approx(3 / 5))]
     assert add(batch([]), 2).count() == 0 and follow.published(spark, str(tmp_path / "counts")) == [1, 2]
+
+
+def slot_events(spark, folder, batches):
+    """Forecasts ("f") and outcomes ("o") of one stream with its watermark, as slots take them."""
+    write(spark, folder, batches)
+    return follow.read_observations(spark, folder).withWatermark("ts", "12 hours").withColumn("is_forecast", F.col("sensor") == "f")
+
+
+def mixed_events():
+    """Equal times, edges of slots, exactly an hour between, null and NaN values, no zone."""
+    f = [(i, at(i / 4), i % 2, "f", [150.0, 20.0, None, 75.0][i % 4]) for i in range(60)] + [(99, at(-1.25), 0, "f", 1.0), (98, at(3), None, "f", 1.0), (97, at(30), 0, "f", float("nan"))]
+    o = [(1000 + i, at(i / 3), i % 2, "o", [130.0, 10.0, 125.0, None][i % 4]) for i in range(45)] + [(1099, at(-0.25), 0, "o", 1.0), (1098, at(3.5), None, "o", 1.0), (1097, at(30.5), 0, "o", 10.0)]
+    copies = [(i + 5000 * k, *rest) for k in range(3) for i, *rest in f + o]
+    rows = sorted(copies, key=lambda r: r[1])
+    return rows, [rows[: len(rows) // 2], rows[len(rows) // 2 :], [(99_999, at(99), 7, "o", 1.0)]]
+
+
+def plain_pairs(rows):
+    f, o = ([r for r in rows if r[3] == kind and r[2] is not None] for kind in "fo")
+    return [(x, [y for y in o if y[2] == x[2] and x[1] < y[1] <= x[1] + dt.timedelta(hours=1)]) for x in f]
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_pairs_from_rows_of_slots(spark, tmp_path, missing):
+    """Every pair once, without a stream-stream join, whose state is looked up for each pair that could be."""
+    from rivulet.streaming import slots
+
+    rows, batches = mixed_events()
+    events = slot_events(spark, str(tmp_path / "in"), batches)
+    for salts in (1, 3):
+        stream = slots.stream_status(events, salts=salts) if missing else slots.stream_pairs(events, salts=salts)
+        out, dropped = drain(stream, str(tmp_path / f"c{salts}"))
+        got = [(r.forecast_id, r.outcome_id) for _, own in out for r in own]
+        want = [(x[0], y) for x, own in plain_pairs(rows) for y in [z[0] for z in own] or ([None] if missing else [])]
+        assert dropped == 0 and sorted(got, key=str) == sorted(want, key=str)

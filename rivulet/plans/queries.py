@@ -246,7 +246,7 @@ def batch_brier(plan: Plan) -> float:
 
 
 def drift_of(obs: DataFrame, batch: float) -> DataFrame:
-    return follow.stream_drift(follow.stream_outcome_join(*(once(obs.where(F.col("sensor").isin(s, HEARTBEAT))) for s in ("view", "error")), delay=None), batch)
+    return slots.stream_drift(both(obs), batch)
 
 
 def h6(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A slot is as long as a forecast waits (`within`). One streaming aggregate gathers what meets in a slot, on the JVM, and
 tells it once the watermark has passed the slot; a stream-stream join would look its state up row by row, for each
-pair that could be. Pairs are then opened from the row.
+pair that could be. Pairs are then opened from the row, and sums over pairs come from running sums, without a pair.
 
 All take one stream of both kinds, with its watermark: event_id, zone_id, ts, value, is_forecast. Rows without a zone
 or a time take no part. A row holds what a zone has in two slots; salts spread the forecasts of a fuller one over several
@@ -51,3 +51,51 @@ def stream_pairs(events: DataFrame, within: str = "1 hour", missing: bool = Fals
 def stream_status(events: DataFrame, within: str = "1 hour", salts: int = 1) -> DataFrame:
     """The rows of follow.stream_outcome_status."""
     return stream_pairs(events, within, True, salts).withColumn("status", F.when(F.col("outcome_id").isNull(), "missing").otherwise("matched"))
+
+
+def stream_drift(events: DataFrame, batch_brier: float, alarm_ratio: float = 1.5, level: float = 120.0, window: str = "1 day", within: str = "1 hour", salts: int = 1) -> DataFrame:
+    """The rows of follow.stream_drift over all pairs, without making a pair: the work grows with the events, not with the pairs.
+
+    The error of an outcome y against the forecasts p that it follows is sum(p * p) - 2 * y * sum(p) + y * y * n, so each
+    outcome needs the running sums of the forecasts that wait at its time: a forecast enters them at its time and leaves
+    `within` later. An outcome stands in the second half of its window only. `window` is a multiple of `within`.
+    A pair with an unknown value counts in n, but has no error.
+    """
+    if pd.Timedelta(window) % pd.Timedelta(within):
+        raise ValueError(f"{window} is no multiple of {within}")
+    rows, second = in_slots(events, within)
+    rows = dealt(rows.withColumn("second", second).where(F.col("is_forecast") | F.col("second")), salts)
+    p = F.col("value") / (F.col("value") + 50.0)
+    x = F.when(F.col("is_forecast"), p).otherwise(F.when(F.col("value").isNotNull(), (F.col("value") >= level).cast("double")))
+    before = F.col("is_forecast") & ~F.col("second")
+    # At one time the outcome comes first: it follows none that enters then, and one that leaves then it still does.
+    step = F.when(~F.col("is_forecast"), 0).when(before, -1).otherwise(1)
+    at = F.when(before, F.col("ts") + F.expr(f"interval {within}")).otherwise(F.col("ts"))
+    rows = rows.select("zone_id", "w", "salt", F.struct(at.alias("at"), F.col("is_forecast").alias("later"), step.alias("step"), x.alias("x")).alias("e"))
+    waiting = F.col("e.step") == -1
+    known, nan = F.col("e.x").isNotNull() & ~F.isnan("e.x"), F.isnan("e.x")
+    total = lambda y: F.coalesce(F.sum(F.when(waiting & known, y)), F.lit(0.0))
+    held = rows.groupBy("zone_id", "w", "salt").agg(
+        F.collect_list("e").alias("events"), F.count_if(waiting).alias("n"), F.count_if(waiting & known).alias("k"), F.count_if(waiting & nan).alias("nan"),
+        total(F.col("e.x")).alias("p"), total(F.col("e.x") * F.col("e.x")).alias("q"),
+    )
+
+    def add(a: Column, e: Column) -> Column:
+        x, outcome = e["x"], e["step"] == 0
+        good, step = x.isNotNull() & ~F.isnan(x), e["step"]
+        told = outcome & x.isNotNull()
+        error = F.when(a["nan"] > 0, F.lit(float("nan"))).otherwise(a["q"] - 2 * x * a["p"] + x * a["k"])
+        moved = lambda name, y: (a[name] + F.when(~outcome & good, step * y).otherwise(F.lit(0.0))).alias(name)
+        count = lambda name, which: (a[name] + F.when(which, step.cast("long")).otherwise(F.lit(0).cast("long"))).alias(name)
+        return F.struct(
+            count("n", ~outcome), count("k", ~outcome & good), count("nan", ~outcome & F.coalesce(F.isnan(x), F.lit(False))), moved("p", x), moved("q", x * x),
+            (a["pairs"] + F.when(outcome, a["n"]).otherwise(F.lit(0).cast("long"))).alias("pairs"),
+            (a["told"] + F.when(told, a["k"] + a["nan"]).otherwise(F.lit(0).cast("long"))).alias("told"),
+            (a["error"] + F.when(told & (a["k"] + a["nan"] > 0), error).otherwise(F.lit(0.0))).alias("error"),
+        )
+
+    zero = F.lit(0).cast("long")
+    start = F.struct("n", "k", "nan", "p", "q", zero.alias("pairs"), zero.alias("told"), F.lit(0.0).alias("error"))
+    sums = held.select("w", F.aggregate(F.sort_array("events"), start, add).alias("s")).where("s.pairs > 0")
+    by = sums.groupBy(F.window(F.window_time("w"), window).alias("day")).agg(F.sum("s.pairs").alias("n"), (F.sum("s.error") / F.nullif(F.sum("s.told"), F.lit(0))).alias("brier"))
+    return by.select(F.col("day.start").alias("start"), "n", "brier", (F.col("brier") > alarm_ratio * batch_brier).alias("alarm"))

@@ -189,3 +189,28 @@ def test_pairs_from_rows_of_slots(spark, tmp_path, missing):
         got = [(r.forecast_id, r.outcome_id) for _, own in out for r in own]
         want = [(x[0], y) for x, own in plain_pairs(rows) for y in [z[0] for z in own] or ([None] if missing else [])]
         assert dropped == 0 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_drift_from_running_sums(spark, tmp_path):
+    """The drift over all pairs as a plain loop has it; its plan has no join, so no pair is made."""
+    from rivulet.streaming import slots
+
+    rows, batches = mixed_events()
+    events = slot_events(spark, str(tmp_path / "in"), batches)
+    want = {}
+    for x, own in plain_pairs(rows):
+        for y in own:
+            n, errors = want.setdefault(y[1].date(), [0, []])
+            want[y[1].date()][0] = n + 1
+            if x[4] is not None and y[4] is not None:
+                errors.append((x[4] / (x[4] + 50) - (y[4] >= 120)) ** 2)
+    for salts in (1, 3):
+        stream = slots.stream_drift(events, 0.1, salts=salts)
+        out, dropped = drain(stream, str(tmp_path / f"c{salts}"))
+        got = {r.start.date(): r for _, own in out for r in own}
+        assert dropped == 0 and set(got) == set(want)
+        for day, (n, errors) in want.items():
+            assert got[day].n == n and got[day].brier == pytest.approx(sum(errors) / len(errors), nan_ok=True)
+    assert "Join" not in stream._jdf.queryExecution().analyzed().toString()
+    with pytest.raises(ValueError):
+        slots.stream_drift(events, 0.1, window="90 minutes")

@@ -220,3 +220,52 @@ def test_threshold_is_corrected_by_held_out_tokens():
     assert judge.learnt(strings) == formats.learnt(strings).tolist() == judge.learnt(strings)
     assert not fitted([["abc123"] * 2], ordinary).learnt(ordinary).any() and not fitted([labelled], []).learnt(["abcdef"]).any()
     assert KINDS == ("assign", "access", "hex")
+
+
+def test_every_value_and_token_counts(spark):
+    """More values and tokens than any sample held, several tokens a text, copies once; a bounded tree has the counts of all, and each string's steps count."""
+    from rivulet.llm.secrets import all_strings, automaton, counted, gains_aside, merged, prefix_tree, unlike, Formats
+
+    rng = np.random.default_rng(5)
+    values, words = sorted(set(credentials("mixed", 2500, rng))), sorted({"".join(rng.choice(list("abcdefgh"), 9)) for _ in range(3000)})
+    texts = [f"token = {v} " + " ".join(words[6 * (i % 500) : 6 * (i % 500) + 6]) for i, v in enumerate(values)] + [f"saw {values[0]} and {words[0]}", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    strings = all_strings(frame).persist()
+    code = lambda x: "".join(str(int(CLASSES[ord(c)])) for c in x)
+    rows = strings.collect()
+    of = lambda kind: [r for r in rows if r.kind == kind]
+    assert sum(r.n for r in of(0)) == len(values) and sum(r.n for r in of(3)) == len(words) and not of(1)
+    assert {r.code for r in of(3)} == {code(w) for w in words}
+    for most, depth in ((10**6, 128), (40, 128), (10**6, 3)):
+        children, counts = prefix_tree(strings, 0, most, depth)
+        todo = [(0, "")]
+        while todo:
+            node, prefix = todo.pop()
+            own = [c for c in map(code, values) if c.startswith(prefix)]
+            want = [sum(c[len(prefix) : len(prefix) + 1] == x for c in own) for x in [*map(str, range(N_CLASSES)), ""]]
+            assert len(prefix) > 3 or counts[node].tolist() == want
+            todo += [(x, prefix + str(c)) for c, x in children[node].items() if len(prefix) < 3]
+        assert counts[0].sum() == len(values) and (most > 40 or len(counts) <= 40 * (N_CLASSES + 1))
+    fit = [r for r in rows if not r.aside]
+    tables = {k: merged(*prefix_tree(strings, k, 200, 128))[0] for k in (0, 3)}
+    made = counted(strings.where("not aside"), tables)
+    for k in (0, 3):
+        want = np.zeros_like(made[k])
+        for r in fit:
+            if r.kind == k:
+                state = 0
+                for c in map(int, r.code):
+                    want[state, c] += r.n
+                    state = tables[k][state, c]
+                want[state, END] += r.n
+        assert (made[k] == want).all()
+    formats = Formats([automaton(tables[0], made[0])], automaton(tables[3], made[3]), 0.0)
+    assert sum(n for _, n in gains_aside(strings, formats)) == sum(r.n for r in rows if r.aside)
+    kept = sum(r.n for r in unlike(strings, formats).collect())
+    assert kept == sum(r.n for r in fit if r.kind == 3 and formats.gains_of(*encode_digits(r.code))[0] < 0)
+
+
+def encode_digits(written):
+    from rivulet.llm.secrets import decode
+
+    return decode([written])

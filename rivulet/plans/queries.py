@@ -119,6 +119,8 @@ QUERIES["f8_recommendation_json"] = lambda spark, folder: recommendation.as_json
 #: Spans of time that the events are fed in, files of each at least, and rows of a file (more make more files).
 SPANS, FILES, FILE_ROWS = 3, 4, 1_000_000
 HEARTBEAT = "heartbeat"
+#: Stores of state that a stream may have on a session of fewer cores.
+LEAST_STORES = 8
 
 
 def feed(spark: SparkSession, folder: str) -> Callable[[], DataFrame]:
@@ -169,14 +171,21 @@ def ended(query: StreamingQuery) -> None:
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """Queries that start in it keep their state in RocksDB; then the session's own setting holds again."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, follow.STATE_STORE)
+    """Queries that start in it keep their state in RocksDB, a store a core at most; then the session's own settings hold again.
+
+    A batch commits every store of every aggregate, so many stores of few rows would be most of its time.
+    """
+    partitions = "spark.sql.shuffle.partitions"
+    stores = min(int(spark.conf.get(partitions)), max(spark.sparkContext.defaultParallelism, LEAST_STORES))
+    own = {"spark.sql.streaming.stateStore.providerClass": follow.STATE_STORE, partitions: str(stores)}
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def streamed(f: Callable[[SparkSession, DataFrame], DataFrame]) -> Query:
@@ -220,9 +229,14 @@ def h4(spark: SparkSession, obs: DataFrame) -> DataFrame:
     return rows.withColumns({"p": out(F.col("p")), "variance": small(F.col("variance")), "loss": out(F.col("loss"))})
 
 
+def sides(obs: DataFrame) -> DataFrame:
+    """Forecasts and outcomes in one stream, with the heartbeat."""
+    return obs.where(F.col("sensor").isin("view", "error", HEARTBEAT)).withColumn("is_forecast", F.col("sensor") == "view")
+
+
 def both(obs: DataFrame) -> DataFrame:
-    """Forecasts and outcomes in one stream, each once and with the heartbeat; its watermark is set."""
-    return once(obs.where(F.col("sensor").isin("view", "error", HEARTBEAT))).withColumn("is_forecast", F.col("sensor") == "view")
+    """The sides, each event once; its watermark is set."""
+    return sides(once(obs))
 
 
 def h5(spark: SparkSession, obs: DataFrame) -> DataFrame:
@@ -246,7 +260,7 @@ def batch_brier(plan: Plan) -> float:
 
 
 def drift_of(obs: DataFrame, batch: float) -> DataFrame:
-    return slots.stream_drift(both(obs), batch)
+    return slots.stream_drift(sides(obs.withWatermark("ts", "1 hour")), batch)
 
 
 def h6(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,7 +272,7 @@ def h6(spark: SparkSession, folder: str) -> DataFrame:
 
 def h3_counts(spark: SparkSession, obs: DataFrame) -> DataFrame:
     """The beliefs of h3 from sums of two streaming aggregates."""
-    windows = drained(loop.stream_counts(once(obs))).where("zone_id >= 0")
+    windows = drained(loop.stream_counts(obs.withWatermark("ts", "1 hour"))).where("zone_id >= 0")
     found = loop.beliefs_of(loop.daily_counts(None, windows))
     return found.select("zone_id", "n", out(F.col("p")).alias("p"), small(F.col("variance")).alias("variance"))
 

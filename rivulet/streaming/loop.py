@@ -2,7 +2,7 @@
 
 Three queries with versioned tables between them:
 
-1. observations -> counts by window, zone, sensor and salt -> by window, zone and sensor (two streaming
+1. observations -> each once, by window, zone, sensor and salt -> counts by window, zone and sensor (two streaming
    aggregates, no Python); each batch adds what its windows hold to a table of daily counts;
 2. the daily counts give beliefs, decisions and the gate, and with static tables the parts of the record:
    situation, rationale, confidence, alternatives, limitations, verification, context;
@@ -26,7 +26,7 @@ from ..operators.decisions import next_best, with_actions
 from ..operators.recommendation import flags_of, label_of, rationale, reason_of
 from ..operators.reliability import bin_of
 from ..operators.uncertainty import features_of_days
-from .follow import decide_on, stream_dedup
+from .follow import decide_on
 from .versions import Versions, complete, pinned, remove
 
 #: Days of a zone that are kept apart: the newest and the seven that it's compared with.
@@ -42,15 +42,28 @@ ALARMS = "start timestamp, n long, brier double, alarm boolean"
 def stream_counts(obs: DataFrame, level: float = 120.0, window: str = "1 hour", salts: int = 8) -> DataFrame:
     """Number of values, of values at the flood level or above, their sum and the newest time, by window, zone and sensor.
 
-    obs: has its watermark; append mode. The first aggregate is by salt, too, so that a zone with most of
-    the rows is spread over tasks; both keep their state on the JVM. Null and NaN values count as none.
+    obs: has its watermark; append mode. An observation counts once while its window is open, however often it comes: the first
+    aggregate holds those of a window, zone, sensor and salt as one row (a zone with most of the rows is spread over
+    salts), so no row of state is kept for each event. Of an event_id that comes twice at one time with
+    unlike values the smallest counts, null first. Both aggregates keep their state on the JVM. Null and NaN values count as none.
     """
-    known = F.col("value").isNotNull() & ~F.isnan("value")
-    salted = obs.select("zone_id", "sensor", "ts", "value", F.pmod(F.xxhash64("event_id"), F.lit(salts)).alias("salt"))
-    parts = salted.groupBy(F.window("ts", window).alias("w"), "zone_id", "sensor", "salt").agg(
-        F.count(F.when(known, 1)).alias("n"), F.count(F.when(known & (F.col("value") >= level), 1)).alias("wet"), F.sum(F.when(known, F.col("value"))).alias("total"), F.max("ts").alias("last")
+    salted = obs.select("zone_id", "sensor", "ts", F.pmod(F.xxhash64("event_id"), F.lit(salts)).alias("salt"), F.struct("event_id", "ts", "value").alias("e"))
+    held = salted.groupBy(F.window("ts", window).alias("w"), "zone_id", "sensor", "salt").agg(F.collect_set("e").alias("events"), F.max("ts").alias("last"))
+
+    def add(a: Column, e: Column) -> Column:
+        key, value = F.struct(e["event_id"].alias("event_id"), e["ts"].alias("ts")), e["value"]
+        known = ~a["key"].eqNullSafe(key) & value.isNotNull() & ~F.isnan(value)
+        one = lambda which: F.when(which, F.lit(1)).otherwise(F.lit(0)).cast("long")
+        return F.struct(
+            key.alias("key"), (a["n"] + one(known)).alias("n"), (a["wet"] + one(known & (value >= level))).alias("wet"), (a["total"] + F.when(known, value).otherwise(F.lit(0.0))).alias("total")
+        )
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(None).cast("struct<event_id:bigint,ts:timestamp>").alias("key"), zero.alias("n"), zero.alias("wet"), F.lit(0.0).alias("total"))
+    parts = held.select("w", "zone_id", "sensor", "last", F.aggregate(F.sort_array("events"), start, add).alias("s"))
+    whole = parts.groupBy(F.window(F.window_time("w"), window).alias("w"), "zone_id", "sensor").agg(
+        F.sum("s.n").alias("n"), F.sum("s.wet").alias("wet"), F.sum(F.when(F.col("s.n") > 0, F.col("s.total"))).alias("total"), F.max("last").alias("last")
     )
-    whole = parts.groupBy(F.window(F.window_time("w"), window).alias("w"), "zone_id", "sensor").agg(F.sum("n").alias("n"), F.sum("wet").alias("wet"), F.sum("total").alias("total"), F.max("last").alias("last"))
     return whole.select(F.col("w.start").alias("start"), "zone_id", "sensor", "n", "wet", "total", "last")
 
 
@@ -170,8 +183,8 @@ def latest_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recommend_live(obs: DataFrame, actions: DataFrame, static: dict[str, Versions], folder: str, alarms: Versions | None = None, alarm_windows: int = 1, delay: str = "1 hour", level: float = 120.0, window: str = "1 hour"):
-    """Starts observations -> counts -> records in `folder`; each observation counts once within the watermark's delay."""
-    counts = stream_counts(stream_dedup(obs, delay), level, window)
+    """Starts observations -> counts -> records in `folder`; each observation counts once within its window and the watermark's delay."""
+    counts = stream_counts(obs.withWatermark("ts", delay), level, window)
     sink = publish_records(obs.sparkSession, actions, static, folder, alarms, alarm_windows)
     return counts.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 

@@ -59,7 +59,8 @@ def stream_drift(events: DataFrame, batch_brier: float, alarm_ratio: float = 1.5
     The error of an outcome y against the forecasts p that it follows is sum(p * p) - 2 * y * sum(p) + y * y * n, so each
     outcome needs the running sums of the forecasts that wait at its time: a forecast enters them at its time and leaves
     `within` later. An outcome stands in the second half of its window only. `window` is a multiple of `within`.
-    A pair with an unknown value counts in n, but has no error.
+    A pair with an unknown value counts in n, but has no error. An event that comes again while its window is open
+    counts once, without a row of state for each event; of unlike values at one time the smallest counts, null first.
     """
     if pd.Timedelta(window) % pd.Timedelta(within):
         raise ValueError(f"{window} is no multiple of {within}")
@@ -71,14 +72,10 @@ def stream_drift(events: DataFrame, batch_brier: float, alarm_ratio: float = 1.5
     # At one time the outcome comes first: it follows none that enters then, and one that leaves then it still does.
     step = F.when(~F.col("is_forecast"), 0).when(before, -1).otherwise(1)
     at = F.when(before, F.col("ts") + F.expr(f"interval {within}")).otherwise(F.col("ts"))
-    rows = rows.select("zone_id", "w", "salt", F.struct(at.alias("at"), F.col("is_forecast").alias("later"), step.alias("step"), x.alias("x")).alias("e"))
-    waiting = F.col("e.step") == -1
-    known, nan = F.col("e.x").isNotNull() & ~F.isnan("e.x"), F.isnan("e.x")
-    total = lambda y: F.coalesce(F.sum(F.when(waiting & known, y)), F.lit(0.0))
-    held = rows.groupBy("zone_id", "w", "salt").agg(
-        F.collect_list("e").alias("events"), F.count_if(waiting).alias("n"), F.count_if(waiting & known).alias("k"), F.count_if(waiting & nan).alias("nan"),
-        total(F.col("e.x")).alias("p"), total(F.col("e.x") * F.col("e.x")).alias("q"),
-    )
+    rows = rows.select("zone_id", "w", "salt", F.struct(at.alias("at"), F.col("is_forecast").alias("later"), step.alias("step"), "event_id", x.alias("x")).alias("e"))
+    held = rows.groupBy("zone_id", "w", "salt").agg(F.sort_array(F.collect_set("e")).alias("events"))
+    same = lambda e, f: F.struct(e["at"], e["later"], e["step"], e["event_id"]).eqNullSafe(F.struct(f["at"], f["later"], f["step"], f["event_id"]))
+    held = held.select("w", F.filter("events", lambda e, i: (i == 0) | ~same(e, F.get("events", i - 1))).alias("events"))
 
     def add(a: Column, e: Column) -> Column:
         x, outcome = e["x"], e["step"] == 0
@@ -95,7 +92,10 @@ def stream_drift(events: DataFrame, batch_brier: float, alarm_ratio: float = 1.5
         )
 
     zero = F.lit(0).cast("long")
-    start = F.struct("n", "k", "nan", "p", "q", zero.alias("pairs"), zero.alias("told"), F.lit(0.0).alias("error"))
-    sums = held.select("w", F.aggregate(F.sort_array("events"), start, add).alias("s")).where("s.pairs > 0")
-    by = sums.groupBy(F.window(F.window_time("w"), window).alias("day")).agg(F.sum("s.pairs").alias("n"), (F.sum("s.error") / F.nullif(F.sum("s.told"), F.lit(0))).alias("brier"))
+    none = F.struct(*(zero.alias(x) for x in ("n", "k", "nan")), *(F.lit(0.0).alias(x) for x in ("p", "q")), zero.alias("pairs"), zero.alias("told"), F.lit(0.0).alias("error"))
+    # Those that leave in the window wait from its start.
+    enter = lambda e: F.struct(*(F.lit(1).alias("step") if f == "step" else e[f].alias(f) for f in ("at", "later", "step", "event_id", "x")))
+    start = F.aggregate(F.filter("events", lambda e: e["step"] == -1), none, lambda a, e: add(a, enter(e)))
+    sums = held.select("w", F.aggregate("events", start, add).alias("s"))
+    by = sums.groupBy(F.window(F.window_time("w"), window).alias("day")).agg(F.sum("s.pairs").alias("n"), (F.sum("s.error") / F.nullif(F.sum("s.told"), F.lit(0))).alias("brier")).where("n > 0")
     return by.select(F.col("day.start").alias("start"), "n", "brier", (F.col("brier") > alarm_ratio * batch_brier).alias("alarm"))

@@ -88,6 +88,23 @@ def test_counts_stay_on_the_jvm_and_split_a_hot_zone(spark, tmp_path):
     assert {(r.start, r.zone_id, r.sensor): (r.n, r.wet) for r in got if r.zone_id > 0} == want and len(got) == len(want)
 
 
+def test_counts_take_each_observation_once_without_its_own_state(spark, tmp_path):
+    """Replays in and across batches count once, also without an id; state has a row for what a window holds, none for an event."""
+    rows = [(i if i % 50 else None, at(i / 200), 1, "a", float(100 + i % 40)) for i in range(400)]
+    write(spark, str(tmp_path / "in"), [rows[:300] + rows[:300:7], rows[250:] + [(9999, at(100), -1, "beat", 0.0)]])
+    stream = loop.stream_counts(follow.read_observations(spark, str(tmp_path / "in")).withWatermark("ts", "1 hour"), salts=2)
+    got = []
+    q = stream.writeStream.outputMode("append").foreachBatch(lambda batch, _: got.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = {}
+    for _, ts, _, _, v in rows:
+        n, wet = want.get(ts.hour, (0, 0))
+        want[ts.hour] = (n + 1, wet + (v >= 120))
+    assert {r.start.hour: (r.n, r.wet) for r in got if r.zone_id > 0} == want
+    assert sum(r.total for r in got if r.zone_id > 0) == pytest.approx(sum(r[4] for r in rows))
+    assert max(s.numRowsTotal for p in q.recentProgress for s in p.stateOperators) <= 8
+
+
 def windows(spark, rows):
     return spark.createDataFrame([(s, z, k, n, w, t, s) for s, z, k, n, w, t in rows], "start timestamp, zone_id int, sensor string, n long, wet long, total double, last timestamp")
 

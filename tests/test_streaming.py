@@ -214,3 +214,29 @@ def test_drift_from_running_sums(spark, tmp_path):
     assert "Join" not in stream._jdf.queryExecution().analyzed().toString()
     with pytest.raises(ValueError):
         slots.stream_drift(events, 0.1, window="90 minutes")
+
+
+def test_drift_takes_replays_once(spark, tmp_path):
+    """Events that come again, in a batch or a later one, change nothing."""
+    from rivulet.streaming import slots
+
+    _, batches = mixed_events()
+    told = []
+    for name, own in (("once", batches), ("again", [batches[0] + batches[0][::3], batches[0][-20:] + batches[1] + batches[1][::5], batches[2]])):
+        out, dropped = drain(slots.stream_drift(slot_events(spark, str(tmp_path / name), own), 0.1), str(tmp_path / f"c-{name}"))
+        assert dropped == 0
+        told.append({r.start: (r.n, r.brier) for _, rows in out for r in rows})
+    assert set(told[0]) == set(told[1]) and all(told[1][day] == pytest.approx(own, nan_ok=True) for day, own in told[0].items())
+
+
+def test_state_stores_are_no_more_than_cores(spark):
+    """A stream's partitions are bounded while it starts; the session's own number holds again after."""
+    from rivulet.plans.queries import state_store
+
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "500")
+    with state_store(spark):
+        assert int(spark.conf.get(name)) <= max(8, spark.sparkContext.defaultParallelism)
+    assert spark.conf.get(name) == "500"
+    spark.conf.set(name, before)

@@ -103,6 +103,18 @@ def quoted(frame: DataFrame, columns: list[str] | None = None) -> list[F.Column]
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns or frame.columns]
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """All labelled training documents: doc_id, text, lang (null if not there), _label.
+
+    An id that several rows hold counts once, with the text of the least hash, and with the largest of its labels.
+    """
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & is_training_row()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    own = docs.where(F.col("doc_id").isNotNull() & is_training_row()).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang")).join(ids, "doc_id")
+    own = own.groupBy("doc_id", "_label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("t"))
+    return own.select("doc_id", "_label", "t.text", "t.lang")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_bytes: int = 64 << 20) -> DataFrame:
     """At most `rows` labelled training documents (doc_id, text, lang if there, _label), and `max_bytes` of texts.
 

@@ -156,3 +156,39 @@ def test_labels_of_absent_documents_take_no_place(spark):
     labels = spark.range(20_000).selectExpr("id as doc_id", "1 as quality")
     assert labelled_sample(docs, labels, "quality", 10).count() == 10
     assert labelled_sample(docs, labels, "quality", 1000).count() == labelled_sample(docs, docs.selectExpr("doc_id", "1 as quality"), "quality", 1000).count() > 20
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Label 1 is only in rows that come last by hash: a bounded sample would learn from one label alone."""
+    from pyspark.sql import functions as F
+
+    from rivulet.llm.common import is_training_row
+
+    ids = [r.doc_id for r in spark.range(13_000).select(F.col("id").alias("doc_id")).where(is_training_row()).orderBy(F.xxhash64("doc_id")).collect()]
+    assert len(ids) > 8_500
+    rows = [(i, f"calm{i % 97} day{i % 89}" + (" venomous" if k >= 8_000 else " sunny"), int(k >= 8_000)) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity_scores(docs, labels).collect()}
+    assert np.mean([(got[i] >= 0.3) == (y == 1) for i, _, y in rows]) >= 0.99
+
+
+def test_shards_are_averaged_and_counts_are_exact(spark):
+    """Counts by fold and label add up over all blocks; networks of several shards together tell the labels apart."""
+    from rivulet.llm.toxicity import BUCKETS, block_of, count, train
+
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["sun", "rain", "wind", "hail"], 8)) + (" xylo" if i % 5 == 0 else ""), int(i % 5 == 0), "en") for i in range(1200)]
+    texts, y = [r[1] for r in rows], np.array([r[2] for r in rows])
+    whole, parted = np.zeros((3, 2, BUCKETS)), np.zeros((3, 2, BUCKETS))
+    folds = np.arange(1200) % 3
+    count(block_of(texts, y, folds, [None] * 1200), whole)
+    for at in range(0, 1200, 70):
+        count(block_of(texts[at : at + 70], y[at : at + 70], folds[at : at + 70], [None] * 70), parted)
+    assert (whole == parted).all() and whole[:, 1, 0].sum() == 240 and whole[:, :, 0].sum() == 1200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string").repartition(6)
+    net = train(docs, docs.select("doc_id", "toxic"), shard_rows=300)
+    assert np.mean((Scorer(net).scores(texts) >= 0.3) == (y == 1)) >= 0.97 and set(net.thresholds) == {"", "en"}
+    a, b = calibrated_line(np.array([-2.0, -1, 1, 2]), np.array([0, 1, 0, 1.0]), np.array([5.0, 1, 1, 5]))
+    z = np.repeat([-2.0, -1, 1, 2], [5, 1, 1, 5])
+    assert (a, b) == pytest.approx(calibrated_line(z, np.repeat([0, 1, 0, 1.0], [5, 1, 1, 5])))

@@ -8,7 +8,8 @@ each distinct word, so a text costs additions only.
 
 Trained on all labelled training rows (crc32 of the id, mod 4, not 2). Their words are turned into numbers once, in
 blocks of texts that are written as a table. Every partition of blocks, a shard of about `shard_rows` rows, trains networks that start
-alike, and the shards' networks are averaged; small tables are gone through several times, from `LEAST_STEPS` rows on once. Beside the final network
+alike, and the shards' networks are averaged; small tables are gone through several times, from `LEAST_STEPS` rows on once. One shard alone is
+gone through in its task, so the driver gets its networks once, not after each pass. Beside the final network
 each shard trains one for each fold, without the fold's rows, so every labelled row gets a score by a network that hasn't
 seen it; counts of these scores, rounded to 1/BINS of log-odds, calibrate the final network's (a line on the log-odds) and a decision threshold for each language with
 enough positives. The language column only picks that threshold; the score comes
@@ -26,6 +27,7 @@ columns are ignored.
 from __future__ import annotations
 
 import pickle
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,13 +58,13 @@ CHUNK = 1 << 15
 
 def parts(words: list[str]) -> tuple[np.ndarray, ...]:
     """Buckets of the bare word and of its beginnings; bucket 0 holds zeros and stands for no such beginning."""
-    out, n = [], BUCKETS - 1
-    for w in words:
-        b = bare(w)
-        out.append(1 + digest(b.encode(), 0) % n if b else 0)
-        for k in BEGINNINGS:
-            out.append(1 + digest(b[:k].encode(), k) % n if len(b) > k else 0)
-    return (np.array(out, np.int64).reshape(-1, N_PARTS),)
+    bares = [bare(w) for w in words]
+    lengths = np.fromiter(map(len, bares), np.int64, len(bares))
+    out = np.zeros((len(bares), N_PARTS), np.int64)
+    for i, k in enumerate((0, *BEGINNINGS)):
+        own = [b[: k or None] for b in bares if len(b) > k]
+        out[lengths > k, i] = 1 + np.fromiter((digest(b, k) for b in own), np.uint64, len(own)) % (BUCKETS - 1)
+    return (out,)
 
 
 @dataclass
@@ -170,20 +172,28 @@ class Learner:
             net.embeddings = first_embeddings(seen, rng, planted)
         self.squares, self.square_e, self.square_b = [np.full_like(a, 1e-3) for a in (net.kernels, net.shifts, net.weights)], np.full_like(net.embeddings, 1e-3), 1e-3
 
-    def arrays(self) -> list[np.ndarray]:
+    def numbers(self, whole: bool) -> np.ndarray:
+        """The network's numbers in a row; the whole learner's, to learn on, have the sums of squares, too."""
         net = self.net
-        return [net.embeddings, net.kernels, net.shifts, net.weights, self.square_e, *self.squares]
-
-    def numbers(self) -> np.ndarray:
-        """All that learning changes, in a row."""
-        return np.concatenate([*(a.ravel() for a in self.arrays()), [self.net.bias, self.square_b]])
+        own = [net.embeddings, net.kernels, net.shifts, net.weights, np.array([net.bias])]
+        return np.concatenate([a.ravel() for a in (own + [self.square_e, *self.squares, np.array([self.square_b])] if whole else own)])
 
     def take(self, numbers: np.ndarray) -> None:
-        at = 0
-        for a in self.arrays():
-            a[...] = numbers[at : at + a.size].reshape(a.shape)
-            at += a.size
-        self.net.bias, self.square_b = float(numbers[at]), float(numbers[at + 1])
+        """Either kind of numbers."""
+        net, at = self.net, 0
+
+        def fill(arrays: list[np.ndarray]) -> float:
+            """Fills the arrays; gives the number after them."""
+            nonlocal at
+            for a in arrays:
+                a[...] = numbers[at : at + a.size].reshape(a.shape)
+                at += a.size
+            at += 1
+            return float(numbers[at - 1])
+
+        net.bias = fill([net.embeddings, net.kernels, net.shifts, net.weights])
+        if at < len(numbers):
+            self.square_b = fill([self.square_e, *self.squares])
 
     def through(self, block: Block, own: np.ndarray, rng: np.random.Generator, batch: int = 32) -> None:
         """One pass over some texts of the block, in a drawn order."""
@@ -302,6 +312,21 @@ def unpickled(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             yield pickle.loads(x.as_buffer())
 
 
+def passes(batches: Iterator[pa.RecordBatch], turns: range) -> Iterator[tuple[int, Block]]:
+    """Each turn with each block. For more turns than one the blocks stay in a temporary file, not in memory."""
+    with tempfile.TemporaryFile() as kept:
+        for b in batches:
+            for x in b.column("block"):
+                if len(turns) > 1:
+                    kept.write(x.as_buffer())
+                yield turns[0], pickle.loads(x.as_buffer())
+        end = kept.tell()
+        for turn in turns[1:]:
+            kept.seek(0)
+            while kept.tell() < end:
+                yield turn, pickle.load(kept)
+
+
 CHUNKS = "k int, chunk int, weight double, numbers binary"
 
 
@@ -313,24 +338,28 @@ def chunked(k: int, weight: float, numbers: np.ndarray) -> Iterator[pa.RecordBat
 
 
 def combined(rows: DataFrame, mean: bool) -> dict[int, np.ndarray]:
-    """Sums, or means by weight, of the numbers of each k, added up by chunks on Spark. As many numbers as a few models hold."""
+    """Sums, or means by weight (these in single precision), of the numbers of each k, added up by chunks on Spark. As many numbers as a few models hold."""
+    kind = np.float32 if mean else np.float64
 
     def add(table: pa.Table) -> pa.Table:
         weights, total = table.column("weight").to_pylist(), 0.0
         for w, x in zip(weights, table.column("numbers"), strict=True):
             total = total + w * np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-        out = (total / sum(weights) if mean else total).tobytes()
+        out = (total / sum(weights) if mean else total).astype(kind).tobytes()
         return pa.table({"k": table.column("k").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "weight": pa.array([sum(weights)]), "numbers": pa.array([out], pa.binary())})
 
     found: dict[int, list] = {}
     for r in sorted(rows.groupBy("k", "chunk").applyInArrow(add, CHUNKS).select("k", "chunk", "numbers").collect()):
-        found.setdefault(r.k, []).append(np.frombuffer(r.numbers, np.float64))
+        found.setdefault(r.k, []).append(np.frombuffer(r.numbers, kind))
     return {k: np.concatenate(own) for k, own in found.items()}
 
 
-def learners_of(seen: np.ndarray) -> list[Learner]:
-    """A learner without each fold, and the last with all rows; seen: texts by fold, label and bucket."""
-    return [Learner(seen.sum(axis=0) - own) for own in seen] + [Learner(seen.sum(axis=0))]
+def learners_of(seen: np.ndarray, numbers: dict[int, np.ndarray] | None = None) -> list[Learner]:
+    """A learner without each fold, and the last with all rows; seen: texts by fold, label and bucket; numbers: what they have learnt so far."""
+    out = [Learner(seen.sum(axis=0) - own) for own in seen] + [Learner(seen.sum(axis=0))]
+    for k, own in (numbers or {}).items():
+        out[k].take(own)
+    return out
 
 
 def passes_of(rows: float) -> int:
@@ -350,28 +379,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             yield from chunked(0, 1.0, seen.ravel())
 
     seen = combined(arrow_map(blocks, counts, CHUNKS), mean=False).get(0, np.zeros(folds * 2 * BUCKETS)).reshape(folds, 2, BUCKETS)
-    learners, rows = learners_of(seen), seen[:, :, 0].sum()
-    if learners[-1].constant:
+    rows, first = seen[:, :, 0].sum(), Learner(seen.sum(axis=0))
+    if first.constant:
         discard(blocks)
-        return learners[-1].net
-    for turn in range(passes_of(rows)):
-        shared = spark.sparkContext.broadcast(learners)
-
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, rng, n = pickle.loads(pickle.dumps(shared.value)), np.random.default_rng(17 + turn), 0
-            for block in unpickled(batches):
+        return first.net
+    shards, times, numbers = int(np.ceil(rows / shard_rows)), passes_of(rows), None
+    # One shard has nothing to be averaged with, so its task makes all passes.
+    for turns in [range(times)] if shards == 1 else [range(i, i + 1) for i in range(times)]:
+        # Learners start from the counts, which are much smaller than they are.
+        shared = spark.sparkContext.broadcast((seen, numbers))
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, turns=turns) -> Iterator[pa.RecordBatch]:
+            own, rngs, n = learners_of(*shared.value), [np.random.default_rng(17 + turn) for turn in range(times)], 0
+            for turn, block in passes(batches, turns):
                 n += len(block.ends)
                 for k, learner in enumerate(own):
-                    learner.through(block, np.flatnonzero(block.folds != k), rng)
+                    learner.through(block, np.flatnonzero(block.folds != k), rngs[turn])
             for k, learner in enumerate(own):
                 if n:
-                    yield from chunked(k, n, learner.numbers())
+                    yield from chunked(k, n, learner.numbers(whole=turns[-1] < times - 1))
 
         # Blocks are dealt in turn, so shards are about equal.
-        for k, numbers in combined(arrow_map(blocks.repartition(int(np.ceil(rows / shard_rows))), learn, CHUNKS), mean=True).items():
-            learners[k].take(numbers)
+        numbers = combined(arrow_map(blocks.repartition(shards), learn, CHUNKS), mean=True)
         shared.destroy()
-    shared = spark.sparkContext.broadcast([x.net for x in learners])
+    learners = learners_of(seen, numbers)
+    shared = spark.sparkContext.broadcast([x.net for x in learners[:-1]])
 
     def aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in unpickled(batches):
@@ -389,9 +421,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
 
 def out_of_fold(nets: list[Network], block: Block) -> np.ndarray:
-    """Each text's log-odds by the network that was trained without its fold, cut off at MOST_ODDS."""
+    """Each text's log-odds by the network that was trained without its fold, cut off at MOST_ODDS; nets: that of each fold."""
     out = np.zeros(len(block.ends))
-    for k, net in enumerate(nets[:-1]):
+    for k, net in enumerate(nets):
         own = np.flatnonzero(block.folds == k)
         if len(own):
             rows, ends = block.of(own)
@@ -410,7 +442,7 @@ def train_on(texts: list[str], y: np.ndarray, langs: list, folds: int = 4) -> Ne
     for _ in range(passes_of(len(texts))):
         for k, learner in enumerate(learners):
             learner.through(block, np.flatnonzero(block.folds != k), rng)
-    bins = np.rint(out_of_fold([x.net for x in learners], block) * BINS)
+    bins = np.rint(out_of_fold([x.net for x in learners[:-1]], block) * BINS)
     rows = pd.DataFrame({"lang": [x or "" for x in langs], "bin": bins, "y": block.labels, "n": 1})
     return calibrated(learners[-1].net, rows, {x: own for x, own in rows.groupby("lang") if own.y.sum() >= LEAST_POSITIVES})
 

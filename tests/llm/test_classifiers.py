@@ -192,3 +192,72 @@ def test_shards_are_averaged_and_counts_are_exact(spark):
     a, b = calibrated_line(np.array([-2.0, -1, 1, 2]), np.array([0, 1, 0, 1.0]), np.array([5.0, 1, 1, 5]))
     z = np.repeat([-2.0, -1, 1, 2], [5, 1, 1, 5])
     assert (a, b) == pytest.approx(calibrated_line(z, np.repeat([0, 1, 0, 1.0], [5, 1, 1, 5])))
+
+
+def test_passes_over_one_shard_stay_in_its_task(spark, monkeypatch):
+    """Six passes over a small table bring the driver five networks once, and no learners go out; they used to do both after each pass."""
+    import pickle
+
+    from pyspark import SparkContext
+
+    from rivulet.llm import toxicity
+
+    got, sent, combined, broadcast = [], [], toxicity.combined, SparkContext.broadcast
+
+    def taken(rows, mean):
+        out = combined(rows, mean)
+        got.append(sum(x.nbytes for x in out.values()))
+        return out
+
+    monkeypatch.setattr(toxicity, "combined", taken)
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: (sent.append(len(pickle.dumps(value))), broadcast(self, value))[1])
+    rows = [(i, f"calm{i % 97} day{i % 89}" + (" venomous" if i % 5 == 0 else " sunny"), int(i % 5 == 0)) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert toxicity.passes_of(600) == toxicity.MOST_PASSES
+    net = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    assert np.mean((Scorer(net).scores([r[1] for r in rows]) >= 0.3) == np.array([r[2] == 1 for r in rows])) >= 0.99
+    network, counts = 4 * toxicity.BUCKETS * toxicity.DIMENSIONS, 8 * 4 * 2 * toxicity.BUCKETS
+    assert len(got) == 2 and sum(got) < counts + 5.1 * network
+    assert sum(sent) < 1.1 * counts + 4.1 * network
+
+
+def test_learners_go_on_from_their_numbers(spark):
+    """All numbers bring back a learner, those of the network alone its scores; each pass of a task gets each block, in order."""
+    import pickle
+
+    import pyarrow as pa
+
+    from rivulet.llm.toxicity import BUCKETS, Learner, block_of, count, passes
+
+    texts, y = [f"calm{i % 7} day" + (" venomous" if i % 5 == 0 else "") for i in range(90)], (np.arange(90) % 5 == 0).astype(np.float32)
+    blocks = [block_of(texts[at : at + 30], y[at : at + 30], np.zeros(30), [None] * 30) for at in (0, 30, 60)]
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array([pickle.dumps(b) for b in own], pa.binary())], ["block"]) for own in (blocks[:2], blocks[2:])])
+    for turns in (range(1), range(2, 3), range(3)):
+        seen = list(passes(batches(), turns))
+        assert [t for t, _ in seen] == [t for t in turns for _ in blocks]
+        assert all((b.rows == blocks[i % 3].rows).all() and (b.labels == blocks[i % 3].labels).all() for i, (_, b) in enumerate(seen))
+    assert list(passes(iter([]), range(3))) == []
+    counts = np.zeros((1, 2, BUCKETS))
+    for b in blocks:
+        count(b, counts)
+    one, two, three = (Learner(counts[0]) for _ in range(3))
+    one.through(blocks[0], np.arange(30), np.random.default_rng(3))
+    two.take(one.numbers(whole=True).astype(np.float32))
+    three.take(one.numbers(whole=False).astype(np.float32))
+    assert np.allclose(Scorer(one.net).margins(texts), Scorer(three.net).margins(texts), atol=1e-5)
+    for x in (one, two):
+        x.through(blocks[1], np.arange(30), np.random.default_rng(4))
+    assert np.allclose(one.numbers(whole=True), two.numbers(whole=True), atol=1e-5)
+
+
+def test_parts_of_odd_words():
+    """Buckets of whole words and of their beginnings, against one word at a time."""
+    from xxhash import xxh3_64_intdigest
+
+    from rivulet.llm.toxicity import BEGINNINGS, BUCKETS, N_PARTS, parts
+    from rivulet.llm.words import bare
+
+    words = ["a", "abc", "ABCD,", "...", "漢字漢字漢字漢字", "Straße\x00end", "🙂🙂🙂🙂", "éa" * 9, "x" * 3000, "İstanbul"]
+    hashed = lambda x, k: 1 + xxh3_64_intdigest(x.encode(), k) % (BUCKETS - 1)
+    plain = [[hashed(b, 0) if b else 0] + [hashed(b[:k], k) if len(b) > k else 0 for k in BEGINNINGS] for b in map(bare, words)]
+    assert parts(words)[0].tolist() == plain and parts([])[0].shape == (0, N_PARTS)
